@@ -13,6 +13,7 @@ is the gate, so that ordinary texts (the mass of the data) never reach Python.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -120,6 +121,10 @@ class Transducer:
         self.has_look = regex.compile(f"[{looks}]")
         self.latin = regex.compile(rf"[\p{{Latin}}{wide}]")
         self.near_word = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
+        #: What can't be told from ordinary text by this class can't change.
+        bmp = _char_class([c for c in (*self.plain, *self.looks) if c <= "\uffff"], r"\U%08x")
+        self.suspect = re.compile(f"[{bmp}\u0300-\u036f\u0483-\u0489\u0591-\u0ec8\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u302a-\u302f\u3099\u309a\ufe20-\ufe2f]")
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")  # apart, as a class within one plane is a bitmap
         java = _char_class([*self.plain, *self.looks], r"\x{%x}")
         self.gate = rf"[\p{{M}}{java}]"
         #: Most texts hold only ASCII, unified ideographs and a few other characters. Nested in this order, the class tells
@@ -147,7 +152,7 @@ class Transducer:
 
     def apply(self, s: str) -> str:
         """The canonical spelling of ``s``."""
-        return self.pattern.sub(self._match, s)
+        return self.pattern.sub(self._match, s) if self.suspect.search(s) or self.beyond.search(s) else s
 
 
 @lru_cache(maxsize=1)
