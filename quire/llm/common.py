@@ -44,10 +44,11 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The ``rows`` rows of ``df`` with the smallest hash of ``key``: the same ones at any partitioning.
 
     The table is counted first, and rows whose hash can hardly be among the smallest are dropped in the scan, so that the
-    tasks send about three times ``rows`` rows to the driver altogether, however many tasks there are.
+    tasks send little more than ``rows`` rows to the driver altogether, however many tasks there are.
     """
     total = df.count()
     hashed = F.xxhash64(col(key))
-    if total > 4 * rows:
-        df = df.where(hashed < int(-(2**63) + 2**64 * (3.0 * rows / total)))
+    enough = 1.3 * rows + 12 * rows**0.5 + 50
+    if total > enough:
+        df = df.where(hashed < int(-(2**63) + 2**64 * (enough / total)))
     return df.orderBy(hashed, *[col(c) for c in df.columns]).limit(rows)
