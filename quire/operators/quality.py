@@ -58,7 +58,7 @@ def report(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     missing = untranslated(pairs).agg(F.count("*").alias("n"))
     n = F.col("n")
     parts = [one(missing, "untranslated blocks", n, grade(n, n == 0, n < 10), F.concat(n.cast("string"), F.lit(" blocks")))]
-    land = landing(terms, pairs)
+    land = landing(terms, pairs.where("zh <> ''"))
     rate = F.when(F.col("applicable") > 0, F.col("landed") / F.col("applicable")).otherwise(0.0)
     parts.append(one(land, "terms landed", rate, grade(rate, rate >= 0.8, rate >= 0.6), F.concat_ws("/", "landed", "applicable")))
     for name, pattern, passes, warns in (("compatibility characters", r"[\x{f900}-\x{faff}]", 1, 21), ("blanks between characters", rf"[{CJK}] [{CJK}]", 50, 400)):
