@@ -122,8 +122,9 @@ class Transducer:
         self.latin = regex.compile(rf"[\p{{Latin}}{wide}]")
         self.near_word = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
         #: What can't be told from ordinary text by this class can't change.
-        bmp = _char_class([c for c in (*self.plain, *self.looks) if c <= "\uffff"], r"\U%08x")
-        self.suspect = re.compile(f"[{bmp}\u0300-\u036f\u0483-\u0489\u0591-\u0ec8\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u302a-\u302f\u3099\u309a\ufe20-\ufe2f]")
+        marks = [chr(cp) for cp in range(0x10000) if unicodedata.category(chr(cp))[0] == "M"]
+        bmp = _char_class([*{*(c for c in (*self.plain, *self.looks) if c <= "\uffff"), *marks}], r"\U%08x")
+        self.suspect = re.compile(f"[{bmp}]")
         self.beyond = re.compile("[\U00010000-\U0010ffff]")  # apart, as a class within one plane is a bitmap
         java = _char_class([*self.plain, *self.looks], r"\x{%x}")
         self.gate = rf"[\p{{M}}{java}]"

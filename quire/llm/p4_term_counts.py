@@ -32,7 +32,7 @@ def heavy_terms(terms: DataFrame, k: int, tracked: int) -> list[tuple[str, str]]
 
     The list only steers the work; counts are exact without it. Its size is bounded by ``k`` times the number of fields.
     """
-    rows = terms.groupBy("field").agg(F.expr(f"approx_top_k(term, {int(k)}, {int(tracked)})").alias("top")).collect()
+    rows = terms.groupBy("field").agg(F.expr(f"approx_top_k(term, {int(k)}, {max(int(k), int(tracked))})").alias("top")).collect()
     return sorted((r["field"], t["item"]) for r in rows for t in r["top"] if t["item"] is not None)
 
 
