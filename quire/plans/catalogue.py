@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "layout_queries", "table_queries", "kb_queries", "quality_queries")
+MODULES = ("text_queries", "layout_queries", "table_queries", "kb_queries", "quality_queries", "register_queries")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
