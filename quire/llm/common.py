@@ -30,13 +30,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Where the setting is missing (tests, a single machine), a temporary folder is used.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if folder:
-        if not (sc.getCheckpointDir() or "").startswith(folder):
-            sc.setCheckpointDir(folder)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
     return df.checkpoint(eager=True)
 
 
