@@ -171,3 +171,9 @@ def cluster_boxes(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     rows = inner.unionByName(roots.select("root", F.col("root").alias("block_key")).distinct())
     boxes = rows.join(blocks.select("paper_id", "page", "block_key", "x0", "y0", "x1", "y1"), "block_key")
     return boxes.groupBy("paper_id", "page", "root").agg(F.count("*").alias("members"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def actionable(clusters: DataFrame, outer: DataFrame) -> DataFrame:
+    """Clusters whose outermost block is no formula, or is translated already. ``outer`` has root, math_only and zh."""
+    rows = clusters.join(outer, "root", "left")
+    return rows.where(~F.coalesce("math_only", F.lit(False)) | (F.coalesce("zh", F.lit("")) != "")).drop("math_only", "zh")

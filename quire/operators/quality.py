@@ -70,6 +70,23 @@ def report(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def document_checks(original: DataFrame, rendered: DataFrame, key: str) -> DataFrame:
+    """(key, check_name, level): pages equal or FAIL; first page's width doubled (1.85 to 2.15 times), contents equal and images not fewer, or WARN.
+
+    Both have key, n_pages, width, n_toc and n_images; a document without rendering fails the page check and warns of the rest.
+    """
+    r = rendered.select(key, *[F.col(c).alias("_" + c) for c in ("n_pages", "width", "n_toc", "n_images")])
+    both = original.join(r, key, "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    ratio = F.col("_width") / F.col("width")
+    checks = {
+        "pages": F.when(yes(F.col("n_pages") == F.col("_n_pages")), "PASS").otherwise("FAIL"), "width": F.when(yes(ratio.between(1.85, 2.15)), "PASS").otherwise("WARN"),
+        "contents": F.when(yes(F.col("n_toc") == F.col("_n_toc")), "PASS").otherwise("WARN"), "images": F.when(yes(F.col("_n_images") >= F.col("n_images")), "PASS").otherwise("WARN"),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), level.alias("level")) for n, level in checks.items()]))
+    return both.select(key, rows.alias("_c")).select(key, "_c.*")
+
+
 def summary(checks: DataFrame) -> DataFrame:
     """(level, n_checks, failed): checks by level, and whether any failed."""
     counts = checks.groupBy("level").agg(F.count("*").alias("n_checks"))

@@ -55,6 +55,11 @@ def harvest(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
     return again.unionByName(mined.select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), (F.col("block_key") + last).alias("seq")))
 
 
+def seed_evidence(glossary: DataFrame, kb_id: int) -> DataFrame:
+    """A glossary (source, target, n) as the first evidence of a knowledge base, at confidence 0.75."""
+    return glossary.select(F.lit(kb_id).alias("kb_id"), "source", "target", F.lit(0.75).alias("confidence"), F.lit("seed").alias("kind"), F.lit("").alias("paper"), F.col("n").cast("bigint").alias("seq"))
+
+
 #: Fixed value: starts of structural blocks.
 STRUCTURE = rf"(?i)^{WS}*(?:\[\d{{1,4}}\]|\(\d{{1,4}}\)|\d{{1,3}}[.)]{WS}+|[-•·▪–]{WS}+|(?:fig(?:ure)?|table|algorithm|eq(?:uation)?)\.?{WS}*\d+\b)"
 

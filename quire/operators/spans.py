@@ -24,6 +24,44 @@ def line_text(spans: Column) -> Column:
     return clean_text(F.array_join(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), ""))
 
 
+def block_text(lines: Column) -> Column:
+    """Text of a block: its lines' spans joined, blank lines dropped, lines joined and cleaned."""
+    texts = F.transform(lines, lambda ln: F.array_join(F.transform(ln["spans"], lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    return clean_text(F.array_join(F.filter(texts, lambda t: collapse(t) != ""), "\n"))
+
+
+def line_records(lines: Column) -> Column:
+    """Visible lines as (text, bbox, spans of text and bbox), boxes to two decimals; a line without box gets the box around its spans."""
+    two = lambda box: F.transform(box, lambda v: F.bround(v, 2))
+    edge = lambda spans, i, f: f(F.transform(spans, lambda s: s["bbox"][i]))
+    around = lambda spans: F.array(edge(spans, 0, F.array_min), edge(spans, 1, F.array_min), edge(spans, 2, F.array_max), edge(spans, 3, F.array_max))
+    records = F.transform(lines, lambda ln: F.struct(
+        line_text(ln["spans"]).alias("text"), two(F.coalesce(ln["bbox"], around(ln["spans"]))).alias("bbox"),
+        F.transform(ln["spans"], lambda s: F.struct(s["text"].alias("text"), two(s["bbox"]).alias("bbox"))).alias("spans")))
+    return F.filter(records, lambda r: r["text"] != "")
+
+
+def dominant_size(spans: Column) -> Column:
+    """The size (one decimal) that most characters have, the first on ties; 9 without spans."""
+    size = lambda s: F.bround(F.coalesce(s["size"], F.lit(0.0)), 1)
+    weight = lambda s: F.greatest(F.lit(1), F.length(F.coalesce(s["text"], F.lit(""))))
+    sizes = F.array_distinct(F.transform(spans, size))
+    weighed = F.transform(sizes, lambda v, i: F.struct(F.aggregate(spans, F.lit(0), lambda a, s: a + F.when(size(s) == v, weight(s)).otherwise(0)).alias("w"), (-i).alias("i"), v.alias("v")))
+    return F.coalesce(F.array_max(weighed)["v"], F.lit(9.0))
+
+
+def sizes_inside(spans: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """(rectangle, size): the size most characters have whose spans' centres lie in a rectangle; the smaller one on ties.
+
+    ``spans`` has paper_id, page, box, size and chars; ``rectangles`` paper_id, page, rectangle, rx0, ry0, rx1, ry1. Joined within pages.
+    """
+    r = rectangles.select(F.col("paper_id").alias("_d"), F.col("page").alias("_p"), "rectangle", "rx0", "ry0", "rx1", "ry1")
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = (F.col("paper_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1"))
+    sums = spans.join(r, inside).groupBy("rectangle", "size").agg(F.sum("chars").alias("_c"))
+    return sums.groupBy("rectangle").agg(F.max_by("size", F.struct("_c", -F.col("size"))).alias("size"))
+
+
 def summarize_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text, size, family, bold_ratio, widest_gap) per line of an array ``spans``; spans without visible text don't count.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_numbers, selection_covers
-from ..operators import quality
+from ..operators import layout, quality
 from .base import BLOCKS, ENTRIES, LATEST, WS, blocks, latest, sql_strip, table, translations
+from .layout_queries import _ROOTS
 
 _KINDS = "kind IN ('body', 'heading', 'table_caption', 'figure_caption')"
 #: Cells that need no translation (fixed value).
@@ -87,6 +88,23 @@ def page_selections(spark: SparkSession, d: str) -> DataFrame:
     return papers.select("paper_id", F.size(chosen).alias("n_chosen"), F.array_join(chosen.cast("array<string>"), ",").alias("chosen"), selection_covers(F.lit("1-3"), F.lit("1,3-4"), F.col("n_pages")).alias("covered"))
 
 
+def document_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every paper as delivered against its translated blocks, printed side by side."""
+    def shape(rows: DataFrame, width: float) -> DataFrame:
+        return rows.groupBy("paper_id").agg(F.count_distinct("page").alias("n_pages"), F.lit(width).alias("width"), F.count_if(F.col("kind") == "heading").alias("n_toc"), F.count_if(F.col("kind") == "figure_caption").alias("n_images"))
+
+    b = blocks(spark, d, "kind")
+    done = latest(spark, d, "zh").where("zh <> ''").select("block_key")
+    return quality.document_checks(shape(b, 600.0), shape(b.join(done, "block_key", "left_semi"), 1200.0), "paper_id").groupBy("check_name", "level").agg(F.count("*").alias("n_papers"))
+
+
+def actionable_clusters(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d, "math_only").where("x0 IS NOT NULL")
+    clusters = layout.cluster_boxes(b, layout.nested_roots(b, 0.5))
+    outer = b.join(latest(spark, d, "zh").select("block_key", "zh"), "block_key", "left").select(F.col("block_key").alias("root"), "math_only", "zh")
+    return layout.actionable(clusters, outer).select("root", "members")
+
+
 _P = f"p AS (SELECT b.block_key, text, paper_id, page, n.zh FROM b LEFT JOIN (SELECT block_key, zh FROM n) n USING (block_key) WHERE {_KINDS})"
 _ZH = sql_strip("coalesce(zh, '')")
 _UN = f"u AS (SELECT block_key FROM (SELECT block_key, {_ZH} AS z FROM p) WHERE z = '' OR (len(regexp_extract_all(z, '[A-Za-z]')) >= 15 AND len(regexp_extract_all(z, '[A-Za-z]')) > 0.6::DOUBLE * length(z) AND NOT regexp_matches(z, '[\\x{{4e00}}-\\x{{9fff}}]')))"
@@ -105,8 +123,15 @@ _REPORT = rf"""WITH {_BASE}, {_UN}, {_LAND}, c AS (SELECT (SELECT count(*) FROM
 QUERIES = {
     "untranslated": untranslated, "page_cjk": page_cjk, "glossary_landing": glossary_landing, "qc_report": qc_report, "qc_summary": qc_summary, "translation_merge": translation_merge, "translation_counts": translation_counts,
     "render_completeness": render_completeness, "cell_dictionary": cell_dictionary, "cell_join": cell_join, "prompts": prompts, "page_selections": page_selections,
+    "document_checks": document_checks, "actionable_clusters": actionable_clusters,
 }
 ORACLES = {
+    "document_checks": f"""WITH {BLOCKS}, {LATEST}, o AS (SELECT paper_id, count(DISTINCT page) AS p, count(*) FILTER (kind = 'heading') AS t, count(*) FILTER (kind = 'figure_caption') AS i FROM b GROUP BY 1),
+ r AS (SELECT paper_id, count(DISTINCT page) AS p, count(*) FILTER (kind = 'heading') AS t, count(*) FILTER (kind = 'figure_caption') AS i FROM b WHERE block_key IN (SELECT block_key FROM n WHERE zh <> '') GROUP BY 1),
+ c AS (SELECT coalesce(o.p = r.p, false) AS p, r.p IS NOT NULL AS w, coalesce(o.t = r.t, false) AS t, coalesce(r.i >= o.i, false) AS i FROM o LEFT JOIN r USING (paper_id)),
+ x AS (SELECT 'pages' AS check_name, CASE WHEN p THEN 'PASS' ELSE 'FAIL' END AS level FROM c UNION ALL SELECT 'width', CASE WHEN w THEN 'PASS' ELSE 'WARN' END FROM c UNION ALL SELECT 'contents', CASE WHEN t THEN 'PASS' ELSE 'WARN' END FROM c UNION ALL SELECT 'images', CASE WHEN i THEN 'PASS' ELSE 'WARN' END FROM c)
+ SELECT check_name, level, count(*) AS n_papers FROM x GROUP BY 1, 2""",
+    "actionable_clusters": f"{_ROOTS}, {LATEST}, m AS (SELECT root, block_key FROM roots UNION SELECT root, root FROM roots), k AS (SELECT root, count(*) AS members FROM m GROUP BY 1) SELECT root, members FROM k JOIN v ON v.block_key = k.root LEFT JOIN (SELECT block_key, zh FROM n) n ON n.block_key = k.root WHERE NOT coalesce(v.math_only, false) OR coalesce(n.zh, '') <> ''",
     "untranslated": f"WITH {_BASE}, {_UN} SELECT block_key FROM u",
     "page_cjk": rf"WITH {_BASE} SELECT paper_id, page, CASE WHEN sum(length(coalesce(zh, ''))) > 0 THEN sum(len(regexp_extract_all(coalesce(zh, ''), '[\x{{4e00}}-\x{{9fff}}]')))::DOUBLE / sum(length(coalesce(zh, ''))) ELSE 0 END < 0.2::DOUBLE AS suspicious FROM p GROUP BY 1, 2",
     "glossary_landing": f"WITH {_BASE}, {_LAND} SELECT applicable, landed FROM lc",

@@ -66,3 +66,16 @@ def masked(command: list[str], secret_options: tuple[str, ...] = ("--api-key", "
 def first_existing(*paths: str | None) -> str | None:
     """The first path that exists."""
     return next((p for p in paths if p and Path(p).exists()), None)
+
+
+def doctor(required: tuple[str, ...] = ("pyspark", "pandas", "pyarrow", "numpy", "regex"), optional: tuple[str, ...] = ("tiktoken", "duckdb")) -> list[tuple[str, str, str]]:
+    """(name, level, detail) of what a run needs: libraries with their versions, and Java."""
+    from importlib import metadata, util
+    from shutil import which
+
+    rows = []
+    for name, missing in [*((n, "FAIL") for n in required), *((n, "WARN") for n in optional)]:
+        found = util.find_spec(name) is not None
+        rows.append((name, "PASS" if found else missing, metadata.version(name) if found else "not installed"))
+    java = which("java") or os.environ.get("JAVA_HOME")
+    return [*rows, ("java", "PASS" if java else "FAIL", java or "not found")]

@@ -100,3 +100,31 @@ def test_harvest(spark):
     pairs = spark.createDataFrame([(1, 5, "The speed estimator.", "车速估计器。"), (1, 6, "Keywords: dose planner; net", "关键词：剂量规划器；网络")], "kb_id int, block_key bigint, text string, zh string")
     got = {(r["source"], r["target"], r["confidence"]) for r in register.harvest(kb, pairs, F.lit("p")).collect()}
     assert got == {("speed estimator", "车速估计器", 0.93), ("dose planner", "剂量规划器", 0.95), ("net", "网络", 0.95)}
+
+
+SPANS = "array<struct<text:string,bbox:array<double>,size:double,font:string,flags:int>>"
+
+
+def test_block_text_and_records(spark):
+    line = lambda *parts: ([0.0, 0.0, 1.0, 1.0], [(t, [0.123, 0.0, 1.0, 1.0], s, "F", 0) for t, s in parts])
+    df = spark.createDataFrame([([line(("data-", 9.0)), line((" ", 9.0)), line(("driven ", 9.0), ("car", 12.0))],)], f"lines array<struct<bbox:array<double>,spans:{SPANS}>>")
+    got = df.select(spans.block_text(F.col("lines")).alias("t"), spans.line_records(F.col("lines")).alias("r"), spans.dominant_size(F.col("lines")[2]["spans"]).alias("s")).first()
+    assert got["t"] == "datadriven car" and [r["text"] for r in got["r"]] == ["data-", "driven car"] and got["r"][0]["spans"][0]["bbox"][0] == 0.12 and got["s"] == 9.0
+
+
+def test_sizes_inside(spark):
+    s = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 9.0, 5), (1, 1, 0.0, 0.0, 10.0, 10.0, 8.0, 5), (1, 1, 90.0, 0.0, 99.0, 10.0, 20.0, 50)], "paper_id long, page int, x0 double, y0 double, x1 double, y1 double, size double, chars int")
+    r = spark.createDataFrame([(1, 1, 7, 0.0, 0.0, 20.0, 20.0)], "paper_id long, page int, rectangle long, rx0 double, ry0 double, rx1 double, ry1 double")
+    assert [(x["rectangle"], x["size"]) for x in spans.sizes_inside(s, r).collect()] == [(7, 8.0)]
+
+
+def test_prompt_and_usage():
+    from quire.operators import translate
+
+    messages = translate.prompt([("a", "x")], [("net", "网络")], before="B")
+    assert "net = 网络" in messages[0]["content"] and "B" in messages[0]["content"] and json.loads(messages[1]["content"]) == [{"id": "a", "text": "x"}]
+    assert translate.add_usage({"in": 10}, {"in": 5, "out": 2}) == {"in": 15, "out": 2}
+
+
+def test_doctor():
+    assert all(level == "PASS" for name, level, _ in settings.doctor() if name == "pyspark")
