@@ -151,18 +151,20 @@ def nested_parents(blocks: DataFrame, ratio: float = 0.9) -> DataFrame:
 
 
 def nested_roots(blocks: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """(paper_id, page, block_key, root): the outermost block around each nested one.
+    """(paper_id, page, block_key, root, level): the outermost block around each nested one, and how many blocks lie around it.
 
-    A parent has a strictly larger area, so chains end; they are followed by a recursive query within pages.
+    A parent has a strictly larger area, so chains end. They stay within a page, so each page's links are followed in a map of their own.
     """
     links = nested_parents(blocks, ratio)
-    spark = blocks.sparkSession
-    links.createOrReplaceTempView("_q_links")
-    return spark.sql("""
-        WITH RECURSIVE up(paper_id, page, block_key, root, level) AS (
-            SELECT paper_id, page, block_key, parent, 1 FROM _q_links
-            UNION ALL SELECT u.paper_id, u.page, u.block_key, l.parent, u.level + 1 FROM up u JOIN _q_links l ON l.paper_id = u.paper_id AND l.page = u.page AND l.block_key = u.root)
-        SELECT paper_id, page, block_key, max_by(root, level) AS root, max(level) AS level FROM up GROUP BY paper_id, page, block_key""")
+    pages = links.groupBy("paper_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("block_key", "parent"))).alias("_up"))
+
+    def climb(at: Column, _: Column) -> Column:
+        above = F.try_element_at("_up", at["root"])
+        return F.when(above.isNull(), at).otherwise(F.struct(above.alias("root"), (at["level"] + 1).alias("level")))
+
+    start = lambda k: F.struct(F.try_element_at("_up", k).alias("root"), F.lit(1).alias("level"))
+    ends = F.transform(F.map_keys("_up"), lambda k: F.struct(k.alias("k"), F.aggregate(F.sequence(F.lit(1), F.size(F.col("_up"))), start(k), climb).alias("e")))
+    return pages.select("paper_id", "page", F.explode(ends).alias("_e")).select("paper_id", "page", F.col("_e.k").alias("block_key"), F.col("_e.e.root").alias("root"), F.col("_e.e.level").alias("level"))
 
 
 def cluster_boxes(blocks: DataFrame, roots: DataFrame) -> DataFrame:
