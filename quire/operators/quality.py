@@ -27,8 +27,8 @@ def untranslated(pairs: DataFrame) -> DataFrame:
 
 def landing(terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """(applicable, landed): terms whose source occurs in a translated block, and those of them whose target occurs in a translation."""
-    used = terminology.mentioned(terms, pairs.select("block_key", "text")).select("_id").distinct()
-    landed = terminology.landed(terms, pairs.select("block_key", "zh")).select("_id").distinct().withColumn("_l", F.lit(1))
+    used = terminology.mentions(terms, pairs.select("block_key", "text")).select("_id")
+    landed = terminology.landed(terms, pairs.select("block_key", "zh")).withColumn("_l", F.lit(1))
     return used.join(landed, "_id", "left").agg(F.count("*").alias("applicable"), F.count("_l").alias("landed"))
 
 

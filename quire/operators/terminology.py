@@ -142,53 +142,69 @@ def keyword_pairs(pairs: DataFrame) -> DataFrame:
     return rows.where(F.col("source").rlike("[A-Za-z]") & F.col("target").rlike(r"[\x{4e00}-\x{9fff}]") & (F.length("source") > 2))
 
 
-def _bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2))))
+def _openings(text: Column, n: int = 4) -> Column:
+    """Every distinct run of one to ``n`` characters: what a term in the text can begin with."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(every, *[F.transform(every, _left(k)) for k in range(1, n)])))
+
+
+def _left(k: int):
+    return lambda x: F.left(x, F.lit(k))
 
 
 def landed(terms: DataFrame, translations: DataFrame) -> DataFrame:
-    """(_id, block_key) of terms whose target (white space aside) occurs in a translation.
+    """(_id) of terms whose target (white space aside) occurs in a translation.
 
-    ``terms`` has _id and target, ``translations`` block_key and zh. Joined on the target's first two characters against the translations'
-    character pairs, then verified; neither side is multiplied with the other.
+    ``terms`` has _id and target, ``translations`` block_key and zh. Every distinct target is joined on its first four characters (a shorter one on all)
+    with what the translations' terms can begin with; only keys and ids meet there, and the texts are fetched for the candidates to verify.
     """
-    t = terms.select("_id", no_space(F.col("target")).alias("_target")).where("_target <> ''").withColumn("_k", F.substr("_target", F.lit(1), F.lit(2)))
+    t = terms.select("_id", no_space(F.col("target")).alias("_target")).where("_target <> ''")
+    distinct = t.select("_target").distinct().withColumn("_k", F.left("_target", F.lit(4)))
     z = translations.select("block_key", no_space(F.col("zh")).alias("_zh")).where(F.length("_zh") > 0)
-    keyed = z.select("block_key", "_zh", F.explode(F.when(F.length("_zh") > 1, F.concat(_bigrams(F.col("_zh")), F.array_distinct(F.split("_zh", "")))).otherwise(F.array("_zh"))).alias("_k"))
-    return keyed.join(t, "_k").where(F.contains("_zh", "_target")).select("_id", "block_key").distinct()
+    candidates = z.select("block_key", F.explode(_openings(F.col("_zh"))).alias("_k")).join(distinct, "_k").select("block_key", "_target")
+    hits = candidates.join(z, "block_key").where(F.contains("_zh", "_target")).select("_target").distinct()
+    return t.join(hits, "_target", "left_semi").select("_id")
 
 
 def mentioned(terms: DataFrame, blocks: DataFrame) -> DataFrame:
     """(_id, block_key) of terms that occur in a text at word boundaries, blanks matching hyphens too.
 
-    ``terms`` has _id and source, ``blocks`` block_key and text. Joined on the term's first two words (or its only one) against the texts'
-    words and pairs of words, then verified with the term's pattern.
+    ``terms`` has _id and source, ``blocks`` block_key and text. Joined on the term's first two words (or its only one) with the texts' words and pairs
+    of words; the texts are fetched for the candidates and verified with the term's pattern.
     """
     word = r"[^a-z0-9]+"
     split = lambda c: F.filter(F.split(F.lower(c), word), lambda w: w != "")
-    t = terms.where("source IS NOT NULL").select("_id", "source", split(F.col("source")).alias("_w"), term_pattern(F.col("source")).alias("_p")).where(F.size("_w") > 0)
-    t = t.withColumn("_k", F.array_join(F.slice("_w", 1, 2), " "))
-    b = blocks.where("text IS NOT NULL").select("block_key", F.lower("text").alias("_text"), split(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    t = terms.where("source IS NOT NULL").select("_id", split(F.col("source")).alias("_w"), term_pattern(F.col("source")).alias("_p")).where(F.size("_w") > 0)
+    t = t.select("_id", "_p", F.array_join(F.slice("_w", 1, 2), " ").alias("_k"))
+    b = blocks.where("text IS NOT NULL").select("block_key", F.lower("text").alias("_text"))
+    w = b.select("block_key", split(F.col("_text")).alias("_w")).where(F.size("_w") > 0)
     two = F.zip_with("_w", F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
-    keyed = b.select("block_key", "_text", F.explode(F.array_distinct(F.concat("_w", two))).alias("_k"))
-    return keyed.join(t.select("_id", "_p", "_k"), "_k").where(F.regexp("_text", F.col("_p"))).select("_id", "block_key").distinct()
+    candidates = w.select("block_key", F.explode(F.array_distinct(F.concat("_w", two))).alias("_k")).join(t, "_k").select("block_key", "_id", "_p")
+    return candidates.join(b, "block_key").where(F.regexp("_text", F.col("_p"))).select("_id", "block_key").distinct()
+
+
+def mentions(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(_id, n_blocks, first_block) of the terms that occur; terms of equal source are looked up once."""
+    found = mentioned(terms.select(F.col("source").alias("_id"), "source").distinct(), blocks)
+    counts = found.groupBy(F.col("_id").alias("source")).agg(F.count("*").alias("n_blocks"), F.min("block_key").alias("first_block"))
+    return terms.select("_id", "source").join(counts, "source").select("_id", "n_blocks", "first_block")
 
 
 def audit(terms: DataFrame, blocks: DataFrame, translations: DataFrame) -> DataFrame:
     """(_id, n_blocks, first_block) of terms whose target occurs in no translation though their source occurs in translated blocks."""
-    missing = terms.where(no_space(F.coalesce("target", F.lit(""))) != "").join(landed(terms, translations).select("_id").distinct(), "_id", "left_anti")
+    missing = terms.where(no_space(F.coalesce("target", F.lit(""))) != "").join(landed(terms, translations), "_id", "left_anti")
     done = blocks.join(translations.where("zh <> ''").select("block_key"), "block_key", "left_semi")
-    return mentioned(missing, done).groupBy("_id").agg(F.count("*").alias("n_blocks"), F.min("block_key").alias("first_block"))
+    return mentions(missing, done)
 
 
 def confirmations(terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """(_id, first_block) of terms whose source and target both occur in one block and its translation (as plain substrings)."""
     t = terms.where("target <> '' AND source <> ''").select("_id", "target", normalize_key(F.col("source")).alias("_s"))
+    distinct = t.select("target", "_s").distinct().withColumn("_k", F.left("target", F.lit(4)))
     z = pairs.where("zh <> ''").select("block_key", "zh", normalize_key(F.col("text")).alias("_text"))
-    keyed = z.select("block_key", "zh", "_text", F.explode(F.concat(_bigrams(F.col("zh")), F.array_distinct(F.split("zh", "")))).alias("_k"))
-    hits = keyed.join(t.withColumn("_k", F.substr("target", F.lit(1), F.lit(2))), "_k").where(F.contains("zh", "target") & F.contains("_text", "_s"))
-    return hits.groupBy("_id").agg(F.min("block_key").alias("first_block"))
+    candidates = z.select("block_key", F.explode(_openings(F.col("zh"))).alias("_k")).join(distinct, "_k").select("block_key", "target", "_s")
+    hits = candidates.join(z, "block_key").where(F.contains("zh", "target") & F.contains("_text", "_s")).groupBy("target", "_s").agg(F.min("block_key").alias("first_block"))
+    return t.join(hits, ["target", "_s"]).select("_id", "first_block")
 
 
 def lookup(glossary: DataFrame, query: str, limit: int = 20) -> DataFrame:
