@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +16,16 @@ def grade(value: Column, passes: Column, warns: Column) -> Column:
     return F.when(passes, "PASS").when(warns, "WARN").otherwise("FAIL")
 
 
-def untranslated(pairs: DataFrame) -> DataFrame:
-    """(block_key) of blocks with a missing translation, or one of 15 or more Latin letters, above 60 % of it, without a Chinese character."""
-    zh = strip(F.coalesce("zh", F.lit("")))
+def is_untranslated(zh: Column) -> Column:
+    """Nothing, or 15 or more Latin letters, above 60 % of the text, without a Chinese character."""
+    zh = strip(F.coalesce(zh, F.lit("")))
     letters = F.regexp_count(zh, F.lit("[A-Za-z]"))
-    return pairs.where((zh == "") | ((letters >= 15) & (letters > 0.6 * F.length(zh)) & ~zh.rlike(f"[{CJK}]"))).select("block_key")
+    return (zh == "") | ((letters >= 15) & (letters > 0.6 * F.length(zh)) & ~zh.rlike(f"[{CJK}]"))
+
+
+def untranslated(pairs: DataFrame) -> DataFrame:
+    """(block_key) of blocks without a translation."""
+    return pairs.where(is_untranslated(F.col("zh"))).select("block_key")
 
 
 def landing(terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -54,20 +57,24 @@ def complete(pairs: DataFrame, rendered: DataFrame) -> DataFrame:
 
 def report(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """One row per check over ``pairs`` (block_key, text, zh; blocks that should be translated) and ``terms`` (_id, source, target)."""
-    one = lambda df, name, value, level, detail: df.select(F.lit(name).alias("check_name"), level.alias("level"), value.cast("double").alias("value"), detail.alias("detail"))
-    missing = untranslated(pairs).agg(F.count("*").alias("n"))
-    n = F.col("n")
-    parts = [one(missing, "untranslated blocks", n, grade(n, n == 0, n < 10), F.concat(n.cast("string"), F.lit(" blocks")))]
-    land = landing(terms, pairs.where("zh <> ''"))
-    rate = F.when(F.col("applicable") > 0, F.col("landed") / F.col("applicable")).otherwise(0.0)
-    parts.append(one(land, "terms landed", rate, grade(rate, rate >= 0.8, rate >= 0.6), F.concat_ws("/", "landed", "applicable")))
-    for name, pattern, passes, warns in (("compatibility characters", r"[\x{f900}-\x{faff}]", 1, 21), ("blanks between characters", rf"[{CJK}] [{CJK}]", 50, 400)):
-        sums = pairs.agg(F.coalesce(F.sum(F.regexp_count(F.coalesce("zh", F.lit("")), F.lit(pattern))), F.lit(0)).alias("n"))
-        parts.append(one(sums, name, n, grade(n, n < passes, n < warns), F.concat(n.cast("string"), F.lit(" found"))))
-    shares = pairs.agg(F.count_if(strip(F.coalesce("zh", F.lit(""))) != "").alias("k"), F.count("*").alias("n"))
-    share = F.when(n > 0, F.col("k") / n).otherwise(0.0)
-    parts.append(one(shares, "coverage", share, F.when(n == 0, "INFO").otherwise(grade(share, share >= 0.95, share >= 0.8)), F.concat_ws("/", "k", "n")))
-    return reduce(DataFrame.unionByName, parts)
+    zh = F.coalesce("zh", F.lit(""))
+    found = lambda pattern: F.coalesce(F.sum(F.regexp_count(zh, F.lit(pattern))), F.lit(0))
+    sums = pairs.agg(
+        F.count_if(is_untranslated(F.col("zh"))).alias("missing"), found(r"[\x{f900}-\x{faff}]").alias("compat"), found(rf"[{CJK}] [{CJK}]").alias("gaps"),
+        F.count_if(strip(zh) != "").alias("k"), F.count("*").alias("n"),
+    )
+    row = lambda name, value, level, detail: F.struct(F.lit(name).alias("check_name"), level.alias("level"), value.cast("double").alias("value"), detail.alias("detail"))
+    c = F.col
+    share = F.when(c("n") > 0, c("k") / c("n")).otherwise(0.0)
+    rows = [
+        row("untranslated blocks", c("missing"), grade(c("missing"), c("missing") == 0, c("missing") < 10), F.concat(c("missing").cast("string"), F.lit(" blocks"))),
+        row("compatibility characters", c("compat"), grade(c("compat"), c("compat") < 1, c("compat") < 21), F.concat(c("compat").cast("string"), F.lit(" found"))),
+        row("blanks between characters", c("gaps"), grade(c("gaps"), c("gaps") < 50, c("gaps") < 400), F.concat(c("gaps").cast("string"), F.lit(" found"))),
+        row("coverage", share, F.when(c("n") == 0, "INFO").otherwise(grade(share, share >= 0.95, share >= 0.8)), F.concat_ws("/", "k", "n")),
+    ]
+    rate = F.when(c("applicable") > 0, c("landed") / c("applicable")).otherwise(0.0)
+    land = landing(terms, pairs.where("zh <> ''")).select(row("terms landed", rate, grade(rate, rate >= 0.8, rate >= 0.6), F.concat_ws("/", "landed", "applicable")).alias("_r")).select("_r.*")
+    return sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*").unionByName(land)
 
 
 def document_checks(original: DataFrame, rendered: DataFrame, key: str) -> DataFrame:

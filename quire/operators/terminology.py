@@ -142,10 +142,12 @@ def keyword_pairs(pairs: DataFrame) -> DataFrame:
     return rows.where(F.col("source").rlike("[A-Za-z]") & F.col("target").rlike(r"[\x{4e00}-\x{9fff}]") & (F.length("source") > 2))
 
 
-def _openings(text: Column, n: int = 4) -> Column:
-    """Every distinct run of one to ``n`` characters: what a term in the text can begin with."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.array(every, *[F.transform(every, _left(k)) for k in range(1, n)])))
+def _openings(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
+    """(key, _k): every distinct run of one to ``n`` characters of a text: what a term in it can begin with."""
+    chars = df.select(key, F.split(text, "").alias("_c"))  # a column of its own: looked up by position, the text would be scanned for each run
+    runs = F.transform(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: F.concat(*[F.coalesce(F.get("_c", i + j), F.lit("")) for j in range(n)]))
+    every = chars.where(F.size("_c") > 0).select(key, F.array_distinct(runs).alias("_r"))
+    return every.select(key, F.explode(F.array_distinct(F.concat("_r", *[F.transform("_r", _left(k)) for k in range(1, n)]))).alias("_k")).where("_k <> ''")
 
 
 def _left(k: int):
@@ -161,7 +163,7 @@ def landed(terms: DataFrame, translations: DataFrame) -> DataFrame:
     t = terms.select("_id", no_space(F.col("target")).alias("_target")).where("_target <> ''")
     distinct = t.select("_target").distinct().withColumn("_k", F.left("_target", F.lit(4)))
     z = translations.select("block_key", no_space(F.col("zh")).alias("_zh")).where(F.length("_zh") > 0)
-    candidates = z.select("block_key", F.explode(_openings(F.col("_zh"))).alias("_k")).join(distinct, "_k").select("block_key", "_target")
+    candidates = _openings(z, "block_key", "_zh").join(distinct, "_k").select("block_key", "_target")
     hits = candidates.join(z, "block_key").where(F.contains("_zh", "_target")).select("_target").distinct()
     return t.join(hits, "_target", "left_semi").select("_id")
 
@@ -202,7 +204,7 @@ def confirmations(terms: DataFrame, pairs: DataFrame) -> DataFrame:
     t = terms.where("target <> '' AND source <> ''").select("_id", "target", normalize_key(F.col("source")).alias("_s"))
     distinct = t.select("target", "_s").distinct().withColumn("_k", F.left("target", F.lit(4)))
     z = pairs.where("zh <> ''").select("block_key", "zh", normalize_key(F.col("text")).alias("_text"))
-    candidates = z.select("block_key", F.explode(_openings(F.col("zh"))).alias("_k")).join(distinct, "_k").select("block_key", "target", "_s")
+    candidates = _openings(z, "block_key", "zh").join(distinct, "_k").select("block_key", "target", "_s")
     hits = candidates.join(z, "block_key").where(F.contains("zh", "target") & F.contains("_text", "_s")).groupBy("target", "_s").agg(F.min("block_key").alias("first_block"))
     return t.join(hits, ["target", "_s"]).select("_id", "first_block")
 
