@@ -38,7 +38,7 @@ CYRILLIC_LOOKALIKES = {
 }
 OTHER_LOOKALIKES = {"ı": "i", "ɑ": "a", "ɡ": "g", "ո": "n", "օ": "o", "Օ": "O", "Տ": "S", "հ": "h", "ս": "u"}
 HYPHENS = "‐‑﹣－"
-LINE_BREAKS = "\n\r\u0085  "
+LINE_BREAKS = "\n\r\u0085\u2028\u2029"
 #: Marks that only choose a glyph for the character before them.
 SELECTORS = [chr(c) for c in (*range(0xFE00, 0xFE10), *range(0x180B, 0x180E), 0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)]
 
