@@ -40,19 +40,35 @@ def paper_slug(subject: Column, name: Column) -> Column:
 
 
 def harvest(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
-    """The knowledge base after a paper's blocks: terms found again gain a hit and 0.03 confidence (at most 0.95), mined pairs are folded in after.
+    """The knowledge bases after a paper's blocks: terms found again gain a hit, the paper and 0.03 confidence (at most 0.95), mined pairs are folded in after.
 
-    ``kb`` is evidence (kb_id, source, target, confidence, kind, paper, seq), ``pairs`` has kb_id, block_key, text and zh.
+    ``kb`` is evidence (kb_id, source, target, confidence, kind, paper, seq), ``pairs`` has block_key, text and zh, and kb_id if a pair is for one base
+    only; else every base of ``kb`` is harvested from all pairs. The rows are evidence for ``terminology.upsert``, the confirmations marked by ``again``.
     """
-    terms = kb.select(F.col("seq").alias("_id"), "source", "target")
-    hits = terminology.confirmations(terms, pairs).select(F.col("_id").alias("seq"), F.lit(True).alias("_hit"))
-    again = kb.join(hits, "seq", "left").withColumn("confidence", F.when(F.col("_hit"), F.least(F.lit(0.95), F.round(F.col("confidence") + 0.03, 2))).otherwise(F.col("confidence"))).drop("_hit")
-    known = kb.select(normalize_key(F.col("source")).alias("term")).distinct()
-    acronyms = terminology.acronym_pairs(pairs, known).select("block_key", "source", "target", F.lit(0.78).alias("confidence"), F.lit("acronym").alias("kind"))
-    keywords = terminology.keyword_pairs(pairs).select("block_key", "source", "target", F.lit(0.95).alias("confidence"), F.lit("keyword").alias("kind"))
-    mined = acronyms.unionByName(keywords).join(pairs.select("block_key", "kb_id"), "block_key")
+    own = ["kb_id"] if "kb_id" in pairs.columns else []
     last = 10**12  # mined evidence comes after all that is known
-    return again.unionByName(mined.select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), (F.col("block_key") + last).alias("seq")))
+    terms = kb.select(F.struct("kb_id", "seq").alias("_id"), *own, "source", "target")
+    hits = terminology.confirmations(terms, pairs, own).select("_id.kb_id", "_id.seq", F.lit(True).alias("_hit")).distinct()
+    raised = kb.join(hits, ["kb_id", "seq"], "left").withColumn("confidence", F.when(F.col("_hit"), F.least(F.lit(0.95), F.round(F.col("confidence") + 0.03, 2))).otherwise(F.col("confidence")))
+    # a term's first row found again is its one confirmation, after all that is known
+    nth = F.row_number().over(Window.partitionBy("kb_id", normalize_key(F.col("source"))).orderBy(F.col("_hit").desc_nulls_last(), "seq"))
+    row = F.struct(F.col("paper").cast("string").alias("paper"), F.col("seq").cast("bigint").alias("seq"), F.lit(False).alias("again"))
+    once = F.struct(paper.cast("string").alias("paper"), F.lit(last - 1).cast("bigint").alias("seq"), F.lit(True).alias("again"))
+    again = raised.withColumn("_first", F.coalesce(F.col("_hit") & (nth == 1), F.lit(False)))
+    again = again.select("kb_id", "source", "target", "confidence", "kind", F.explode(F.when(F.col("_first"), F.array(row, once)).otherwise(F.array(row))).alias("_r"))
+
+    texts = pairs.dropDuplicates(["block_key"]) if own else pairs
+    acronyms = terminology.acronym_pairs(texts, None).select("block_key", F.lower("acronym").alias("_t"), "source", "target", F.lit(0.78).alias("confidence"), F.lit("acronym").alias("kind"))
+    keywords = terminology.keyword_pairs(texts).select("block_key", F.lit(None).cast("string").alias("_t"), "source", "target", F.lit(0.95).alias("confidence"), F.lit("keyword").alias("kind"))
+    mined = acronyms.unionByName(keywords)
+    if own:
+        mined = mined.join(pairs.select("block_key", "kb_id"), "block_key")
+    else:  # the same pair mined again changes nothing, so each goes to the bases once
+        same = mined.groupBy(normalize_key(F.col("source")).alias("_s"), "_t", "target", "confidence", "kind").agg(F.min_by("source", "block_key").alias("source"), F.min("block_key").alias("block_key"))
+        mined = same.crossJoin(F.broadcast(kb.select("kb_id").distinct()))
+    known = kb.select("kb_id", normalize_key(F.col("source")).alias("_t")).distinct()
+    mined = mined.join(known, ["kb_id", "_t"], "left_anti").select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), (F.col("block_key") + last).alias("seq"), F.lit(False).alias("again"))
+    return again.select("kb_id", "source", "target", "confidence", "kind", "_r.*").unionByName(mined)
 
 
 def seed_evidence(glossary: DataFrame, kb_id: int) -> DataFrame:

@@ -51,6 +51,12 @@ class Entry:
             self.target, self.confidence, self.kind = target, round(confidence, 2), kind
         self.alternatives = known[:MAX_ALTERNATIVES]
 
+    def confirm(self, paper: str, strict: bool) -> None:
+        """The term was found again in a paper: a hit, and the paper if it isn't known yet."""
+        self.hits += 1
+        if paper and (paper not in ";".join(self.papers) if strict else paper not in self.papers):
+            self.papers.append(paper)
+
 
 def _fold(strict: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,10 +69,12 @@ def _fold(strict: bool):
 
         columns = ["kb_id", "source", "target", "confidence", "source_kind", "hits", "papers", "target_alt"]
         for part in parts:
-            for kb, k, source, target, confidence, kind, paper in zip(part["kb_id"], part["_key"], part["source"], part["target"], part["confidence"], part["kind"], part["paper"]):
+            for kb, k, source, target, confidence, kind, paper, again in zip(part["kb_id"], part["_key"], part["source"], part["target"], part["confidence"], part["kind"], part["paper"], part["again"]):
                 if (kb, k) != key:
                     close()
                     key, entry = (kb, k), Entry(source, target, confidence, kind, paper)
+                elif again:
+                    entry.confirm(paper, strict)
                 else:
                     entry.add(target, confidence, kind, paper, strict)
             if len(done) >= 10_000:
@@ -89,11 +97,12 @@ def acceptable(source: Column, target: Column) -> Column:
 def upsert(evidence: DataFrame, strict_compat: bool = True) -> DataFrame:
     """(kb_id, source, target, confidence, source_kind, hits, papers, target_alt): the terms after all evidence, in order of ``seq``.
 
-    ``evidence`` has kb_id, source, target, confidence, kind, paper ('' for none) and seq. The rules aren't commutative, so evidence of a term
+    ``evidence`` has kb_id, source, target, confidence, kind, paper ('' for none), seq, and perhaps again: a confirmation of the term so far. The rules aren't commutative, so evidence of a term
     is folded in order: partitions are sorted by term and streamed, one entry is held at a time, and no group is collected.
     """
     rows = evidence.withColumns({"source": strip(F.col("source")), "target": strip(F.col("target"))}).where(acceptable(F.col("source"), F.col("target")))
-    keyed = rows.select("kb_id", normalize_key(F.col("source")).alias("_key"), "seq", "source", "target", F.col("confidence").cast("double"), "kind", F.coalesce("paper", F.lit("")).alias("paper"))
+    again = F.coalesce("again", F.lit(False)) if "again" in evidence.columns else F.lit(False)
+    keyed = rows.select("kb_id", normalize_key(F.col("source")).alias("_key"), "seq", "source", "target", F.col("confidence").cast("double"), "kind", F.coalesce("paper", F.lit("")).alias("paper"), again.alias("again"))
     streamed = keyed.repartition("kb_id", "_key").sortWithinPartitions("kb_id", "_key", "seq")
     return streamed.mapInPandas(_fold(strict_compat), "kb_id int, source string, target string, confidence double, source_kind string, hits int, papers string, target_alt string")
 
@@ -117,10 +126,10 @@ def _glosses(df: DataFrame, text: str, pattern: str, clean, names: tuple[str, st
     return rows.groupBy("block_key", "acronym").agg(F.min_by("_name", "_pos").alias(names[0]))
 
 
-def acronym_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def acronym_pairs(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
     """(block_key, acronym, source, target) mined from "full name (ABC)" in the text and its counterpart in the translation of the same block.
 
-    ``pairs`` has block_key, text and zh. Gates: the acronym is no known source (``known``: term); the name doesn't begin with a participle;
+    ``pairs`` has block_key, text and zh. Gates: the acronym is no known source (``known``: term; None: not checked); the name doesn't begin with a participle;
     the target's length suits the number of words.
     """
     en = _glosses(pairs, "text", EN_ACRONYM, english_phrase, ("source", ""))
@@ -130,7 +139,8 @@ def acronym_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     low = F.greatest(F.lit(3), n * 2)
     high = F.least(F.lit(24), F.greatest(low, n * 4))
     fits = F.length("target").between(low, high) & ~((F.length(first) > 4) & first.rlike("(ed|ing)$")) & (normalize_key(F.col("source")) != normalize_key(F.col("target")))
-    return en.join(zh, ["block_key", "acronym"]).where(fits).join(known.select(F.col("term").alias("_t")), F.lower("acronym") == F.col("_t"), "left_anti")
+    found = en.join(zh, ["block_key", "acronym"]).where(fits)
+    return found if known is None else found.join(known.select(F.col("term").alias("_t")), F.lower("acronym") == F.col("_t"), "left_anti")
 
 
 def keyword_pairs(pairs: DataFrame) -> DataFrame:
@@ -199,14 +209,21 @@ def audit(terms: DataFrame, blocks: DataFrame, translations: DataFrame) -> DataF
     return mentions(missing, done)
 
 
-def confirmations(terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(_id, first_block) of terms whose source and target both occur in one block and its translation (as plain substrings)."""
-    t = terms.where("target <> '' AND source <> ''").select("_id", "target", normalize_key(F.col("source")).alias("_s"))
-    distinct = t.select("target", "_s").distinct().withColumn("_k", F.left("target", F.lit(4)))
-    z = pairs.where("zh <> ''").select("block_key", "zh", normalize_key(F.col("text")).alias("_text"))
-    candidates = _openings(z, "block_key", "zh").join(distinct, "_k").select("block_key", "target", "_s")
-    hits = candidates.join(z, "block_key").where(F.contains("zh", "target") & F.contains("_text", "_s")).groupBy("target", "_s").agg(F.min("block_key").alias("first_block"))
-    return t.join(hits, ["target", "_s"]).select("_id", "first_block")
+def confirmations(terms: DataFrame, pairs: DataFrame, own: list[str] | None = None) -> DataFrame:
+    """(_id, first_block) of terms whose source and target both occur in one block and its translation (as plain substrings).
+
+    ``own``: columns of both in which a term and a pair have to agree.
+    """
+    own = own or []
+    t = terms.where("target <> '' AND source <> ''").select("_id", *own, "target", normalize_key(F.col("source")).alias("_s"))
+    distinct = t.select(*own, "target", "_s").distinct().withColumn("_k", F.left("target", F.lit(4)))
+    z = pairs.where("zh <> ''").select("block_key", *own, "zh", normalize_key(F.col("text")).alias("_text"))
+    opened = _openings(z.select("block_key", "zh").distinct() if own else z, "block_key", "zh")
+    opened = opened.join(F.broadcast(distinct.select("_k").distinct()), "_k", "left_semi")  # before the shuffle: most runs begin no term
+    candidates = opened.join(z.select("block_key", *own), "block_key") if own else opened
+    candidates = candidates.join(distinct, ["_k", *own]).select("block_key", *own, "target", "_s")
+    hits = candidates.join(z, ["block_key", *own]).where(F.contains("zh", "target") & F.contains("_text", "_s")).groupBy(*own, "target", "_s").agg(F.min("block_key").alias("first_block"))
+    return t.join(hits, [*own, "target", "_s"]).select("_id", "first_block")
 
 
 def lookup(glossary: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -36,10 +36,10 @@ def paper_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kb_harvest(spark: SparkSession, d: str) -> DataFrame:
-    """Knowledge base 1 after harvesting all translated blocks."""
-    rows = table(spark, d, "glossary").where(_USABLE).where("kb_id = 1 AND target <> ''")
+    """Every knowledge base after harvesting all translated blocks."""
+    rows = table(spark, d, "glossary").where(_USABLE).where("target <> ''")
     kb = rows.select("kb_id", "source", "target", "confidence", F.col("source_kind").alias("kind"), F.coalesce(F.get("papers", F.lit(0)), F.lit("")).alias("paper"), F.col("gid").alias("seq"))
-    return terminology.upsert(register.harvest(kb, _pairs(spark, d).withColumn("kb_id", F.lit(1)), F.lit("now")))
+    return terminology.upsert(register.harvest(kb, _pairs(spark, d), F.lit("now")))
 
 
 def legacy_merge(spark: SparkSession, d: str) -> DataFrame:
