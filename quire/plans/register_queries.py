@@ -45,7 +45,7 @@ def kb_harvest(spark: SparkSession, d: str) -> DataFrame:
 def legacy_merge(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d, "size", "text", "heading", "bold", "math_only", "kind").where("x0 IS NOT NULL AND kind IS DISTINCT FROM 'table'")
     done = latest(spark, d, "zh").select("block_key", (F.coalesce("zh", F.lit("")) != "").alias("done"))
-    out = register.merge_old_layout(b.join(done, "block_key", "left").withColumn("done", F.coalesce("done", F.lit(False)) & (F.col("block_key") % 2 == 0)))
+    out = register.merge_old_layout(b.join(done, "block_key", "left").withColumn("done", F.coalesce("done", F.lit(False))))
     return out.select("paper_id", "page", "head", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 

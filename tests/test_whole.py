@@ -1,8 +1,16 @@
 """Jobs that are done whole: no base, kind or block is left out."""
 
+import os
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import register, terminology
+from quire.plans import catalogue, register_queries
+
+DATA = "/root/testdata/sf0.001"
+real = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 EVIDENCE = "kb_id int, source string, target string, confidence double, kind string, paper string, seq bigint"
 PAIRS = "block_key bigint, text string, zh string"
@@ -24,3 +32,31 @@ def test_harvest_keeps_pairs_of_one_base_there(spark):
     pairs = spark.createDataFrame([(2, 5, "The speed estimator.", "车速估计器。"), (2, 6, "Keywords: net", "关键词：网络")], "kb_id int, " + PAIRS)
     got = {(r["kb_id"], r["source"]): (r["confidence"], r["hits"], r["papers"]) for r in terminology.upsert(register.harvest(kb, pairs, F.lit("p"))).collect()}
     assert got == {(1, "speed estimator"): (0.9, 1, "a"), (2, "speed estimator"): (0.53, 2, "b;p"), (2, "net"): (0.95, 1, "p")}
+
+
+def write(spark, d, blocks, translations):
+    """Tables of (block_key, page, y0, kind, text) with one column each page, and of (block_key, zh)."""
+    rows = [(k, 1, page, [50.0, y, 250.0, y + 20.0], "left", kind, text, 10.0, False, False, False, k, False) for k, page, y, kind, text in blocks]
+    spark.createDataFrame(rows, "block_key long, paper_id long, page int, bbox array<double>, col string, kind string, text string, size double, heading boolean, bold boolean, math_only boolean, flow_index int, flow_break boolean").write.parquet(f"{d}/blocks.parquet")
+    spark.createDataFrame([(k, k, 1, zh) for k, zh in translations], "entry_id long, block_key long, run_no int, zh string").write.parquet(f"{d}/translations.parquet")
+
+
+def equal_to_sql(spark, name, old, new):
+    """Whether the query equals its SQL without the cut ``old``."""
+    con = duckdb.connect()
+    for t in ("blocks", "translations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = catalogue.QUERIES[name](spark, DATA)
+    want = con.sql(catalogue.ORACLES[name].replace(old, new)).project(", ".join(df.columns)).fetchall()
+    return sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_legacy_merge_sees_translations_of_odd_keys(spark, tmp_path):
+    lines = [(10, 1, 100.0), (11, 1, 124.0), (20, 2, 100.0), (22, 2, 124.0), (30, 3, 100.0), (31, 3, 124.0), (40, 4, 100.0), (41, 4, 124.0)]
+    write(spark, tmp_path, [(k, page, y, "body", "some words") for k, page, y in lines], [(11, "译文"), (22, "译文"), (30, "译文"), (41, "")])
+    assert sorted((r["head"], r["members"]) for r in register_queries.legacy_merge(spark, str(tmp_path)).collect()) == [(30, "30,31"), (40, "40,41")]
+
+
+@real
+def test_legacy_merge_equals_sql_without_modulo(spark):
+    assert equal_to_sql(spark, "legacy_merge", " AND b.block_key % 2 = 0", "")
