@@ -49,7 +49,7 @@ def pending(blocks: DataFrame, done: DataFrame | None, budget: int = 4000) -> Da
     if done is not None:
         valid = planning.resume_status(done.where("zh <> ''"), blocks).where("status = 'valid'").select("block_key")
         items = items.join(valid, "block_key", "left_anti")
-    items = items.where("kind NOT IN ('table', 'meta', 'math_only')")
+    items = items.where("coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')")
     breaks = F.coalesce("flow_break", F.lit(False)) | F.coalesce(F.col("kind").isin(*layout.STRUCTURAL), F.lit(False))
     batches = planning.flow_batches(items, breaks, budget)
     texts = items.select("block_key", "text")
@@ -64,5 +64,5 @@ def run(spark: SparkSession, blocks: DataFrame, terms: DataFrame, store: str, tr
     fresh = made.join(ready.select("block_key", "source_hash", "layout_uid"), "block_key").select("block_key", "zh", "source_hash", "layout_uid")
     kept = fresh if done is None else done.join(fresh.select("block_key"), "block_key", "left_anti").unionByName(fresh)
     entries = commit(kept, store, "translations")
-    wanted = ready.where("kind NOT IN ('table', 'meta', 'math_only')").select("block_key", "text")
+    wanted = ready.where("coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')").select("block_key", "text")
     return commit(quality.report(wanted.join(entries.select("block_key", "zh"), "block_key", "left"), terms), store, "report")

@@ -93,7 +93,7 @@ def missing_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_batches(spark: SparkSession, d: str) -> DataFrame:
-    items = planning.positions(blocks(spark, d, "text", "kind", "flow_index", "flow_break")).where("kind NOT IN ('table', 'meta', 'math_only')")
+    items = planning.positions(blocks(spark, d, "text", "kind", "flow_index", "flow_break")).where("coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')")
     breaks = F.coalesce("flow_break", F.lit(False)) | F.coalesce(F.col("kind").isin(*layout.STRUCTURAL), F.lit(False))
     return planning.flow_batches(items, breaks, BUDGET).select("paper_id", "block_key", "run", "batch")
 

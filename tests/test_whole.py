@@ -1,5 +1,6 @@
 """Jobs that are done whole: no base, kind or block is left out."""
 
+import json
 import os
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import register, terminology
-from quire.plans import catalogue, register_queries
+from quire.plans import catalogue, jobs, layout_queries, register_queries
 
 DATA = "/root/testdata/sf0.001"
 real = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -60,3 +61,22 @@ def test_legacy_merge_sees_translations_of_odd_keys(spark, tmp_path):
 @real
 def test_legacy_merge_equals_sql_without_modulo(spark):
     assert equal_to_sql(spark, "legacy_merge", " AND b.block_key % 2 = 0", "")
+
+
+def test_blocks_without_kind_are_batched(spark, tmp_path):
+    write(spark, tmp_path, [(1, 1, 100.0, "body", "One."), (2, 1, 124.0, None, "Two."), (3, 1, 148.0, "table", "3 4"), (4, 1, 172.0, "meta", "m"), (5, 1, 196.0, "math_only", "x")], [])
+    assert sorted((r["block_key"], r["run"], r["batch"]) for r in layout_queries.flow_batches(spark, str(tmp_path)).collect()) == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_blocks_without_kind_are_translated_and_reported(spark, tmp_path):
+    rows = [(1, 1, k, 50.0, 100.0 + 30 * k, 250.0, 120.0 + 30 * k, "left", kind, f"text {k}.") for k, kind in ((1, "body"), (2, None), (3, "table"))]
+    blocks = spark.createDataFrame(rows, "paper_id long, page int, block_key long, x0 double, y0 double, x1 double, y1 double, col string, kind string, text string")
+    assert sorted(r["id"] for r in jobs.pending(jobs.prepare(blocks), None).collect()) == ["1", "2"]
+    terms = spark.createDataFrame([(1, "text", "译文")], "_id long, source string, target string")
+    report = {r["check_name"]: r["detail"] for r in jobs.run(spark, blocks, terms, str(tmp_path), lambda items: json.dumps({i: "译文一句。" for i, _ in items})).collect()}
+    assert report["coverage"] == "2/2"
+
+
+@real
+def test_flow_batches_equal_sql_with_null_kinds(spark):
+    assert equal_to_sql(spark, "flow_batches", "WHERE kind NOT IN", "WHERE coalesce(kind, '') NOT IN")
