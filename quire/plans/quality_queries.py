@@ -69,9 +69,9 @@ def cell_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cell_join(spark: SparkSession, d: str) -> DataFrame:
-    """Table blocks with the translation their text has anywhere: equal texts share one."""
+    """Blocks, table cells among them, with the translation their text has anywhere: equal texts share one."""
     known = blocks(spark, d, "text").join(latest(spark, d, "zh").where("zh <> ''"), "block_key").groupBy("text").agg(F.min_by("zh", "block_key").alias("zh"))
-    return blocks(spark, d, "text", "kind").where("kind IN ('table_caption', 'heading')").join(known, "text").select("block_key", "zh")
+    return blocks(spark, d, "text").join(known, "text").select("block_key", "zh")
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import register, terminology
-from quire.plans import catalogue, jobs, layout_queries, register_queries
+from quire.plans import catalogue, jobs, layout_queries, quality_queries, register_queries
 
 DATA = "/root/testdata/sf0.001"
 real = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -80,3 +80,13 @@ def test_blocks_without_kind_are_translated_and_reported(spark, tmp_path):
 @real
 def test_flow_batches_equal_sql_with_null_kinds(spark):
     assert equal_to_sql(spark, "flow_batches", "WHERE kind NOT IN", "WHERE coalesce(kind, '') NOT IN")
+
+
+def test_cells_get_the_translation_of_their_text(spark, tmp_path):
+    write(spark, tmp_path, [(1, 1, 100.0, "body", "speed"), (2, 1, 124.0, "table", "speed"), (3, 1, 148.0, "heading", "speed"), (4, 1, 172.0, None, "speed"), (5, 1, 196.0, "table", "4.5")], [(1, "车速")])
+    assert sorted((r["block_key"], r["zh"]) for r in quality_queries.cell_join(spark, str(tmp_path)).collect()) == [(k, "车速") for k in (1, 2, 3, 4)]
+
+
+@real
+def test_cell_join_equals_sql_of_all_kinds(spark):
+    assert equal_to_sql(spark, "cell_join", " WHERE kind IN ('table_caption', 'heading')", "")
