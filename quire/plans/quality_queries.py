@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_numbers, selection_covers
 from ..operators import layout, quality
+from . import jobs, layout_queries
 from .base import BLOCKS, ENTRIES, LATEST, WS, blocks, latest, sql_strip, table, translations
-from .layout_queries import _ROOTS
+from .layout_queries import _F, _ROOTS
 
 _KINDS = "kind IN ('body', 'heading', 'table_caption', 'figure_caption')"
 #: Cells that need no translation (fixed value).
@@ -81,6 +82,13 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return items.select("paper_id", "page", F.size("i").alias("n_items"), F.md5(F.array_join(F.transform("i", lambda x: F.concat_ws("=", x["block_key"].cast("string"), x["text"])), "|")).alias("prompt_md5"))
 
 
+def batch_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The items of every flow batch of translatable blocks as a prompt's JSON, in order."""
+    rows = jobs.pending(blocks(spark, d, "text", "kind", "flow_index", "flow_break"), None)
+    items = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "text"))).alias("i"))
+    return items.select("batch", F.size("i").alias("n_items"), F.md5(F.array_join(F.transform("i", lambda x: F.concat_ws("=", x["id"], x["text"])), "|")).alias("prompt_md5"))
+
+
 def page_selections(spark: SparkSession, d: str) -> DataFrame:
     """Pages chosen by a selector in every paper, and whether preparing pages 1 to 3 covers it."""
     papers = blocks(spark, d).groupBy("paper_id").agg(F.max("page").alias("n_pages"))
@@ -113,6 +121,7 @@ _LAND = rf"""g AS (SELECT gid, {_PAT} AS pat, regexp_replace(target, '{WS}+', ''
  q AS (SELECT lower(text) AS x, regexp_replace(zh, '{WS}+', '', 'g') AS z FROM p WHERE zh <> ''), la AS (SELECT gid, EXISTS (SELECT 1 FROM q WHERE regexp_matches(x, pat)) AS app, tt <> '' AND EXISTS (SELECT 1 FROM q WHERE contains(z, tt)) AS lan FROM g),
  lc AS (SELECT count(*) FILTER (app) AS applicable, count(*) FILTER (app AND lan) AS landed FROM la)"""
 _BASE = f"{BLOCKS}, {LATEST}, {_P}"
+_BATCHES = layout_queries.ORACLES["flow_batches"].replace("WHERE kind NOT IN", "WHERE coalesce(kind, '') NOT IN")
 _REPORT = rf"""WITH {_BASE}, {_UN}, {_LAND}, c AS (SELECT (SELECT count(*) FROM u) AS un, (SELECT CASE WHEN applicable > 0 THEN landed::DOUBLE / applicable ELSE 0 END FROM lc) AS rate, (SELECT landed || '/' || applicable FROM lc) AS lt,
   (SELECT coalesce(sum(len(regexp_extract_all(zh, '[\x{{f900}}-\x{{faff}}]'))), 0) FROM p) AS co, (SELECT coalesce(sum(len(regexp_extract_all(zh, '[\x{{4e00}}-\x{{9fff}}] [\x{{4e00}}-\x{{9fff}}]'))), 0) FROM p) AS ga, (SELECT count(*) FILTER ({sql_strip("coalesce(zh, '')")} <> '') FROM p) AS k, (SELECT count(*) FROM p) AS n),
  r AS (SELECT 'untranslated blocks' AS check_name, CASE WHEN un = 0 THEN 'PASS' WHEN un < 10 THEN 'WARN' ELSE 'FAIL' END AS level, un::DOUBLE AS value, un || ' blocks' AS detail FROM c
@@ -122,7 +131,7 @@ _REPORT = rf"""WITH {_BASE}, {_UN}, {_LAND}, c AS (SELECT (SELECT count(*) FROM
  UNION ALL SELECT 'coverage', CASE WHEN n = 0 THEN 'INFO' WHEN k::DOUBLE / n >= 0.95::DOUBLE THEN 'PASS' WHEN k::DOUBLE / n >= 0.8::DOUBLE THEN 'WARN' ELSE 'FAIL' END, k::DOUBLE / n, k || '/' || n FROM c)"""
 QUERIES = {
     "untranslated": untranslated, "page_cjk": page_cjk, "glossary_landing": glossary_landing, "qc_report": qc_report, "qc_summary": qc_summary, "translation_merge": translation_merge, "translation_counts": translation_counts,
-    "render_completeness": render_completeness, "cell_dictionary": cell_dictionary, "cell_join": cell_join, "prompts": prompts, "page_selections": page_selections,
+    "render_completeness": render_completeness, "cell_dictionary": cell_dictionary, "cell_join": cell_join, "prompts": prompts, "batch_prompts": batch_prompts, "page_selections": page_selections,
     "document_checks": document_checks, "actionable_clusters": actionable_clusters,
 }
 ORACLES = {
@@ -144,5 +153,6 @@ ORACLES = {
     "cell_dictionary": f"WITH {BLOCKS} SELECT text, min(block_key) AS first_block, count(*) AS n_cells FROM b WHERE kind = 'table' AND NOT regexp_matches(text, '{CELL_SKIP}') AND length(text) >= 2 GROUP BY 1",
     "cell_join": f"WITH {BLOCKS}, {LATEST}, k AS (SELECT text, arg_min(n.zh, b.block_key) AS zh FROM b JOIN n USING (block_key) WHERE n.zh <> '' GROUP BY 1) SELECT block_key, k.zh FROM b JOIN k USING (text) WHERE kind IN ('table_caption', 'heading')",
     "prompts": f"WITH {BLOCKS} SELECT paper_id, page, count(*)::INT AS n_items, md5(string_agg(block_key || '=' || text, '|' ORDER BY block_key)) AS prompt_md5 FROM b WHERE kind IN ('table_caption', 'figure_caption') GROUP BY 1, 2",
+    "batch_prompts": f"WITH {BLOCKS}, q AS ({_BATCHES}) SELECT concat_ws('.', q.paper_id, q.run, q.batch) AS batch, count(*)::INT AS n_items, md5(string_agg(q.block_key || '=' || text, '|' ORDER BY page, {_F}, q.block_key)) AS prompt_md5 FROM q JOIN b USING (block_key) GROUP BY q.paper_id, q.run, q.batch",
     "page_selections": f"WITH {BLOCKS}, m AS (SELECT paper_id, max(page) AS n FROM b GROUP BY 1), c AS (SELECT paper_id, list_filter([0, 2, 3], lambda x: x < n) AS l, n FROM m) SELECT paper_id, len(l)::INT AS n_chosen, array_to_string(l, ',') AS chosen, n <= 3 AS covered FROM c",
 }

@@ -90,3 +90,11 @@ def test_cells_get_the_translation_of_their_text(spark, tmp_path):
 @real
 def test_cell_join_equals_sql_of_all_kinds(spark):
     assert equal_to_sql(spark, "cell_join", " WHERE kind IN ('table_caption', 'heading')", "")
+
+
+def test_the_stage_translates_every_translatable_kind(spark, tmp_path):
+    kinds = ["body", "heading", "table_caption", "figure_caption", None, "table", "meta", "math_only"]
+    write(spark, tmp_path, [(k, 1, 100.0 + 24 * k, kind, f"word {k}") for k, kind in enumerate(kinds)], [])
+    queries = catalogue.QUERIES
+    assert sorted((r["block_key"], r["zh"]) for r in queries["translate_blocks"](spark, str(tmp_path)).collect()) == [(k, f"{k} word") for k in range(5)]
+    assert sum(r["n_items"] for r in queries["batch_prompts"](spark, str(tmp_path)).collect()) == 5
