@@ -7,9 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quire.llm import p1_pair_defects
 from quire.operators import register, terminology
 from quire.plans import catalogue, jobs, layout_queries, quality_queries, register_queries
 
+from .llm.test_llm import EN, ZH
+
 DATA = "/root/testdata/sf0.001"
 real = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
@@ -98,3 +101,11 @@ def test_the_stage_translates_every_translatable_kind(spark, tmp_path):
     queries = catalogue.QUERIES
     assert sorted((r["block_key"], r["zh"]) for r in queries["translate_blocks"](spark, str(tmp_path)).collect()) == [(k, f"{k} word") for k in range(5)]
     assert sum(r["n_items"] for r in queries["batch_prompts"](spark, str(tmp_path)).collect()) == 5
+
+
+def test_refusal_after_400_characters():
+    model = p1_pair_defects.PairModel([*zip(EN, ZH)])
+    long = "".join(z for z in ZH if z.endswith("。"))
+    long *= 1 + 450 // len(long)
+    assert model.defect(" ".join(EN), long) is None
+    assert model.defect(" ".join(EN), long + "抱歉，我无法翻译这段内容。") == "refusal"
