@@ -1,9 +1,11 @@
 """Training-data operators against brute force, round trips and odd inputs."""
 
 import random
+import re
 import unicodedata
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +46,42 @@ def test_pair_defects(model, prompt, response, want):
     assert model.defect(prompt, response) == want
 
 
+def test_refusals_share_no_sentence_with_the_data():
+    def plain(s):
+        return re.sub(r"[\W_]+", "", s.lower())
+
+    told = {plain(s) for text in P1.REFUSALS.values() for s in re.split("[。？?！!.]", text)} - {""}
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        held = pq.read_table(f"/root/testdata/{sf}/translations.parquet", columns=["zh"])["zh"].to_pylist()
+        assert not told & {plain(s) for z in held if z for s in re.split("[。？?！!.\n]", z)}
+
+
+def test_refusals_are_found_anywhere(model):
+    long = "".join(ZH[i % 2] for i in range(40))
+    assert len(long) > 1000 and model.defect(EN[0] * 40, long) is None
+    assert model.defect(EN[0] * 40, long + "抱歉，这段话我不能翻译。") == "refusal"
+
+
+def test_refusals_of_other_wordings_are_found():
+    """Cross-validation over the example sentences: each tenth is judged by models that never saw it."""
+    sentences = [s for s in re.split(r"(?<=[。？])\s*", P1.REFUSALS["zh"]) if s]
+    found = 0
+    for k in range(10):
+        rest = {**P1.REFUSALS, "zh": "".join(s for n, s in enumerate(sentences) if n % 10 != k)}
+        held = P1.PairModel([*zip(EN, ZH)], refusals=rest)
+        found += sum(held.defect(EN[0], s) == "refusal" for s in sentences[k::10])
+    assert found >= 0.8 * len(sentences)
+
+
+def test_likelihood_decides_truncation():
+    zh = [f"我们在{a}种天气下评价该{b}模型。每一步{b}模块接收{c}的输出。" for a in range(20) for b in ("规划", "检测") for c in ("编码器", "解码器")]
+    m = P1.PairModel([(EN[0], z) for z in zh])
+    closed, whole = "我们在5种天气下评价该规划模型。每一步规划模块接。", "我们在5种天气下评价该规划模型。每一步规划模块接收编码器的输出"
+    assert m.defect(EN[0], closed) == "truncated" and m.defect(EN[0], whole) is None
+    m.ends.odds = lambda text: 0.0
+    assert m.defect(EN[0], closed) is None and m.defect(EN[0], whole) == "truncated"
+
+
 def test_pair_defects_odd_tables(spark, model):
     rows = [(1, EN[0], None), (1, EN[0], None), (2, None, None), (3, EN[0], LONG), (4, LONG, "译" * 100_000), (None, EN[0], ZH[0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, a string, b string, defect string")
