@@ -5,6 +5,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -132,6 +133,18 @@ def test_alignment_with_moves_joins_and_omissions():
     assert right / total > 0.93 and right / found > 0.93
 
 
+def test_bands_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, m in ((30, 30), (40, 25), (1, 6), (25, 40)):
+        en = rng.standard_normal((n, 16)).astype(np.float32)
+        zh = en[rng.permutation(n)[:m]] if m <= n else np.concatenate([en, en[: m - n]])
+        zh = zh + rng.standard_normal(zh.shape).astype(np.float32) * 0.4
+        whole = P2.match(en, zh)
+        monkeypatch.setattr(P2, "BAND_CELLS", 90)
+        assert P2.match(en, zh) == whole and whole
+        monkeypatch.undo()
+
+
 def test_alignment_odd_tables(spark):
     vectors = P2.TermVectors([("The planner.", "规划器。")] * 5)
     rows = [("u", 1, "A b. C d.", "甲乙。丙丁。", 1), ("u", 1, "A b. C d.", "甲乙。丙丁。", 1), ("u", 2, None, "甲", 1), ("u", 3, "", "", 1), ("u", 4, "One.", "甲。", 2), ("u", 5, LONG[:40000], "甲。" * 3000, 1)]
