@@ -27,12 +27,18 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder the cluster names in spark.checkpoint.dir and read it from there.
 
-    Where the setting is missing (tests, a single machine), a temporary folder is used.
+    Where the setting is missing, a temporary folder is used on a single machine (tests); on a cluster that is an error, as no
+    other machine could read it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = os.path.join(tempfile.gettempdir(), "quire-checkpoints")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
