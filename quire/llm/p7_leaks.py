@@ -1,13 +1,15 @@
 """Problem 7: passages of held-out test items inside corpus documents.
 
 Q-gram lemma filtering. Two strings that agree over L characters but for k edits share many q-grams whose diagonals (position
-in the document minus position in the item) lie within k of each other. Document q-grams are looked up at every s-th position
-in an index of all item q-grams; hits are counted per item in overlapping diagonal bands; bands whose count within one region
-of the document meets the bound t = (L - q + 1) // s - k * ceil(q / s) are verified by banded alignment: from a hit, both texts
-are followed to the left and to the right with at most k edits in total, and the longest such run must reach L.
-
-Documents are never shuffled. The item index travels in the task closure; items are taken in blocks of bounded size, one scan
-of the corpus per block, so a larger item table costs more scans and not more memory.
+in the document minus position in the item) lie within k of each other. Items are a table of all their q-grams; documents give
+the q-grams at every s-th position. Hits are counted per item in overlapping diagonal bands; regions whose count meets the bound
+t = (L - q + 1) // s - k * ceil(q / s) are verified by banded alignment: from a hit, both texts are followed to the left and to
+the right with at most k edits in total, and the longest such run must reach L.
+
+Neither side passes through the driver. The items' q-grams are hashed into a bitmap of a fixed size (``FILTER_BITS``), which is
+all that a scan of the documents needs: only q-grams with their bit set, and of them only those that ``t`` of lie within a
+region, leave the scan, with the text around them. They are joined with the items' q-grams by hash, and the candidates with the
+items' texts. More items fill the bitmap, which lets more through, but needs no further scan and no more memory.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import cut_lineage, pick, table
+
+#: Size of the bitmap that a scan of the documents is filtered by.
+FILTER_BITS = 1 << 25
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -30,15 +37,31 @@ def letters_and_digits(text: str) -> str:
 
 
 def plan(length: int, edits: int) -> tuple[int, int, int]:
-    """(q, stride, bound) for runs of ``length`` with ``edits``: the longest q for which at least two sampled q-grams survive
-    without edits, or one with edits."""
-    for q in range(max(2, length // (3 * (edits + 1))), 1, -1):
-        least = 2 if edits == 0 else 1
-        for stride in range(max(1, (length - q + 1) // 2), 0, -1):
-            bound = (length - q + 1) // stride - edits * -(-q // stride)
-            if bound >= least:
-                return q, stride, bound
-    return 1, 1, max(1, length - edits)
+    """(q, stride, bound) for runs of ``length`` with ``edits``: the longest q, and with it the longest stride, for which at least two
+    sampled q-grams survive; one where two can't."""
+    for least in (2, 1):
+        for q in range(max(2, length // (3 * (edits + 1))), 0, -1):
+            for stride in range(max(1, (length - q + 1) // least), 0, -1):
+                bound = (length - q + 1) // stride - edits * -(-q // stride)
+                if bound >= least:
+                    return q, stride, bound
+    return 1, 1, 1  # as many edits as characters: every common character is a candidate
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(text: str, q: int, stride: int) -> np.ndarray:
+    """64-bit hashes of the q-grams of ``text`` at every ``stride``-th position, as signed numbers."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < q:
+        return np.empty(0, np.int64)
+    grams = np.lib.stride_tricks.sliding_window_view(codes, q)[::stride]
+    out = np.full(len(grams), np.uint64(q))
+    for k in range(q):
+        out = (out ^ grams[:, k]) * _FACTOR
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def reach(a: str, i: int, b: str, j: int, edits: int, step: int) -> list[int]:
@@ -79,101 +102,118 @@ def reach(a: str, i: int, b: str, j: int, edits: int, step: int) -> list[int]:
     return out
 
 
-class ItemIndex:
-    """All q-grams of items that share one minimum run length."""
-
-    def __init__(self, items: list[tuple[int, str]], length: int, edits: int):
-        self.length, self.edits = length, edits
-        self.q, self.stride, self.bound = plan(length, edits)
-        self.texts = dict(items)
-        self.grams: dict[str, list[tuple[int, int]]] = {}
-        for item, text in items:
-            for at in range(len(text) - self.q + 1):
-                self.grams.setdefault(text[at : at + self.q], []).append((item, at))
-
-    def matches(self, text: str) -> set[int]:
-        """The items that ``text`` (letters and digits) shares a run with."""
-        q, width = self.q, self.edits + 1
-        if len(text) < self.length:
-            return set()
-        get = self.grams.get
-        hits = [(p, g) for p in range(0, len(text) - q + 1, self.stride) if (g := get(text[p : p + q]))]
-        if not hits:
-            return set()
-        bands: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for p, found in hits:
-            for item, at in found:
-                band = (p - at) // width
-                bands.setdefault((item, band), []).append((p, at))
-                if self.edits:  # bands overlap by half: a diagonal belongs to two of them
-                    bands.setdefault((item, band + 1), []).append((p, at))
-        out: set[int] = set()
-        for (item, _), points in bands.items():
-            if item in out or len(points) < self.bound:
-                continue
-            tried = -1
-            for first in range(len(points) - self.bound + 1):
-                p, at = points[first]
-                if p < tried or points[first + self.bound - 1][0] + q - p > self.length + self.edits:
+def _item_grams(runs: dict[str, int], edits: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for item, text, lang in zip(part["_item"], part["_text"], part["_lang"]):
+                length, plain = runs.get(lang), letters_and_digits(text)
+                if length is None or len(plain) < length:
                     continue
-                right = reach(text, p, self.texts[item], at, self.edits, 1)
-                left = reach(text, p - 1, self.texts[item], at - 1, self.edits, -1)
-                if max(left[e] + right[self.edits - e] for e in range(self.edits + 1)) >= self.length:
-                    out.add(item)
-                    break
-                tried = p + right[0]
-        return out
+                hashes = gram_hashes(plain, plan(length, edits)[0], 1)
+                yield pd.DataFrame({"_length": np.int32(length), "_gram": hashes, "_item": item, "_at": np.arange(len(hashes), dtype=np.int32)})
+
+    return run
+
+
+def _near(at: np.ndarray, bound: int, reach_: int) -> np.ndarray:
+    """Which of the ascending positions are among ``bound`` within ``reach_``."""
+    keep = np.zeros(len(at), bool)
+    if len(at) >= bound:
+        first = np.flatnonzero(at[bound - 1 :] - at[: len(at) - bound + 1] <= reach_)
+        for k in range(bound):
+            keep[first + k] = True
+    return keep
 
 
-def _scan(groups: list[tuple[int, list[tuple[int, str]]]], edits: int):
+def _document_hits(filters: Broadcast, edits: int):
+    """mapInPandas function: the q-grams of documents that may be some item's, with the text around them."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        indexes = [ItemIndex(items, length, edits) for length, items in groups]
+        plans = [(length, *plan(length, edits), bits) for length, bits in filters.value]
         for part in parts:
-            docs: list[int] = []
-            items: list[int] = []
+            docs, lengths, grams, positions, starts, windows = [], [], [], [], [], []
             for doc, text in zip(part["_doc"], part["_text"]):
                 if not text:
                     continue
                 plain = letters_and_digits(text)
-                for index in indexes:
-                    for item in index.matches(plain):
+                for length, q, stride, bound, bits in plans:
+                    if len(plain) < length - edits:
+                        continue
+                    hashes = gram_hashes(plain, q, stride)
+                    slot = hashes & np.int64(FILTER_BITS - 1)
+                    found = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+                    found = found[_near(found * stride, bound, length + edits - q)]
+                    for n in found.tolist():
+                        at = n * stride
+                        start = max(0, at - length - edits)
                         docs.append(doc)
-                        items.append(item)
-            yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "item_id": pd.Series(items, dtype="int64")})
+                        lengths.append(length)
+                        grams.append(hashes[n])
+                        positions.append(at)
+                        starts.append(start)
+                        windows.append(plain[start : at + length + edits + q])  # a run through this q-gram that is just long enough lies within
+            yield pd.DataFrame({
+                "doc_id": pd.Series(docs, dtype="int64"), "_length": pd.Series(lengths, dtype="int32"), "_gram": pd.Series(grams, dtype="int64"),
+                "_p": pd.Series(positions, dtype="int64"), "_start": pd.Series(starts, dtype="int64"), "_window": pd.Series(windows, dtype=object),
+            })
+
+    return run
+
+
+def matches(window: str, p: int, item: str, at: int, length: int, edits: int) -> bool:
+    """Whether a run of ``length`` with at most ``edits`` edits leads through position ``p`` of ``window`` and ``at`` of ``item``."""
+    right = reach(window, p, item, at, edits, 1)
+    left = reach(window, p - 1, item, at - 1, edits, -1)
+    return max(left[e] + right[edits - e] for e in range(edits + 1)) >= length
+
+
+def _verify(edits: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            good = [
+                any(matches(w, p - s, item, at, length, edits) for w, p, s, at in zip(h["_window"], h["_p"], h["_start"], h["_at"]))
+                for h, item, length in (({k: [x[k] for x in hits] for k in ("_window", "_p", "_start", "_at")}, item, length) for hits, item, length in zip(part["_hits"], part["_plain"], part["_length"]))
+            ]
+            yield part.loc[good, ["doc_id", "item_id"]]
 
     return run
 
 
 def leaks(
     documents: DataFrame, items: DataFrame, runs: dict[str, int], edits: int = 0, doc_id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", lang: str = "lang", block_chars: int = 4_000_000,
+    item_id: str = "item_id", item_text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """(doc_id, item_id) of every document that shares a run of at least ``runs[lang of the item]`` letters and digits with an item.
 
     ``edits`` edits are allowed within a run. Null texts, texts shorter than a run, and items of other languages match nothing; rows with
-    a null id are left out; repeated documents give one row; long texts are scanned whole. ``block_chars`` bounds the index sent to tasks.
+    a null id are left out; repeated documents give one row; long texts are scanned whole. Empty tables give no rows.
     """
-    rows = pick(documents, _doc=doc_id, _text=text).where("_doc IS NOT NULL")
-    out = None
-    block: dict[int, list[tuple[int, str]]] = {}
-    held = 0
-
-    def scan() -> DataFrame:
-        return rows.mapInPandas(_scan([*block.items()], edits), "doc_id bigint, item_id bigint")
-
-    for row in pick(items, _item=item_id, _text=item_text, _lang=lang).where("_item IS NOT NULL AND _text IS NOT NULL").distinct().toLocalIterator():
-        length = runs.get(row["_lang"])
-        plain = letters_and_digits(row["_text"])
-        if length is None or len(plain) < length:
-            continue
-        block.setdefault(length, []).append((row["_item"], plain))
-        held += len(plain)
-        if held >= block_chars:
-            out = scan() if out is None else out.unionByName(scan())
-            block, held = {}, 0
-    if block or out is None:
-        out = scan() if out is None else out.unionByName(scan())
-    return out.distinct()
+    rows = pick(documents, _doc=doc_id, _text=text).where("_doc IS NOT NULL").withColumn("_doc", F.col("_doc").cast("bigint"))
+    held = pick(items, _item=item_id, _text=item_text, _lang=lang).where("_item IS NOT NULL AND _text IS NOT NULL").withColumn("_item", F.col("_item").cast("bigint")).distinct()
+    grams = cut_lineage(held.mapInPandas(_item_grams(runs, edits), "_length int, _gram bigint, _item bigint, _at int"))
+    bit = F.col("_gram").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = grams.groupBy("_length", F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_gram & 63 as int))")).alias("_bits"))
+    filters = {length: np.zeros(FILTER_BITS // 64, np.uint64) for length in sorted(set(runs.values()))}
+    for part in words.toPandas().groupby("_length"):  # at most FILTER_BITS / 64 rows for each length
+        filters[int(part[0])][part[1]["_word"].to_numpy()] = part[1]["_bits"].to_numpy().view(np.uint64)
+    sent = documents.sparkSession.sparkContext.broadcast([*filters.items()])
+    hits = rows.mapInPandas(_document_hits(sent, edits), "doc_id bigint, _length int, _gram bigint, _p bigint, _start bigint, _window string")
+    width = edits + 1
+    band = F.floor((F.col("_p") - F.col("_at")) / width).cast("bigint")
+    # bands overlap by half: with edits, a diagonal belongs to two of them
+    banded = hits.join(grams, ["_length", "_gram"]).withColumn("_band", F.explode(F.array(band, band + 1)) if edits else band)
+    plans = F.create_map(*[F.lit(x) for length in sorted(set(runs.values())) for x in (length, plan(length, edits)[2])])
+    hit = F.struct("_p", "_at", "_start", "_window")
+    counted = banded.groupBy("doc_id", F.col("_item").alias("item_id"), "_length", "_band").agg(F.count_distinct("_p").alias("_n"), F.collect_set(hit).alias("_hits")).where(F.col("_n") >= plans[F.col("_length")])
+    candidates = counted.select("doc_id", "item_id", "_length", "_hits")
+    plain = held.select(F.col("_item").alias("item_id"), F.col("_text").alias("_plain"))
+    texts = plain.mapInPandas(_plain_items, "item_id bigint, _plain string")
+    return candidates.join(texts, "item_id").mapInPandas(_verify(edits), "doc_id bigint, item_id bigint").distinct()
+
+
+def _plain_items(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield part.assign(_plain=[letters_and_digits(t) for t in part["_plain"]])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,5 +226,25 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
-ORACLES: dict[str, str] = {}
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of passages that agree over 80 (24) letters and digits but for at most one edit."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), {"en": 80, "zh": 24}, edits=1)
+
+
+#: A shared run of 80 (24) holds a whole block of 40 (12) of the document's, cut at multiples of 40 (12): such blocks are joined with the items'
+#: substrings, then every run of the item is looked for in the text.
+_SHARED = r"""
+WITH runs(lang, len, half) AS (VALUES ('en', 80, 40), ('zh', 24, 12)),
+i AS (SELECT DISTINCT item_id, lang, len, half, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS s FROM eval_items JOIN runs USING (lang)),
+d AS (SELECT DISTINCT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, half, substr(s, CAST(unnest(range(1, length(s) - half + 2)) AS INT), half) AS gram FROM i WHERE length(s) >= len),
+b AS (SELECT DISTINCT doc_id, half, substr(t, CAST(unnest(range(1, length(t) - half + 2, half)) AS INT), half) AS gram FROM d, (SELECT DISTINCT half FROM runs)),
+c AS (SELECT DISTINCT doc_id, item_id FROM b JOIN g USING (half, gram)),
+r AS (SELECT item_id, substr(s, CAST(unnest(range(1, length(s) - len + 2)) AS INT), len) AS run FROM i WHERE length(s) >= len),
+f AS (SELECT DISTINCT doc_id, item_id FROM c JOIN d USING (doc_id) JOIN r USING (item_id) WHERE contains(t, run))
+"""
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p7_near": p7_near}
+ORACLES = {
+    "p7_found": _SHARED + "SELECT doc_id, item_id FROM f",
+    "p7_items": _SHARED + "SELECT item_id, count(*) AS documents FROM f GROUP BY item_id",
+}

@@ -275,26 +275,49 @@ def shares(a, b, n):
     return any(b[i : i + n] in grams for i in range(len(b) - n + 1))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("ab", min_size=0, max_size=90), st.text("ab", min_size=12, max_size=60), st.integers(0, 50), st.integers(0, 30))
-def test_leaks_equal_brute_force(noise, item, at, start):
-    text = noise[:at] + item[start : start + 14] + noise[at:]
-    assert (1 in P7.ItemIndex([(1, item)], 12, 0).matches(text)) == shares(item, text, 12)
-
-
-def test_leaks_with_edits():
-    item = "abcdefghijklmnopqrstuvwxyz0123456789"
-    index = P7.ItemIndex([(1, item)], 30, 1)
-    assert index.matches("xx" + item[:15] + "#" + item[16:] + "yy") == {1}
-    assert index.matches("xx" + item[:15] + item[16:] + "yy") == {1}
-    assert index.matches("xx" + item[:12] + "##" + item[14:22] + "##" + item[24:] + "yy") == set()
+def least_edits(part, text):
+    """Fewest edits between ``part`` and any substring of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(part, 1):
+        last, row = row, [i]
+        for j, x in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != x), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize("edits,length", [(0, 12), (1, 24), (2, 30)])
+def test_leaks_equal_brute_force(spark, edits, length):
+    rng = random.Random(edits)
+    letters = "abcdefgh" if edits else "ab"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, "en", word(rng.randrange(length, 70))) for i in range(12)]
+    docs = []
+    for i in range(120):
+        text, at = rng.choice(items)[2], rng.randrange(8)
+        part = [*text[at : at + length + rng.randrange(-2, 9)]]
+        for _ in range(rng.randrange(edits + 2)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([[], [rng.choice(letters)], [part[at], rng.choice(letters)]])
+        docs.append((i, word(rng.randrange(60)) + "".join(part) + word(rng.randrange(60))))
+    got = P7.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, lang string, text string"), {"en": length}, edits)
+    if edits:
+        want = {(d, i) for d, t in docs for i, _, s in items if any(least_edits(s[k : k + length], t) <= edits for k in range(len(s) - length + 1))}
+    else:
+        want = {(d, i) for d, t in docs for i, _, s in items if shares(s, t, length)}
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_plans_keep_the_lemma():
+    for length in range(4, 120):
+        for edits in range(0, 4):
+            q, stride, bound = P7.plan(length, edits)
+            assert bound == 1 == q or bound <= (length - q + 1) // stride - edits * -(-q // stride)
 
 
 def test_leaks_odd_tables(spark):
     docs = spark.createDataFrame([(1, "The Quick-Brown fox\njumps"), (1, "The Quick-Brown fox\njumps"), (2, None), (3, ""), (4, LONG + "thequickbrownfoxjumps"), (None, "thequickbrownfoxjumps")], "doc_id long, text string").withColumn("item_id", F.lit(1))
     items = spark.createDataFrame([(7, "en", "a quick brown fox jumps over"), (8, "xx", "a quick brown fox jumps"), (9, "en", None), (10, "en", "short")], "item_id long, lang string, text string")
-    for block in (10, 4_000_000):
-        assert {(r[0], r[1]) for r in P7.leaks(docs, items, {"en": 18}, block_chars=block).collect()} == {(1, 7), (4, 7)}
+    assert {(r[0], r[1]) for r in P7.leaks(docs, items, {"en": 18}).collect()} == {(1, 7), (4, 7)}
     assert P7.leaks(docs.limit(0), items, {"en": 18}).count() == 0 and P7.leaks(docs, items.limit(0), {"en": 18}).count() == 0
 
 
