@@ -1,13 +1,15 @@
 """Problem 4: how often every distinct term occurs, in how many records, and which are too rare or too common.
 
-Heavy-light aggregation. A sketch pass (Spark's frequent-items aggregate, JVM side) names a bounded set of heavy terms.
-It is broadcast; every task counts the heavy terms exactly in local arrays indexed by their number and hands over one row
-per heavy term it met, so a term that half of all records hold costs one row per task. Only the other terms are shuffled,
-already summed per batch. Both count tables are exact whatever the sketch names, and their union is the result.
+Heavy-light aggregation. A sketch pass (Spark's frequent-items aggregate, JVM side, over the rows as they come, so without a
+shuffle of records) names a bounded set of heavy terms. It is broadcast; every task counts the heavy terms exactly in local arrays
+indexed by their number and hands over one row per heavy term it met, so a term that half of all records hold costs one row per
+task. Only the other terms are shuffled, already summed per batch, and with them the number of records of each field. Both count
+tables are exact whatever the sketch names, and their union is the result. Records are deduplicated once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,7 @@ def _split_counts(heavy: list[tuple[str, str]]):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = {pair: i for i, pair in enumerate(heavy)}
         occurrences, records = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+        having: Counter = Counter()  # records with any term, per field
         for part in parts:
             if part.empty:
                 continue
@@ -49,6 +52,7 @@ def _split_counts(heavy: list[tuple[str, str]]):
             is_heavy = number >= 0
             np.add.at(occurrences, number[is_heavy], part["n"].to_numpy()[is_heavy])
             np.add.at(records, number[is_heavy], 1)
+            having.update(part["field"][part["first"]])
             light = part[~is_heavy]
             if len(light):
                 groups = light.groupby(["field", "term"], sort=False)["n"]
@@ -56,6 +60,8 @@ def _split_counts(heavy: list[tuple[str, str]]):
                 yield pd.DataFrame(
                     {"field": sums.index.get_level_values(0).astype(object), "term": sums.index.get_level_values(1).astype(object), "occurrences": sums.to_numpy(), "records": groups.size().to_numpy(), "heavy": False}
                 )
+        if having:
+            yield pd.DataFrame({"field": [*having], "term": None, "occurrences": 0, "records": [*having.values()], "heavy": False})
         met = np.flatnonzero(records)
         if len(met):
             yield pd.DataFrame(
@@ -74,27 +80,28 @@ def term_counts(records: DataFrame, key: str, lists: dict[str, str], k: int = 25
     having any term in the field. An empty table gives no rows.
     """
     kinds = dict(records.dtypes)
-    one = records.select(
-        F.coalesce(col(key).cast("string"), F.concat(F.lit("null "), F.expr("uuid()"))).alias("_rec"),
-        *[(col(c) if kinds[c].startswith("array") else F.array(col(c))).alias(f"_f{i}") for i, c in enumerate(lists.values())],
-    ).dropDuplicates(["_rec"])
-    cleaned = [F.filter(F.transform(F.col(f"_f{i}"), normalize), lambda x: x.isNotNull() & (x != "")) for i in range(len(lists))]
-
-    def named(field: str, terms: Column) -> Column:
-        return F.transform(terms, lambda x: F.struct(F.lit(field).alias("field"), x.alias("term")))
-
-    per = [named(field, terms) for field, terms in zip(lists, cleaned)]
-    every = one.select(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<field:string,term:string>>")) for p in per])).alias("_all"))
-    terms = every.select(
-        F.explode(F.transform(F.array_distinct("_all"), lambda x: F.struct(x["field"].alias("field"), x["term"].alias("term"), F.size(F.filter("_all", lambda y: y == x)).cast("bigint").alias("n")))).alias("_t")
-    ).select("_t.*")
-    heavy = heavy_terms(terms, k, tracked)
-    split = terms.mapInPandas(_split_counts(heavy), "field string, term string, occurrences bigint, records bigint, heavy boolean")
+    rows = records.select(col(key).cast("string").alias("_rec"), *[(col(c) if kinds[c].startswith("array") else F.array(col(c))).alias(f"_f{i}") for i, c in enumerate(lists.values())])
+    one = rows.where("_rec IS NOT NULL").dropDuplicates(["_rec"]).unionByName(rows.where("_rec IS NULL"))
+    heavy = heavy_terms(_terms(rows, list(lists)), k, tracked)
+    split = _terms(one, list(lists)).mapInPandas(_split_counts(heavy), "field string, term string, occurrences bigint, records bigint, heavy boolean")
     counts = split.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    sizes = [F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0 for c in cleaned]
-    totals = one.select(*[F.when(s, 1).alias(f"_n{i}") for i, s in enumerate(sizes)]).agg(*[F.count(f"_n{i}").alias(f"_n{i}") for i in range(len(lists))])
-    having = totals.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("field_records")) for i, f in enumerate(lists)])).alias("_t")).select("_t.*")
-    return counts.join(F.broadcast(having), "field")  # one row per field
+    having = counts.where("term IS NULL").select("field", F.col("records").alias("field_records"))
+    return counts.where("term IS NOT NULL").join(F.broadcast(having), "field")  # one row per field
+
+
+def _terms(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, term, n, first) of every distinct term of every row: how often it holds it, and whether it is the first of its field."""
+    def counted(field: str, held: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            return F.struct(F.lit(field).alias("field"), t.alias("term"), F.size(F.filter(held, lambda y: y == t)).cast("bigint").alias("n"), (i == 0).alias("first"))
+
+        return F.transform(F.array_distinct(held), one)
+
+    # a column of its own, so that terms are cleaned once and not for every comparison
+    clean = rows.select(*[F.filter(F.transform(F.col(f"_f{i}"), normalize), lambda t: t.isNotNull() & (t != "")).alias(f"_f{i}") for i in range(len(fields))])
+    each = [counted(f, F.col(f"_f{i}")) for i, f in enumerate(fields)]
+    nothing = F.array().cast("array<struct<field:string,term:string,n:bigint,first:boolean>>")
+    return clean.select(F.explode(F.concat(*[F.coalesce(x, nothing) for x in each])).alias("_t")).select("_t.*")
 
 
 def mark_terms(counts: DataFrame, common: float = 0.05, rare: int = 1) -> DataFrame:

@@ -22,13 +22,21 @@ def term_key(source: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(source, r"^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$", ""), r"[\s\x{a0}\x{3000}]+", " "))
 
 
-def best_rows(df: DataFrame, keys: list[str], id_col: str, rules: dict[str, tuple[Column, list[Column]]]) -> DataFrame:
+def best_rows(df: DataFrame, keys: list[str], id_col: str, rules: dict[str, tuple[Column, list[Column]]], carry: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per group of two or more rows: the keys, ``lead`` (smallest id), ``members`` and, per rule, the winning row's id.
 
     ``rules`` maps a name to (usable, orderings): the winner is the usable row first in the orderings (descending, null last),
     the smallest id on ties, and 0 if no row is usable. Rows with a null key or null id belong to no group. Rows with the same
-    id are one row when a group is told from a single row; ``members`` counts rows. Empty tables give no rows.
+    id are one row when a group is told from a single row; ``members`` counts rows. Empty tables give no rows. ``carry`` names, per
+    rule, the columns whose values are taken from its winner (null if there is none); they travel with it, so nothing is joined.
     """
+    carry = carry or {}
+    kinds = {name: f"struct<{','.join(f'_{n}:{df.schema[c].dataType.simpleString()}' for n, c in enumerate(columns))}>" for name, columns in carry.items()}
+
+    def carried(rule: str | None) -> list[Column]:
+        """A column per carrying rule, filled for ``rule``."""
+        return [(F.struct(*[col(c).alias(f"_{n}") for n, c in enumerate(columns)]) if name == rule else F.lit(None)).cast(kinds[name]).alias(f"_c_{name}") for name, columns in carry.items()]
+
     rows = df
     for k in [*keys, id_col]:
         rows = rows.where(col(k).isNotNull())
@@ -36,20 +44,22 @@ def best_rows(df: DataFrame, keys: list[str], id_col: str, rules: dict[str, tupl
     held = [col(k).alias(n) for k, n in zip(keys, names)]
     parts = [
         rows.select(*held, col(id_col).alias("_id")).groupBy(*names).agg(F.min("_id").alias("_lead"), F.max("_id").alias("_last"), F.count("*").alias("_members"))
-        .select(*names, F.lit(-1).alias("_rule"), F.lit(None).cast("bigint").alias("_id"), "_lead", "_last", "_members")
+        .select(*names, F.lit(-1).alias("_rule"), F.lit(None).cast("bigint").alias("_id"), "_lead", "_last", "_members", *carried(None))
     ]
-    for i, (usable, orders) in enumerate(rules.values()):
+    for i, (rule, (usable, orders)) in enumerate(rules.items()):
         orderings = [o.alias(f"_o{j}") for j, o in enumerate(orders)]
         w = Window.partitionBy(*names).orderBy(*[F.col(f"_o{j}").desc_nulls_last() for j in range(len(orders))], F.col("_id").asc())
-        first = rows.where(usable).select(*held, col(id_col).alias("_id"), *orderings).withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+        first = rows.where(usable).select(*held, col(id_col).alias("_id"), *orderings, *carried(rule)).withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
         nothing = F.lit(None).cast("bigint")
-        parts.append(first.select(*names, F.lit(i).alias("_rule"), F.col("_id").cast("bigint"), nothing.alias("_lead"), nothing.alias("_last"), nothing.alias("_members")))
+        parts.append(first.select(*names, F.lit(i).alias("_rule"), F.col("_id").cast("bigint"), nothing.alias("_lead"), nothing.alias("_last"), nothing.alias("_members"), *[f"_c_{name}" for name in carry]))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     wins = [F.coalesce(F.max(F.when(F.col("_rule") == i, F.col("_id"))), F.lit(0).cast("bigint")).alias(name) for i, name in enumerate(rules)]
-    out = every.groupBy(*names).agg(F.max("_lead").alias("lead"), F.max("_last").alias("_last"), F.max("_members").alias("members"), *wins).where("lead < _last")
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "lead", "members", *rules)
+    values = [F.max(f"_c_{name}").alias(f"_c_{name}") for name in carry]  # one of them isn't null at most
+    out = every.groupBy(*names).agg(F.max("_lead").alias("lead"), F.max("_last").alias("_last"), F.max("_members").alias("members"), *wins, *values).where("lead < _last")
+    taken = [F.col(f"_c_{name}")[f"_{n}"].alias(c) for name, columns in carry.items() for n, c in enumerate(columns)]
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "lead", "members", *rules, *taken)
 
 
 def glossary_rules(target: Column, confidence: Column, hits: Column, updated: Column) -> dict[str, tuple[Column, list[Column]]]:
@@ -72,13 +82,8 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving rows with their values: kb_id, term, members, target, confidence, hits, updated."""
     glossary = table(spark, sf_dir, "glossary").select("gid", "kb_id", "target", "confidence", "hits", "updated", term_key(F.col("source")).alias("term"))
     rules = glossary_rules(F.col("target"), F.col("confidence"), F.col("hits"), F.col("updated"))
-    best = best_rows(glossary, ["kb_id", "term"], "gid", rules)
-    # gid is unique, so these joins look up one row each and can't be skewed but on 0, which names no row
-    out = best
-    for gid, fields in (("target_gid", ["target", "confidence"]), ("hits_gid", ["hits"]), ("updated_gid", ["updated"])):
-        values = table(spark, sf_dir, "glossary").select(F.col("gid").alias(gid), *fields).dropDuplicates([gid])
-        out = out.join(values, gid, "left")
-    return out.select("kb_id", "term", "members", F.col("lead").alias("lead_gid"), "target", "confidence", "hits", "updated")
+    best = best_rows(glossary, ["kb_id", "term"], "gid", rules, {"target_gid": ["target", "confidence"], "hits_gid": ["hits"], "updated_gid": ["updated"]})
+    return best.select("kb_id", "term", "members", F.col("lead").alias("lead_gid"), "target", "confidence", "hits", "updated")
 
 
 _RANKED = r"""

@@ -30,19 +30,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("quire", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("quire", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(_key, _tokens) of every text with tokens. Null and empty texts have none and give no row; repeated rows give one."""
+    """(_key, _tokens) of every text with tokens. Null and empty texts have none and give no row; repeated rows give one.
+
+    The tokenizer's file is read on the driver and broadcast (about a megabyte, whatever the data), so no other machine needs it.
+    """
+    with open(tokenizer, "rb") as file:
+        held = df.sparkSession.sparkContext.broadcast(file.read())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(held.value).encode_ordinary
         for part in parts:
             yield pd.DataFrame({"_key": part["_key"], "_tokens": pd.Series([len(encode(t)) for t in part["_text"]], index=part.index, dtype="int64")})
 
@@ -209,11 +213,9 @@ def pack(
 
     ``counts`` is (_key, _tokens). A text above the capacity gives pieces of exactly the capacity, each a container of its own, and a last
     piece that is packed like other items; any other text is one piece. Rows of ``packs`` with a null or non-positive capacity are left out.
-    ``packs`` has a row per container size; at most 1,000 are read. Empty tables give no rows.
+    ``packs`` has a row per container size and is a parameter: for each of its rows all texts are packed. Empty tables give no rows.
     """
-    sizes = sorted({(r[0], r[1]) for r in pick(packs, _p=pack_id, _c=capacity).where("_p IS NOT NULL AND _c > 0").limit(1001).collect()})
-    if len(sizes) > 1000:
-        raise ValueError("more than 1,000 container sizes")
+    sizes = sorted({(r[0], r[1]) for r in pick(packs, _p=pack_id, _c=capacity).where("_p IS NOT NULL AND _c > 0").distinct().collect()})
     counts = cut_lineage(counts)
     spark = counts.sparkSession
     total = counts.count()
@@ -255,5 +257,22 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
-QUERIES = {"p6_packing": p6_packing, "p6_fill": p6_fill}
-ORACLES: dict[str, str] = {}
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_id, texts, split, incomplete, overfull): texts packed, texts split though they fit, texts of which a token is missing or packed
+    twice, and containers above their capacity."""
+    packed = cut_lineage(_packed(spark, sf_dir))
+    counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    pieces = packed.groupBy("_pack", "_capacity", "_key").agg(F.count("*").alias("_n"), F.sum("_tokens").alias("_sum"), F.count_distinct("_piece").alias("_d"), F.max("_piece").alias("_last"))
+    texts = pieces.join(counts, "_key", "full").groupBy("_pack").agg(
+        F.count("_key").alias("texts"), F.count_if((F.col("_n") > 1) & (F.col("_tokens") <= F.col("_capacity"))).alias("split"),
+        F.count_if(F.coalesce((F.col("_sum") != F.col("_tokens")) | (F.col("_n") != F.col("_d")) | (F.col("_last") != F.col("_n") - 1), F.lit(True))).alias("incomplete"),
+    )
+    bins = packed.groupBy("_pack", "_capacity", "_bin").agg(F.sum("_tokens").alias("_used")).groupBy("_pack").agg(F.count_if(F.col("_used") > F.col("_capacity")).alias("overfull"))
+    return texts.join(bins, "_pack", "left").select(F.col("_pack").alias("pack_id"), "texts", "split", "incomplete", "overfull")
+
+
+QUERIES = {"p6_packing": p6_packing, "p6_fill": p6_fill, "p6_invariants": p6_invariants}
+ORACLES = {
+    "p6_invariants": """SELECT pack_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS split, 0::BIGINT AS incomplete, 0::BIGINT AS overfull
+        FROM (SELECT DISTINCT pack_id FROM pack_sizes WHERE capacity_tokens > 0)""",
+}
