@@ -48,20 +48,28 @@ def plan(length: int, edits: int) -> tuple[int, int, int]:
     return 1, 1, 1  # as many edits as characters: every common character is a candidate
 
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Letters and digits of the basic plane.
+_KEPT = np.ones(0x10000, bool)
+_KEPT[[m.start() + n for m in _OTHER.finditer("".join(map(chr, range(0x10000)))) for n in range(len(m[0]))]] = False
 
 
-def gram_hashes(text: str, q: int, stride: int) -> np.ndarray:
-    """64-bit hashes of the q-grams of ``text`` at every ``stride``-th position, as signed numbers."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def plain_codes(text: str) -> np.ndarray:
+    """The code points of ``letters_and_digits(text)``."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) and codes.max() > 0xFFFF:
+        return np.frombuffer(letters_and_digits(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes[_KEPT[codes]]
+
+
+def gram_hashes(codes: np.ndarray, q: int, stride: int) -> np.ndarray:
+    """64-bit hashes of the q-grams at every ``stride``-th position, as signed numbers."""
     if len(codes) < q:
         return np.empty(0, np.int64)
-    grams = np.lib.stride_tricks.sliding_window_view(codes, q)[::stride]
-    out = np.full(len(grams), np.uint64(q))
-    for k in range(q):
-        out = (out ^ grams[:, k]) * _FACTOR
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    out = np.lib.stride_tricks.sliding_window_view(codes.astype(np.uint64), q)[::stride] @ np.resize(_FACTORS, q)
+    out ^= out >> np.uint64(31)
+    out *= _FACTORS[0]
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
 def reach(a: str, i: int, b: str, j: int, edits: int, step: int) -> list[int]:
@@ -106,7 +114,7 @@ def _item_grams(runs: dict[str, int], edits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for item, text, lang in zip(part["_item"], part["_text"], part["_lang"]):
-                length, plain = runs.get(lang), letters_and_digits(text)
+                length, plain = runs.get(lang), plain_codes(text)
                 if length is None or len(plain) < length:
                     continue
                 hashes = gram_hashes(plain, plan(length, edits)[0], 1)
@@ -135,7 +143,7 @@ def _document_hits(filters: Broadcast, edits: int):
             for doc, text in zip(part["_doc"], part["_text"]):
                 if not text:
                     continue
-                plain = letters_and_digits(text)
+                plain = plain_codes(text)
                 for length, q, stride, bound, bits in plans:
                     if len(plain) < length - edits:
                         continue
@@ -151,7 +159,7 @@ def _document_hits(filters: Broadcast, edits: int):
                         grams.append(hashes[n])
                         positions.append(at)
                         starts.append(start)
-                        windows.append(plain[start : at + length + edits + q])  # a run through this q-gram that is just long enough lies within
+                        windows.append(plain[start : at + length + edits + q].tobytes().decode("utf-32-le", "surrogatepass"))  # a run through this q-gram that is just long enough lies within
             yield pd.DataFrame({
                 "doc_id": pd.Series(docs, dtype="int64"), "_length": pd.Series(lengths, dtype="int32"), "_gram": pd.Series(grams, dtype="int64"),
                 "_p": pd.Series(positions, dtype="int64"), "_start": pd.Series(starts, dtype="int64"), "_window": pd.Series(windows, dtype=object),

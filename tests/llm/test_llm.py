@@ -307,6 +307,12 @@ def test_leaks_equal_brute_force(spark, edits, length):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_letters_and_digits(s):
+    assert P7.plain_codes(s).tobytes().decode("utf-32-le", "surrogatepass") == P7.letters_and_digits(s)
+
+
 def test_plans_keep_the_lemma():
     for length in range(4, 120):
         for edits in range(0, 4):
