@@ -6,17 +6,17 @@ within pages first; one summary row per page then carries them across pages, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOC, PAGE = "paper_id", "page"
-#: Missing positions sort last.
-LAST = 10**9
-
 
 def flow_order() -> list[Column]:
-    """Order within a page."""
-    return [F.coalesce(F.col("flow_index"), F.lit(LAST)), F.col("block_key")]
+    """Order within a page, missing positions last."""
+    return [F.col("flow_index").isNull(), F.col("flow_index"), F.col("block_key")]
 
 
 def _summaries(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -64,18 +64,24 @@ def carried(df: DataFrame, value: Column, name: str, inclusive: bool = True) ->
 def greedy_batches(runs: DataFrame, keys: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
     """Adds ``batch`` (from 0 per run): a row opens a batch if the open one is not empty and would exceed ``budget``.
 
-    Greedy packing depends on all rows before, so each run is folded in order; runs end at structural breaks, which bounds them.
+    Greedy packing depends on all rows before, so runs are sorted within partitions and streamed: one open batch is held at a time, and a run is
+    never collected, however long. Null orders sort last.
     """
-    item = F.struct(*[F.col(c) for c in order], cost.alias("_cost"))
-    grouped = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(-1).cast("bigint").alias("batch"), F.array().cast("array<bigint>").alias("of"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = (acc["batch"] < 0) | (acc["used"] + x["_cost"] > budget)
-        batch = acc["batch"] + F.when(opens, 1).otherwise(0)
-        used = F.when(opens, x["_cost"]).otherwise(acc["used"] + x["_cost"])
-        return F.struct(used.cast("bigint").alias("used"), batch.cast("bigint").alias("batch"), F.concat(acc["of"], F.array(batch.cast("bigint"))).alias("of"))
-
-    folded = grouped.withColumn("_of", F.aggregate("_items", start, step, lambda acc: acc["of"]))
-    rows = folded.select(*keys, F.explode(F.arrays_zip("_items", "_of")).alias("_r"))
-    return rows.select(*keys, *[F.col(f"_r._items.{c}").alias(c) for c in order], F.col("_r._of").alias("batch"))
+    kinds = dict(runs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *order]) + ", batch bigint"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used, batch = None, 0, -1
+        for part in parts:
+            out = []
+            for key, spent in zip(zip(*[part[k] for k in keys]), part["_cost"].tolist()):
+                if key != current:
+                    current, used, batch = key, 0, -1
+                if batch < 0 or used + spent > budget:
+                    used, batch = 0, batch + 1
+                used += spent
+                out.append(batch)
+            yield part[[*keys, *order]].assign(batch=pd.Series(out, index=part.index, dtype="int64"))
+
+    rows = runs.select(*keys, *order, cost.cast("bigint").alias("_cost"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order]).mapInPandas(run, schema)

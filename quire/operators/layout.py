@@ -87,7 +87,7 @@ def page_continuations(blocks: DataFrame) -> DataFrame:
     Last and first block of neighbouring pages, publisher's lines aside: both body, no break before the second, and the first without
     terminal mark or the second in lower case. An aggregate per page and a join of page and page + 1; no window over a document.
     """
-    order = F.struct(F.coalesce("flow_index", F.lit(10**9)), "block_key")
+    order = F.struct(F.col("flow_index").isNull(), "flow_index", "block_key")
     row = F.struct("block_key", "kind", "text", "flow_break")
     real = blocks.where("coalesce(kind, '') <> 'meta'")
     pages = real.groupBy("paper_id", "page").agg(F.max_by(row, order).alias("l"), F.min_by(row, order).alias("f"))

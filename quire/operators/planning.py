@@ -60,7 +60,7 @@ def skip_reasons(blocks: DataFrame, height: float, in_table: DataFrame, front: D
         .when(F.coalesce("math_only", F.lit(False)) | (F.col("kind") == "math_only"), "math")
     )
     rows = rows.withColumn("_early", early)
-    at = F.struct(F.col("page").alias("page"), F.coalesce("flow_index", F.lit(flow.LAST)).alias("i"), F.col("block_key").alias("k"))
+    at = F.struct(F.col("page").alias("page"), F.col("flow_index").isNull().alias("n"), F.col("flow_index").alias("i"), F.col("block_key").alias("k"))
     rows = rows.withColumn("_at", at)
     heads = rows.where(F.col("_early").isNull() & t.rlike(REFERENCE_HEADING)).groupBy("paper_id").agg(F.min("_at").alias("_head"))
     rows = rows.join(heads, "paper_id", "left")

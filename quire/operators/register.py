@@ -16,7 +16,7 @@ def guesses(blocks: DataFrame) -> DataFrame:
         F.max_by("block_key", F.struct("size", "chars", -F.col("block_key"))).alias("title_block"),
         F.max_by(F.struct("block_key", "chars"), F.struct("chars", -F.col("block_key"))).alias("_a"),
     )
-    words = blocks.where(F.col("text").rlike(terminology.EN_KEYWORDS)).groupBy("paper_id").agg(F.min_by("block_key", F.struct("page", F.coalesce("flow_index", F.lit(10**9)), "block_key")).alias("keyword_block"))
+    words = blocks.where(F.col("text").rlike(terminology.EN_KEYWORDS)).groupBy("paper_id").agg(F.min_by("block_key", F.struct("page", F.col("flow_index").isNull(), "flow_index", "block_key")).alias("keyword_block"))
     return first.join(words, "paper_id", "left").select("paper_id", "title_block", F.when(F.col("_a.chars") > 200, F.col("_a.block_key")).alias("abstract_block"), "keyword_block")
 
 
@@ -43,17 +43,17 @@ def harvest(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
     """The knowledge bases after a paper's blocks: terms found again gain a hit, the paper and 0.03 confidence (at most 0.95), mined pairs are folded in after.
 
     ``kb`` is evidence (kb_id, source, target, confidence, kind, paper, seq), ``pairs`` has block_key, text and zh, and kb_id if a pair is for one base
-    only; else every base of ``kb`` is harvested from all pairs. The rows are evidence for ``terminology.upsert``, the confirmations marked by ``again``.
+    only; else every base of ``kb`` is harvested from all pairs. The rows are evidence for ``terminology.upsert``, in the stages
+    0 (known), 1 (confirmations) and 2 (mined).
     """
     own = ["kb_id"] if "kb_id" in pairs.columns else []
-    last = 10**12  # mined evidence comes after all that is known
     terms = kb.select(F.struct("kb_id", "seq").alias("_id"), *own, "source", "target")
     hits = terminology.confirmations(terms, pairs, own).select("_id.kb_id", "_id.seq", F.lit(True).alias("_hit")).distinct()
     raised = kb.join(hits, ["kb_id", "seq"], "left").withColumn("confidence", F.when(F.col("_hit"), F.least(F.lit(0.95), F.round(F.col("confidence") + 0.03, 2))).otherwise(F.col("confidence")))
     # a term's first row found again is its one confirmation, after all that is known
     nth = F.row_number().over(Window.partitionBy("kb_id", normalize_key(F.col("source"))).orderBy(F.col("_hit").desc_nulls_last(), "seq"))
-    row = F.struct(F.col("paper").cast("string").alias("paper"), F.col("seq").cast("bigint").alias("seq"), F.lit(False).alias("again"))
-    once = F.struct(paper.cast("string").alias("paper"), F.lit(last - 1).cast("bigint").alias("seq"), F.lit(True).alias("again"))
+    row = F.struct(F.col("paper").cast("string").alias("paper"), F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("stage"))
+    once = F.struct(paper.cast("string").alias("paper"), F.lit(0).cast("bigint").alias("seq"), F.lit(1).alias("stage"))
     again = raised.withColumn("_first", F.coalesce(F.col("_hit") & (nth == 1), F.lit(False)))
     again = again.select("kb_id", "source", "target", "confidence", "kind", F.explode(F.when(F.col("_first"), F.array(row, once)).otherwise(F.array(row))).alias("_r"))
 
@@ -67,7 +67,7 @@ def harvest(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
         same = mined.groupBy(normalize_key(F.col("source")).alias("_s"), "_t", "target", "confidence", "kind").agg(F.min_by("source", "block_key").alias("source"), F.min("block_key").alias("block_key"))
         mined = same.crossJoin(F.broadcast(kb.select("kb_id").distinct()))
     known = kb.select("kb_id", normalize_key(F.col("source")).alias("_t")).distinct()
-    mined = mined.join(known, ["kb_id", "_t"], "left_anti").select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), (F.col("block_key") + last).alias("seq"), F.lit(False).alias("again"))
+    mined = mined.join(known, ["kb_id", "_t"], "left_anti").select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), F.col("block_key").alias("seq"), F.lit(2).alias("stage"))
     return again.select("kb_id", "source", "target", "confidence", "kind", "_r.*").unionByName(mined)
 
 

@@ -14,7 +14,7 @@ from ..functions.text import WS, clean_text, collapse
 from .tables import line_runs
 
 #: Fonts of formulas, by a part of their name (fixed values).
-MATH_FONTS = "stix lmroman cmmi cmsy cmr math symbol mtmi euclid".split()
+MATH_FONTS = ("stix", "lmroman", "cmmi", "cmsy", "cmr", "math", "symbol", "mtmi", "euclid")
 #: Words in a font's name that don't make another family (fixed values).
 FONT_STYLES = r"(?i)(bold|italic|oblique|regular|medium)"
 

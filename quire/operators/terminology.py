@@ -6,9 +6,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # terms are looked up by joins then
+    ahocorasick = None
+
 from ..functions.text import WS, chinese_term, english_phrase, no_space, normalize_key, strip, term_pattern
 
 #: Pairs that are no terms (fixed values).
@@ -97,13 +103,13 @@ def acceptable(source: Column, target: Column) -> Column:
 def upsert(evidence: DataFrame, strict_compat: bool = True) -> DataFrame:
     """(kb_id, source, target, confidence, source_kind, hits, papers, target_alt): the terms after all evidence, in order of ``seq``.
 
-    ``evidence`` has kb_id, source, target, confidence, kind, paper ('' for none), seq, and perhaps again: a confirmation of the term so far. The rules aren't commutative, so evidence of a term
-    is folded in order: partitions are sorted by term and streamed, one entry is held at a time, and no group is collected.
+    ``evidence`` has kb_id, source, target, confidence, kind, paper ('' for none), seq, and perhaps stage, which goes before seq; rows of stage 1 confirm
+    the term so far. The rules aren't commutative, so evidence of a term is folded in order: partitions are sorted by term and streamed, one entry is held at a time, and no group is collected.
     """
     rows = evidence.withColumns({"source": strip(F.col("source")), "target": strip(F.col("target"))}).where(acceptable(F.col("source"), F.col("target")))
-    again = F.coalesce("again", F.lit(False)) if "again" in evidence.columns else F.lit(False)
-    keyed = rows.select("kb_id", normalize_key(F.col("source")).alias("_key"), "seq", "source", "target", F.col("confidence").cast("double"), "kind", F.coalesce("paper", F.lit("")).alias("paper"), again.alias("again"))
-    streamed = keyed.repartition("kb_id", "_key").sortWithinPartitions("kb_id", "_key", "seq")
+    stage = F.coalesce("stage", F.lit(0)) if "stage" in evidence.columns else F.lit(0)
+    keyed = rows.select("kb_id", normalize_key(F.col("source")).alias("_key"), "seq", "source", "target", F.col("confidence").cast("double"), "kind", F.coalesce("paper", F.lit("")).alias("paper"), stage.alias("stage"), (stage == 1).alias("again"))
+    streamed = keyed.repartition("kb_id", "_key").sortWithinPartitions("kb_id", "_key", "stage", "seq")
     return streamed.mapInPandas(_fold(strict_compat), "kb_id int, source string, target string, confidence double, source_kind string, hits int, papers string, target_alt string")
 
 
@@ -152,6 +158,33 @@ def keyword_pairs(pairs: DataFrame) -> DataFrame:
     return rows.where(F.col("source").rlike("[A-Za-z]") & F.col("target").rlike(r"[\x{4e00}-\x{9fff}]") & (F.length("source") > 2))
 
 
+#: Characters of distinct terms that one automaton may hold (a few hundred bytes of memory each); more are looked up by joins.
+AUTOMATON_CHARS = 4_000_000
+
+
+def _dictionary(terms: DataFrame, columns: list[str]) -> Broadcast | None:
+    """The distinct ``terms``, broadcast, if the characters of ``columns`` fit an automaton (and its library is installed), else None."""
+    if ahocorasick is None:
+        return None
+    distinct = terms.distinct()
+    size = distinct.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
+    return terms.sparkSession.sparkContext.broadcast([tuple(r) for r in distinct.collect()]) if size <= AUTOMATON_CHARS else None
+
+
+def _automaton(words: list[str]):
+    """An automaton whose matches give the positions of ``words``, which are distinct and not empty."""
+    made = ahocorasick.Automaton()
+    for n, word in enumerate(words):
+        made.add_word(word, n)
+    if words:
+        made.make_automaton()
+    return made
+
+
+def _found(automaton, text: str) -> set[int]:
+    return {n for _, n in automaton.iter(text)} if len(automaton) else set()
+
+
 def _openings(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     """(key, _k): every distinct run of one to ``n`` characters of a text: what a term in it can begin with."""
     chars = df.select(key, F.split(text, "").alias("_c"))  # a column of its own: looked up by position, the text would be scanned for each run
@@ -167,38 +200,115 @@ def _left(k: int):
 def landed(terms: DataFrame, translations: DataFrame) -> DataFrame:
     """(_id) of terms whose target (white space aside) occurs in a translation.
 
-    ``terms`` has _id and target, ``translations`` block_key and zh. Every distinct target is joined on its first four characters (a shorter one on all)
-    with what the translations' terms can begin with; only keys and ids meet there, and the texts are fetched for the candidates to verify.
+    ``terms`` has _id and target, ``translations`` block_key and zh. Each translation is scanned once by an automaton of the distinct targets; nothing
+    of the texts is shuffled. More targets than an automaton may hold are joined on their first four characters (a shorter one on all) with what
+    the translations' terms can begin with; only keys and ids meet there, and the texts are fetched for the candidates to verify.
     """
     t = terms.select("_id", no_space(F.col("target")).alias("_target")).where("_target <> ''")
-    distinct = t.select("_target").distinct().withColumn("_k", F.left("_target", F.lit(4)))
     z = translations.select("block_key", no_space(F.col("zh")).alias("_zh")).where(F.length("_zh") > 0)
-    candidates = _openings(z, "block_key", "_zh").join(distinct, "_k").select("block_key", "_target")
-    hits = candidates.join(z, "block_key").where(F.contains("_zh", "_target")).select("_target").distinct()
+    held = _dictionary(t.select("_target"), ["_target"])
+    if held is not None:
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words = [w for w, in held.value]
+            automaton, seen = _automaton(words), set()
+            for part in parts:
+                new = {n for text in part["_zh"] for n in _found(automaton, text)} - seen
+                seen |= new
+                yield pd.DataFrame({"_target": pd.Series([words[n] for n in new], dtype=object)})
+
+        hits = z.select("_zh").mapInPandas(run, "_target string").distinct()
+    else:
+        distinct = t.select("_target").distinct().withColumn("_k", F.left("_target", F.lit(4)))
+        candidates = _openings(z, "block_key", "_zh").join(distinct, "_k").select("block_key", "_target")
+        hits = candidates.join(z, "block_key").where(F.contains("_zh", "_target")).select("_target").distinct()
     return t.join(hits, "_target", "left_semi").select("_id")
 
 
 def mentioned(terms: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(_id, block_key) of terms that occur in a text at word boundaries, blanks matching hyphens too.
+    """(_id, block_key) of terms that occur in a text at word boundaries, blanks matching hyphens too; found by joins.
 
-    ``terms`` has _id and source, ``blocks`` block_key and text. Joined on the term's first two words (or its only one) with the texts' words and pairs
-    of words; the texts are fetched for the candidates and verified with the term's pattern.
+    ``terms`` has _id and source, ``blocks`` block_key and text. Terms with Latin words or numbers are joined on their first two (or only) with the
+    texts' words and pairs of words, other terms on their first characters; the texts are fetched for the candidates and verified with the term's pattern.
     """
     word = r"[^a-z0-9]+"
     split = lambda c: F.filter(F.split(F.lower(c), word), lambda w: w != "")
-    t = terms.where("source IS NOT NULL").select("_id", split(F.col("source")).alias("_w"), term_pattern(F.col("source")).alias("_p")).where(F.size("_w") > 0)
-    t = t.select("_id", "_p", F.array_join(F.slice("_w", 1, 2), " ").alias("_k"))
+    every = terms.where(strip(F.col("source")) != "").select("_id", F.lower(strip(F.col("source"))).alias("_s"), split(F.col("source")).alias("_w"), term_pattern(F.col("source")).alias("_p"))
+    t = every.where(F.size("_w") > 0).select("_id", "_p", F.array_join(F.slice("_w", 1, 2), " ").alias("_k"))
     b = blocks.where("text IS NOT NULL").select("block_key", F.lower("text").alias("_text"))
     w = b.select("block_key", split(F.col("_text")).alias("_w")).where(F.size("_w") > 0)
     two = F.zip_with("_w", F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
     candidates = w.select("block_key", F.explode(F.array_distinct(F.concat("_w", two))).alias("_k")).join(t, "_k").select("block_key", "_id", "_p")
+    wordless = every.where(F.size("_w") == 0).select("_id", "_p", F.left(F.regexp_replace("_s", rf"[{WS[1:-1]}-].*$", ""), F.lit(4)).alias("_k"))
+    opened = _openings(b, "block_key", "_text").join(wordless.where("_k <> ''"), "_k").select("block_key", "_id", "_p")
+    odd = wordless.where("_k = ''").select("_id", "_p")  # terms that begin with a hyphen: any text may have them
+    anywhere = b.select("block_key").join(odd, F.lit(True)) if not odd.isEmpty() else None
+    candidates = candidates.unionByName(opened)
+    candidates = candidates if anywhere is None else candidates.unionByName(anywhere.select("block_key", "_id", "_p"))
     return candidates.join(b, "block_key").where(F.regexp("_text", F.col("_p"))).select("_id", "block_key").distinct()
 
 
+_GAPS = re.compile(r"[\s-]+")
+
+
+def _mention_counts(held: Broadcast):
+    """mapInPandas function over (block_key, _text in lower case): (source, n_blocks, first_block) of each batch."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: dict[str, list[tuple[str, re.Pattern | None]]] = {}
+        for source, low in held.value:
+            # where gaps are alike, a term without hyphen is found exactly; one with a hyphen may differ from what it seems to match
+            pattern = re.compile(r"[\s-]+".join(map(re.escape, low.split()))) if "-" in low else None
+            of.setdefault(_GAPS.sub(" ", low), []).append((source, pattern))
+        words = [*of]
+        automaton = _automaton(words)
+        for part in parts:
+            counts: dict[str, list[int]] = {}
+            for key, text in zip(part["block_key"], part["_text"]):
+                alike = _GAPS.sub(" ", text)
+                end = len(alike) - 1
+                hits: dict[int, bool] = {}
+                for at, n in automaton.iter(alike) if words else ():
+                    start = at - len(words[n])
+                    if (start < 0 or not _is_word(alike[start])) and (at == end or not _is_word(alike[at + 1])):
+                        hits[n] = True
+                for n in hits:
+                    for source, pattern in of[words[n]]:
+                        if pattern is None or any((m.start() == 0 or not _is_word(text[m.start() - 1])) and (m.end() == len(text) or not _is_word(text[m.end()])) for m in _overlapping(pattern, text)):
+                            held_ = counts.setdefault(source, [0, key])
+                            held_[0] += 1
+                            held_[1] = min(held_[1], key)
+            yield pd.DataFrame({"source": pd.Series([*counts], dtype=object), "_n": pd.Series([c[0] for c in counts.values()], dtype="int64"), "_first": pd.Series([c[1] for c in counts.values()], dtype="int64")})
+
+    return run
+
+
+def _is_word(c: str) -> bool:
+    return "a" <= c <= "z" or "0" <= c <= "9"
+
+
+def _overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    m = pattern.search(text)
+    while m:
+        yield m
+        m = pattern.search(text, m.start() + 1)
+
+
 def mentions(terms: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(_id, n_blocks, first_block) of the terms that occur; terms of equal source are looked up once."""
-    found = mentioned(terms.select(F.col("source").alias("_id"), "source").distinct(), blocks)
-    counts = found.groupBy(F.col("_id").alias("source")).agg(F.count("*").alias("n_blocks"), F.min("block_key").alias("first_block"))
+    """(_id, n_blocks, first_block) of the terms that occur at word boundaries; terms of equal source are looked up once.
+
+    ``terms`` has _id and source, ``blocks`` block_key (unique) and text. Each text is scanned once by an automaton of the terms, which sends on counts,
+    not texts or matches; more terms than an automaton may hold are looked up by joins (``mentioned``).
+    """
+    sources = terms.where(strip(F.col("source")) != "").select("source", F.lower(strip(F.col("source"))).alias("_low"))
+    held = _dictionary(sources, ["_low"])
+    if held is not None:
+        rows = blocks.where("text IS NOT NULL").select("block_key", F.lower("text").alias("_text"))
+        each = rows.mapInPandas(_mention_counts(held), "source string, _n bigint, _first bigint")
+        counts = each.groupBy("source").agg(F.sum("_n").alias("n_blocks"), F.min("_first").alias("first_block"))
+    else:
+        found = mentioned(terms.select(F.col("source").alias("_id"), "source").distinct(), blocks)
+        counts = found.groupBy(F.col("_id").alias("source")).agg(F.count("*").alias("n_blocks"), F.min("block_key").alias("first_block"))
     return terms.select("_id", "source").join(counts, "source").select("_id", "n_blocks", "first_block")
 
 
@@ -216,16 +326,41 @@ def confirmations(terms: DataFrame, pairs: DataFrame, own: list[str] | None = No
     """
     own = own or []
     t = terms.where("target <> '' AND source <> ''").select("_id", *own, "target", normalize_key(F.col("source")).alias("_s"))
-    distinct = t.select(*own, "target", "_s").distinct().withColumn("_k", F.left("target", F.lit(4)))
     z = pairs.where("zh <> ''").select("block_key", *own, "zh", normalize_key(F.col("text")).alias("_text"))
-    opened = _openings(z.select("block_key", "zh").distinct() if own else z, "block_key", "zh")
-    opened = opened.join(F.broadcast(distinct.select("_k").distinct()), "_k", "left_semi")  # before the shuffle: most runs begin no term
-    candidates = opened.join(z.select("block_key", *own), "block_key") if own else opened
-    candidates = candidates.join(distinct, ["_k", *own]).select("block_key", *own, "target", "_s")
-    hits = candidates.join(z, ["block_key", *own]).where(F.contains("zh", "target") & F.contains("_text", "_s")).groupBy(*own, "target", "_s").agg(F.min("block_key").alias("first_block"))
+    held = None if own else _dictionary(t.select("target", "_s"), ["target", "_s"])
+    if held is not None:
+        each = z.where("_text IS NOT NULL").mapInPandas(_confirmed(held), "target string, _s string, _first bigint")
+        hits = each.groupBy("target", "_s").agg(F.min("_first").alias("first_block"))
+    else:
+        distinct = t.select(*own, "target", "_s").distinct().withColumn("_k", F.left("target", F.lit(4)))
+        opened = _openings(z.select("block_key", "zh").distinct() if own else z, "block_key", "zh").join(distinct.select("_k").distinct(), "_k", "left_semi")
+        candidates = opened.join(z.select("block_key", *own), "block_key") if own else opened
+        candidates = candidates.join(distinct, ["_k", *own]).select("block_key", *own, "target", "_s")
+        hits = candidates.join(z, ["block_key", *own]).where(F.contains("zh", "target") & F.contains("_text", "_s")).groupBy(*own, "target", "_s").agg(F.min("block_key").alias("first_block"))
     return t.join(hits, [*own, "target", "_s"]).select("_id", "first_block")
 
 
+def _confirmed(held: Broadcast):
+    """mapInPandas function over (block_key, zh, _text): (target, _s, _first) of the terms confirmed in each partition."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: dict[str, list[str]] = {}
+        for target, source in held.value:
+            of.setdefault(target, []).append(source)
+        words = [*of]
+        automaton = _automaton(words)
+        for part in parts:
+            first: dict[tuple[str, str], int] = {}
+            for key, zh, text in zip(part["block_key"], part["zh"], part["_text"]):
+                for n in _found(automaton, zh):
+                    for source in of[words[n]]:
+                        if first.get((words[n], source), key + 1) > key and source in text:
+                            first[words[n], source] = key
+            yield pd.DataFrame([(t, s, k) for (t, s), k in first.items()], columns=["target", "_s", "_first"])
+
+    return run
+
+
 def lookup(glossary: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """The ``limit`` surest terms whose source or target contains the query, case aside; first come first on ties."""
     q = query.lower()

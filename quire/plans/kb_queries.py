@@ -86,9 +86,10 @@ def glossary_audit_top(spark: SparkSession, d: str) -> DataFrame:
 
 _OK = rf"length(s) >= 2 AND length(t) >= 2 AND regexp_matches(s, '[A-Za-z]') AND regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') AND NOT (lower(s) || '/' || t IN ('et al/等人', 'fig/图', 'table/表', 'eq/式'))"
 _PAIRS = f"{BLOCKS}, {LATEST}, p AS (SELECT block_key, b.text, n.zh FROM b JOIN n USING (block_key) WHERE n.zh <> '')"
+_GAP = "[" + WS[1:-1].replace("\\", "\\\\") + "-]+"
 _MISS = rf"""m AS (SELECT gid, source, regexp_replace(target, '{WS}+', '', 'g') AS tt FROM glossary WHERE regexp_replace(coalesce(target, ''), '{WS}+', '', 'g') <> ''),
  z AS (SELECT block_key, text, regexp_replace(zh, '{WS}+', '', 'g') AS zz FROM p), un AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM z WHERE contains(zz, tt))),
- h AS (SELECT gid, block_key FROM un JOIN z ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_replace(regexp_replace(lower({sql_strip('source')}), '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '{WS}+', '[\\s-]+', 'g') || '([^a-z0-9]|$)')),
+ h AS (SELECT gid, block_key FROM un JOIN z ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_replace(regexp_replace(lower({sql_strip('source')}), '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '{WS}+', '{_GAP}', 'g') || '([^a-z0-9]|$)')),
  a AS (SELECT gid, count(*) AS n_blocks, min(block_key) AS first_block FROM h GROUP BY 1)"""
 QUERIES = {
     "kb_upsert": kb_upsert, "kb_stats": kb_stats, "literature_stats": literature_stats, "kb_lookup": kb_lookup, "kb_export": kb_export, "glossary_dedupe": glossary_dedupe, "glossary_merge": glossary_merge,

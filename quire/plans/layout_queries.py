@@ -197,7 +197,7 @@ ORACLES = {
  SELECT paper_id, page, block_key, batch FROM f""",
     "missing_runs": f"""WITH {BLOCKS}, {LATEST}, {_POS}, m AS (SELECT paper_id, position, position - row_number() OVER (PARTITION BY paper_id ORDER BY position) AS g FROM pos WHERE block_key NOT IN (SELECT block_key FROM n WHERE zh <> ''))
  SELECT paper_id, min(position) AS first_position, count(*) AS n_blocks FROM m GROUP BY paper_id, g""",
-    "flow_batches": f"""WITH RECURSIVE {BLOCKS}, {_POS}, i AS (SELECT *, {_BR} AS br FROM pos WHERE kind NOT IN ('table', 'meta', 'math_only')),
+    "flow_batches": f"""WITH RECURSIVE {BLOCKS}, {_POS}, i AS (SELECT *, {_BR} AS br FROM pos WHERE coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')),
  j AS (SELECT *, coalesce(position <> lag(position) OVER w + 1 OR br OR lag(br) OVER w, true) AS opens FROM i WINDOW w AS (PARTITION BY paper_id ORDER BY position)),
  k AS (SELECT paper_id, block_key, position, length(text) + 40 AS cost, max(CASE WHEN opens THEN position END) OVER (PARTITION BY paper_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS run FROM j),
  o AS (SELECT *, row_number() OVER (PARTITION BY paper_id, run ORDER BY position) AS n FROM k),

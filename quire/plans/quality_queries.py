@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import page_numbers, selection_covers
+from ..functions.text import page_numbers, page_set, selection_covers
 from ..operators import layout, quality
 from . import jobs, layout_queries
 from .base import BLOCKS, ENTRIES, LATEST, WS, blocks, latest, sql_strip, table, translations
@@ -89,11 +89,19 @@ def batch_prompts(spark: SparkSession, d: str) -> DataFrame:
     return items.select("batch", F.size("i").alias("n_items"), F.md5(F.array_join(F.transform("i", lambda x: F.concat_ws("=", x["id"], x["text"])), "|")).alias("prompt_md5"))
 
 
+#: Selectors that page_selections reads in every paper, the last two beyond what a selector may be.
+SELECTORS = ("1,3-4", "all", "", " 2 , 7-9,2", "5-3", "3-", "x")
+
+
 def page_selections(spark: SparkSession, d: str) -> DataFrame:
-    """Pages chosen by a selector in every paper, and whether preparing pages 1 to 3 covers it."""
+    """Pages chosen by each selector in every paper, from 0 and clipped, and from 1; and whether preparing pages 1 to 4 covers it."""
     papers = blocks(spark, d).groupBy("paper_id").agg(F.max("page").alias("n_pages"))
-    chosen = page_numbers(F.lit("1,3-4"), F.col("n_pages"))
-    return papers.select("paper_id", F.size(chosen).alias("n_chosen"), F.array_join(chosen.cast("array<string>"), ",").alias("chosen"), selection_covers(F.lit("1-3"), F.lit("1,3-4"), F.col("n_pages")).alias("covered"))
+    rows = papers.select("paper_id", "n_pages", F.explode(F.array(*map(F.lit, SELECTORS))).alias("selector"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select(
+        "paper_id", "selector", joined(page_numbers(F.col("selector"), F.col("n_pages"))).alias("chosen"), joined(page_set(F.col("selector"), F.col("n_pages"))).alias("pages"),
+        selection_covers(F.lit("1-4"), F.col("selector")).alias("covered"),
+    )
 
 
 def document_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -116,12 +124,13 @@ def actionable_clusters(spark: SparkSession, d: str) -> DataFrame:
 _P = f"p AS (SELECT b.block_key, text, paper_id, page, n.zh FROM b LEFT JOIN (SELECT block_key, zh FROM n) n USING (block_key) WHERE {_KINDS})"
 _ZH = sql_strip("coalesce(zh, '')")
 _UN = f"u AS (SELECT block_key FROM (SELECT block_key, {_ZH} AS z FROM p) WHERE z = '' OR (len(regexp_extract_all(z, '[A-Za-z]')) >= 15 AND len(regexp_extract_all(z, '[A-Za-z]')) > 0.6::DOUBLE * length(z) AND NOT regexp_matches(z, '[\\x{{4e00}}-\\x{{9fff}}]')))"
-_PAT = rf"'(^|[^a-z0-9])' || regexp_replace(regexp_replace(lower({sql_strip('source')}), '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '{WS}+', '[\\s-]+', 'g') || '([^a-z0-9]|$)'"
+_GAP = "[" + WS[1:-1].replace("\\", "\\\\") + "-]+"
+_PAT = rf"'(^|[^a-z0-9])' || regexp_replace(regexp_replace(lower({sql_strip('source')}), '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '{WS}+', '{_GAP}', 'g') || '([^a-z0-9]|$)'"
 _LAND = rf"""g AS (SELECT gid, {_PAT} AS pat, regexp_replace(target, '{WS}+', '', 'g') AS tt FROM glossary WHERE confidence >= 0.6::DOUBLE AND NOT isnan(confidence) AND target <> ''),
  q AS (SELECT lower(text) AS x, regexp_replace(zh, '{WS}+', '', 'g') AS z FROM p WHERE zh <> ''), la AS (SELECT gid, EXISTS (SELECT 1 FROM q WHERE regexp_matches(x, pat)) AS app, tt <> '' AND EXISTS (SELECT 1 FROM q WHERE contains(z, tt)) AS lan FROM g),
  lc AS (SELECT count(*) FILTER (app) AS applicable, count(*) FILTER (app AND lan) AS landed FROM la)"""
 _BASE = f"{BLOCKS}, {LATEST}, {_P}"
-_BATCHES = layout_queries.ORACLES["flow_batches"].replace("WHERE kind NOT IN", "WHERE coalesce(kind, '') NOT IN")
+_BATCHES = layout_queries.ORACLES["flow_batches"]
 _REPORT = rf"""WITH {_BASE}, {_UN}, {_LAND}, c AS (SELECT (SELECT count(*) FROM u) AS un, (SELECT CASE WHEN applicable > 0 THEN landed::DOUBLE / applicable ELSE 0 END FROM lc) AS rate, (SELECT landed || '/' || applicable FROM lc) AS lt,
   (SELECT coalesce(sum(len(regexp_extract_all(zh, '[\x{{f900}}-\x{{faff}}]'))), 0) FROM p) AS co, (SELECT coalesce(sum(len(regexp_extract_all(zh, '[\x{{4e00}}-\x{{9fff}}] [\x{{4e00}}-\x{{9fff}}]'))), 0) FROM p) AS ga, (SELECT count(*) FILTER ({sql_strip("coalesce(zh, '')")} <> '') FROM p) AS k, (SELECT count(*) FROM p) AS n),
  r AS (SELECT 'untranslated blocks' AS check_name, CASE WHEN un = 0 THEN 'PASS' WHEN un < 10 THEN 'WARN' ELSE 'FAIL' END AS level, un::DOUBLE AS value, un || ' blocks' AS detail FROM c
@@ -151,8 +160,11 @@ ORACLES = {
     "render_completeness": f"""WITH {ENTRIES}, {LATEST}, x AS (SELECT regexp_replace(t.zh, '{WS}+', '', 'g') AS z, regexp_replace(coalesce(n.zh, ''), '{WS}+', '', 'g') AS r FROM t LEFT JOIN n USING (block_key)),
  y AS (SELECT *, regexp_replace(z, '[_^]', '', 'g') AS q FROM x WHERE length(z) > 0) SELECT (contains(r, left(z, 18)) AND contains(r, right(z, 18))) OR (contains(r, left(q, 18)) AND contains(r, right(q, 18))) AS complete, count(*) AS n_entries FROM y GROUP BY 1""",
     "cell_dictionary": f"WITH {BLOCKS} SELECT text, min(block_key) AS first_block, count(*) AS n_cells FROM b WHERE kind = 'table' AND NOT regexp_matches(text, '{CELL_SKIP}') AND length(text) >= 2 GROUP BY 1",
-    "cell_join": f"WITH {BLOCKS}, {LATEST}, k AS (SELECT text, arg_min(n.zh, b.block_key) AS zh FROM b JOIN n USING (block_key) WHERE n.zh <> '' GROUP BY 1) SELECT block_key, k.zh FROM b JOIN k USING (text) WHERE kind IN ('table_caption', 'heading')",
+    "cell_join": f"WITH {BLOCKS}, {LATEST}, k AS (SELECT text, arg_min(n.zh, b.block_key) AS zh FROM b JOIN n USING (block_key) WHERE n.zh <> '' GROUP BY 1) SELECT block_key, k.zh FROM b JOIN k USING (text)",
     "prompts": f"WITH {BLOCKS} SELECT paper_id, page, count(*)::INT AS n_items, md5(string_agg(block_key || '=' || text, '|' ORDER BY block_key)) AS prompt_md5 FROM b WHERE kind IN ('table_caption', 'figure_caption') GROUP BY 1, 2",
     "batch_prompts": f"WITH {BLOCKS}, q AS ({_BATCHES}) SELECT concat_ws('.', q.paper_id, q.run, q.batch) AS batch, count(*)::INT AS n_items, md5(string_agg(q.block_key || '=' || text, '|' ORDER BY page, {_F}, q.block_key)) AS prompt_md5 FROM q JOIN b USING (block_key) GROUP BY q.paper_id, q.run, q.batch",
-    "page_selections": f"WITH {BLOCKS}, m AS (SELECT paper_id, max(page) AS n FROM b GROUP BY 1), c AS (SELECT paper_id, list_filter([0, 2, 3], lambda x: x < n) AS l, n FROM m) SELECT paper_id, len(l)::INT AS n_chosen, array_to_string(l, ',') AS chosen, n <= 3 AS covered FROM c",
+    "page_selections": f"""WITH {BLOCKS}, m AS (SELECT paper_id, max(page) AS n FROM b GROUP BY 1),
+ s(selector, listed) AS (VALUES ('1,3-4', [1, 3, 4]), ('all', NULL), ('', NULL), (' 2 , 7-9,2', [2, 7, 8, 9]), ('5-3', []), ('3-', NULL), ('x', NULL)),
+ p AS (SELECT paper_id, selector, n, CASE WHEN selector IN ('', 'all') THEN range(1, n + 1) ELSE listed END AS l FROM m, s)
+ SELECT paper_id, selector, array_to_string(list_transform(list_filter(l, lambda x: x <= n), lambda x: x - 1), ',') AS chosen, array_to_string(l, ',') AS pages, selector IN ('1,3-4', '5-3') AS covered FROM p""",
 }

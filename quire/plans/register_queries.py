@@ -69,7 +69,7 @@ ORACLES = {
     "literature_upsert": "WITH r AS (SELECT DISTINCT rec_id, paper_id, title_en FROM literature) SELECT paper_id, rec_id, title_en FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rec_id DESC) AS n FROM r) WHERE n = 1",
     "paper_slugs": r"""WITH r AS (SELECT DISTINCT rec_id, doi, coalesce(title_en, '') AS title FROM literature), x AS (SELECT rec_id, title, regexp_extract(lower(coalesce(doi, '')), '(10\.\d{4,9}/\S+)', 1) AS d FROM r)
  SELECT rec_id, CASE WHEN d <> '' THEN trim(regexp_replace(d, '[^0-9a-z]+', '-', 'g'), '-') ELSE trim(left(regexp_replace(title, '[^0-9A-Za-z\x{4e00}-\x{9fff}]+', '-', 'g'), 60), '-') END AS slug FROM x""",
-    "legacy_merge": rf"""WITH RECURSIVE {BLOCKS}, {LATEST}, v AS (SELECT b.*, coalesce(n.zh, '') <> '' AND b.block_key % 2 = 0 AS done FROM b LEFT JOIN (SELECT block_key, zh FROM n) n USING (block_key) WHERE x0 IS NOT NULL AND kind IS DISTINCT FROM 'table'),
+    "legacy_merge": rf"""WITH RECURSIVE {BLOCKS}, {LATEST}, v AS (SELECT b.*, coalesce(n.zh, '') <> '' AS done FROM b LEFT JOIN (SELECT block_key, zh FROM n) n USING (block_key) WHERE x0 IS NOT NULL AND kind IS DISTINCT FROM 'table'),
  x AS (SELECT paper_id, page, x0, row_number() OVER (PARTITION BY paper_id, page ORDER BY x0) AS n FROM (SELECT DISTINCT paper_id, page, x0 FROM v)),
  a AS (SELECT paper_id, page, x0, n, x0 AS anchor FROM x WHERE n = 1 UNION ALL SELECT x.paper_id, x.page, x.x0, x.n, CASE WHEN x.x0 - a.anchor <= 40 THEN a.anchor ELSE x.x0 END FROM a JOIN x ON x.paper_id = a.paper_id AND x.page = a.page AND x.n = a.n + 1),
  l AS (SELECT v.*, anchor, lag(v.x0) OVER w AS px, lag(y1) OVER w AS py, lag(x1) OVER w AS px1, lag(size) OVER w AS ps, lag(text) OVER w AS pt, lag(coalesce(heading, false) OR coalesce(bold, false) OR coalesce(math_only, false)) OVER w AS pst FROM v JOIN a USING (paper_id, page, x0) WINDOW w AS (PARTITION BY paper_id, page, anchor ORDER BY y0, block_key)),

@@ -91,7 +91,7 @@ def layout_uids(spark: SparkSession, d: str) -> DataFrame:
 
 _HTML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _CLEAN = f"""{sql_strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(160), ' ', 'g'), '-{WS}*\\n{WS}*([a-z])', '\\1', 'g'), '{WS}*\\n{WS}*', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g')")}"""
-_PUNCT = r"[\x{3400}-\x{9fff}，。！？；：、（）【】《》“”‘’…—]"
+_PUNCT = "[㐀-鿿，。；：！？、（）《》【】]"
 _REFLOW = f"""regexp_replace(regexp_replace({sql_strip("regexp_replace(zh, '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')")}, '({_PUNCT}) +', '\\1', 'g'), ' +({_PUNCT})', '\\1', 'g')"""
 
 
@@ -111,7 +111,17 @@ QUERIES = {
     "reflow_text": reflowed, "english_phrases": english_phrases, "chinese_terms": chinese_terms, "html_escape": escaped_html, "compatibility_characters": compatibility_characters,
     "kind_histogram": kind_check, "column_class": columns_by_box, "source_hashes": content_hashes, "layout_uids": layout_uids,
 }
-_STOP = "|".join(w.replace(".", r"\.") for w in T.EN_STOP)
+_NOISE = [
+    "本工作得到", "本工作", "本文", "本研究", "该项目", "该", "其中", "即为", "即", "例如", "比如", "包括", "采用", "利用", "基于", "得到", "需要", "可以", "能够", "以及", "和", "与", "及", "在", "由", "是", "称为", "命名为",
+]
+_STOP = "|".join(
+    w.replace(".", r"\.")
+    for w in (
+        "we", "the", "a", "an", "this", "that", "these", "those", "our", "their", "its", "it", "in", "by", "for", "to", "as", "of", "and", "or", "is", "are", "was", "were", "however", "moreover", "furthermore",
+        "additionally", "finally", "thus", "therefore", "besides", "specifically", "notably", "here", "there", "using", "based", "with", "called", "named", "termed", "namely", "such", "including", "include",
+        "includes", "proposed", "propose", "develop", "developed", "introduce", "introduced", "present", "presented", "use", "used", "adopt", "adopted", "see", "e.g", "i.e",
+    )
+)
 ORACLES = {
     "clean_text": f"SELECT doc_id, length(c) AS clean_chars, md5(c) AS clean_md5 FROM (SELECT doc_id, {_CLEAN} AS c FROM documents)",
     "content_duplicates": f"WITH {BLOCKS} SELECT sha256({sql_key('text')}) AS content, count(*) AS n_blocks, min(block_key) AS first_block FROM b GROUP BY 1 HAVING count(*) > 1",
@@ -125,6 +135,10 @@ ORACLES = {
         c AS (SELECT gid, ws, list_transform(ws, lambda x: NOT regexp_full_match(regexp_replace(lower(x), '^[.,;:]+|[.,;:]+$', '', 'g'), '{_STOP}')) AS ok FROM w),
         k AS (SELECT gid, CASE WHEN list_contains(ok, true) THEN ws[list_position(ok, true):len(ws) - list_position(list_reverse(ok), true) + 1] END AS kept FROM c)
         SELECT gid, CASE WHEN len(kept) <= 6 AND len(list_filter(kept, lambda x: length(x) > 2)) > 0 AND length(array_to_string(kept, ' ')) BETWEEN 3 AND 52 THEN array_to_string(kept, ' ') ELSE '' END AS phrase FROM k""",
+    "chinese_terms": rf"""WITH RECURSIVE n AS (SELECT unnest([{", ".join(f"'{w}'" for w in _NOISE)}]) AS w),
+        s AS (SELECT gid, {sql_strip("regexp_split_to_array(" + sql_strip("target") + r", '[。，；：！？、（）()\[\]【】]')[-1]")} AS t, 0 AS k FROM glossary WHERE target IS NOT NULL
+              UNION ALL SELECT gid, substr(t, (SELECT max(length(w)) FROM n WHERE starts_with(t, w) AND length(t) > length(w) + 1) + 1), k + 1 FROM s WHERE EXISTS (SELECT 1 FROM n WHERE starts_with(t, w) AND length(t) > length(w) + 1))
+        SELECT gid, CASE WHEN length(arg_max(t, k)) BETWEEN 2 AND 24 THEN arg_max(t, k) ELSE '' END AS term FROM s GROUP BY gid""",
     "html_escape": f"WITH {BLOCKS} SELECT block_key, md5({_HTML}) AS html_md5, ((color >> 16) & 255) / 255.0::DOUBLE AS r, (color & 255) / 255.0::DOUBLE AS b FROM b",
     "compatibility_characters": f"WITH {ENTRIES} SELECT paper_id, sum(len(regexp_extract_all(zh, '[\\x{{f900}}-\\x{{faff}}]')))::BIGINT AS compat, sum(len(regexp_extract_all(zh, '[{T.CJK}] [{T.CJK}]')))::BIGINT AS gaps FROM t WHERE zh IS NOT NULL GROUP BY 1",
     "kind_histogram": f"""WITH {BLOCKS}, r AS (SELECT paper_id, page, x0 AS a0, y0 AS a1, x1 AS a2, y1 AS a3 FROM b WHERE kind = 'table' AND x0 IS NOT NULL),
@@ -132,5 +146,5 @@ ORACLES = {
         SELECT {_KIND} AS rule, coalesce(kind, 'none') AS delivered, count(*) AS n_blocks FROM i GROUP BY 1, 2""",
     "column_class": f"""WITH {BLOCKS} SELECT col, CASE WHEN x1 - x0 >= 600 * 0.68::DOUBLE OR (x0 < 300 AND 300 < x1 AND x1 - x0 >= 600 * 0.42::DOUBLE) THEN 'full' WHEN (x0 + x1) / 2 < 300 THEN 'left' ELSE 'right' END AS by_box, count(*) AS n_blocks FROM b WHERE x0 IS NOT NULL GROUP BY 1, 2""",
     "source_hashes": f"WITH {BLOCKS}, h AS (SELECT block_key, source_hash AS old, substr(sha256(page::VARCHAR || chr(0) || {sql_collapse('text')}), 1, 24) AS source_hash FROM b) SELECT block_key, source_hash, coalesce(source_hash = old, false) AS same FROM h",
-    "layout_uids": f"""WITH {BLOCKS} SELECT block_key, substr(sha256(page::VARCHAR || chr(0) || coalesce(col, '') || chr(0) || printf('%.1f,%.1f,%.1f,%.1f', round_even(x0 * 2, 0) / 2, round_even(y0 * 2, 0) / 2, round_even(x1 * 2, 0) / 2, round_even(y1 * 2, 0) / 2) || chr(0) || {sql_collapse('text')}), 1, 24) AS layout_uid FROM b WHERE x0 IS NOT NULL""",
+    "layout_uids": f"""WITH {BLOCKS} SELECT block_key, substr(sha256(page::VARCHAR || chr(0) || coalesce(nullif(col, ''), '?') || chr(0) || printf('%.1f,%.1f,%.1f,%.1f', round_even(x0 * 2, 0) / 2, round_even(y0 * 2, 0) / 2, round_even(x1 * 2, 0) / 2, round_even(y1 * 2, 0) / 2) || chr(0) || {sql_collapse('text')}), 1, 24) AS layout_uid FROM b WHERE x0 IS NOT NULL""",
 }

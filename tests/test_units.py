@@ -1,6 +1,8 @@
 """Operators against hand-made cases."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,19 +32,24 @@ def test_english_phrase(spark, raw, want):
     assert one(spark, text.english_phrase(F.lit(raw)), q=1) == want
 
 
-@pytest.mark.parametrize("raw,want", [("本文采用深度网络", "深度网络"), ("其中，自适应规划器", "自适应规划器"), ("在", ""), ("与及在是模型", "模型")])
+@pytest.mark.parametrize("raw,want", [("本文采用深度网络", "深度网络"), ("其中，自适应规划器", "自适应规划器"), ("在", ""), ("与及在是模型", "模型"), ("该" * 30 + "模型", "模型"), ("在模", "在模"), ("命名为即", "命名为即"), ("  和 ", "")])
 def test_chinese_term(spark, raw, want):
     assert one(spark, text.chinese_term(F.lit(raw)), q=1) == want
 
 
-@pytest.mark.parametrize("spec,want", [("1,3-4", [0, 2, 3]), ("all", [0, 1, 2, 3, 4]), ("", [0, 1, 2, 3, 4]), ("9", [])])
+@pytest.mark.parametrize("spec,want", [("1,3-4", [0, 2, 3]), ("all", [0, 1, 2, 3, 4]), ("", [0, 1, 2, 3, 4]), ("9", []), ("5-3", []), ("0,2", [1]), ("4-99", [3, 4]), ("3-", None), ("x", None), ("1-2-3", None), (None, [0, 1, 2, 3, 4])])
 def test_page_numbers(spark, spec, want):
-    assert one(spark, text.page_numbers(F.lit(spec), F.lit(5)), q=1) == want
+    assert one(spark, text.page_numbers(F.lit(spec).cast("string"), F.lit(5)), q=1) == want
 
 
-@pytest.mark.parametrize("a,b,want", [("all", "2-4", True), ("2-5", "3,5", True), ("2-4", "all", False), ("2-4", "1-3", False)])
+@pytest.mark.parametrize("spec,want", [("9,1-2,2", [1, 2, 9]), ("all", [1, 2, 3]), ("2-1", []), ("-4", None)])
+def test_page_set_is_not_clipped(spark, spec, want):
+    assert one(spark, text.page_set(F.lit(spec), F.lit(3)), q=1) == want
+
+
+@pytest.mark.parametrize("a,b,want", [("all", "2-4", True), ("2-5", "3,5", True), ("2-4", "all", False), ("2-4", "1-3", False), ("1-9", "12", False), ("1-3", "x", False), ("x", "1", False), ("x", "all", False), ("", "x", True), ("1-12", "12", True)])
 def test_selection_covers(spark, a, b, want):
-    assert one(spark, text.selection_covers(F.lit(a), F.lit(b), F.lit(9)), q=1) is want
+    assert one(spark, text.selection_covers(F.lit(a), F.lit(b)), q=1) is want
 
 
 def test_geometry(spark):
@@ -55,10 +62,28 @@ def specs(text_="abc def"):
     return [{"id": "a", "text": "x_1", "math": True, "open": "[[Q_INLINE_00_a]]", "close": "[[/Q_INLINE_00_a]]", "anchor_offset": 3}, {"id": "b", "text": "y", "math": False, "open": "[[Q_INLINE_01_b]]", "close": "[[/Q_INLINE_01_b]]", "anchor_offset": None}]
 
 
-def test_markers_round_trip():
+SPECS = "s array<struct<id:string,text:string,math:boolean,open:string,close:string,anchor_offset:int>>"
+
+
+def source(spark, text_, *fragments):
+    """The translation source of a text with fragments (text, anchor), markers written < and >."""
+    rows = [(str(n), t, False, "<", ">", at) for n, (t, at) in enumerate(fragments)]
+    return spark.createDataFrame([(rows,)], SPECS).select(identity.translation_source(F.lit(text_), F.col("s")).alias("t")).first()["t"]
+
+
+@pytest.mark.parametrize("text_,fragments,want", [
+    ("abc def", [("x", 3), ("y", None), ("z", None)], "abc <x> def\n<y>\n<z>"), ("  abc def ", [("x", 4)], "abc <x> def"), ("f(a)", [("x", 2)], "f(<x> a)"), ("abc, d", [("x", 3)], "abc <x>, d"), ("甲（乙。", [("x", 2)], "甲（<x> 乙。"),
+    ("甲乙。", [("x", 2)], "甲乙 <x>。"), ("ab", [("x", -5), ("y", 99)], "<x> ab <y>"), ("ab cd", [("x", 1), ("y", 1)], "a <x>  <y> b cd"), ("", [("x", 0)], "<x>"), ("ab", [], "ab"),
+])
+def test_translation_source(spark, text_, fragments, want):
+    assert source(spark, text_, *fragments) == want
+
+
+def test_markers_round_trip(spark):
     s = specs()
-    marked = identity.splice_markers("abc def", s)
+    marked = spark.createDataFrame([(s,)], SPECS).select(identity.translation_source(F.lit("abc def"), F.col("s")).alias("t")).first()["t"]
     assert marked == "abc [[Q_INLINE_00_a]]x_1[[/Q_INLINE_00_a]] def\n[[Q_INLINE_01_b]]y[[/Q_INLINE_01_b]]"
+    assert identity.restore_markers(marked, s) == "abc x_1 def y"
     assert identity.restore_markers("好 [[Q_INLINE_00_a]]z[[/Q_INLINE_00_a]] 的 [[Q_INLINE_01_b]]乙[[/Q_INLINE_01_b]]", s) == "好 x_1 的乙".replace("好 x_1 的", "好x_1的")
 
 
@@ -70,10 +95,30 @@ def test_bad_markers_are_refused(reply):
 def test_marker_specs_ignore_ids(spark):
     schema = "f array<struct<id:string,text:string,bbox:array<double>,kind:string,math_only:boolean,has_math:boolean,anchor_offset:int,page:int>>"
     frag = lambda i: [(i, "t", [1.0, 2.0, 3.0, 4.0], "body", False, False, None, 1), (i + "2", "u", [1.0, 1.0, 3.0, 4.0], "body", False, False, 5, 1)]
-    a, b = (spark.createDataFrame([(frag(i),)], schema).select(identity.fragment_specs(F.col("f"), F.lit(1)).alias("s")).first()["s"] for i in ("p", "q"))
+    a, b = (spark.createDataFrame([(frag(i),)], schema).select(identity.fragment_specs(F.col("f")).alias("s")).first()["s"] for i in ("p", "q"))
     assert [x["open"] for x in a] == [x["open"] for x in b] and [x["text"] for x in a] == ["u", "t"]
 
 
+def test_marker_specs(spark):
+    schema = "f array<struct<id:string,text:string,bbox:array<double>,kind:string,math_only:boolean,has_math:boolean,anchor_offset:int,page:int>>"
+    rows = [("a", " x ", [1.2, 2.25, 3.0, 4.75], "body", None, True, 7, 3), ("b", "", [1.0, 1.0, 3.0, 4.0], "body", False, False, 1, 3), ("c", None, None, None, None, None, None, None), ("d", "y", None, None, None, None, None, None)]
+    rows += [(str(n), "z", [0.0, float(n), 1.0, 1.0], "body", False, False, None, 1) for n in range(120)]
+    got = spark.createDataFrame([(rows,)], schema).select(identity.fragment_specs(F.col("f")).alias("s")).first()["s"]
+    salt = hashlib.sha256("3\x001.0,2.0,3.0,5.0\0 x \0body".encode()).hexdigest()[:8]
+    assert (got[0]["id"], got[0]["text"], got[0]["math"], got[0]["open"]) == ("a", "x", True, f"[[Q_INLINE_0_{salt}]]")
+    assert len(got) == 122 and got[121]["open"].startswith("[[Q_INLINE_121_") and len({x["open"] for x in got}) == 122 and got[1]["id"] in ("0", "d")
+
+
+def test_null_column_has_an_identity(spark):
+    uid = lambda c: one(spark, identity.layout_uid(F.lit(2), F.lit(c).cast("string"), [F.lit(x) for x in (1.24, 2.25, 3.75, 4.0)], F.lit(" a  b ")), q=1)
+    assert uid(None) == uid("") == hashlib.sha256("2\0?\x001.0,2.0,4.0,4.0\0a b".encode()).hexdigest()[:24] != uid("left")
+
+
+@pytest.mark.parametrize("raw,want", [("a “ b ” c", "a “ b ” c"), ("a — b … c", "a — b … c"), ("中文 。 好", "中文。好"), ("中 — b", "中— b")])
+def test_reflow_keeps_blanks_beside_other_signs(spark, raw, want):
+    assert one(spark, text.reflow(F.lit(raw)), q=1) == want
+
+
 BLOCK = "paper_id bigint, page int, block_key bigint, x0 double, y0 double, x1 double, y1 double, size double, col string, kind string, text string, flow_index int, flow_break boolean"
 
 
@@ -277,3 +322,49 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], BLOCK)
     assert layout.merge_paragraphs(empty).count() == 0 and layout.reading_order(empty).count() == 0 and layout.page_continuations(empty).count() == 0
     assert terminology.upsert(spark.createDataFrame([], "kb_id int, source string, target string, confidence double, kind string, paper string, seq bigint")).count() == 0
+
+
+def test_term_lookups_agree(spark, monkeypatch):
+    """The automaton and the joins find the same terms."""
+    terms = [(1, "deep net", "深度网络"), (2, "deep-net", "网络"), (3, "net", " 深 度 "), (4, "USA", "用法"), (5, "α-β", "贝塔"), (6, "Ωmega", "欧"), (7, "-x", "叉"), (8, " ", "空"), (9, None, None), (10, "a.b", "深度网络"), (11, "net", "深度网络"), (12, "规划", "规划"), (13, "deep net deep", "缺")]
+    rows = [(1, "A Deep -\n net works", "深度 网络很好"), (2, "usage of deep-net, net", "网 络用法"), (3, "alpha α-β Ωmega a.b axb", "贝塔"), (4, "x-x  deep net deep net", None), (5, None, "欧"), (6, "规划 is planning", "规划"), (7, "", "")]
+    t = spark.createDataFrame(terms, "_id long, source string, target string")
+    b = spark.createDataFrame(rows, "block_key long, text string, zh string").repartition(3)
+    found = []
+    for limit in (10**6, -1):
+        monkeypatch.setattr(terminology, "AUTOMATON_CHARS", limit)
+        found.append([
+            sorted(map(tuple, terminology.mentions(t, b).collect())), sorted(r[0] for r in terminology.landed(t, b).collect()), sorted(map(tuple, terminology.confirmations(t, b).collect())), sorted(map(tuple, terminology.audit(t, b, b).collect())),
+        ])
+        assert terminology.mentions(t, b.limit(0)).count() == terminology.mentions(t.limit(0), b).count() == terminology.landed(t.limit(0), b).count() == terminology.confirmations(t.limit(0), b).count() == 0
+    assert found[0] == found[1]
+    assert {r[0]: r[1] for r in found[0][0]} == {1: 3, 2: 1, 3: 3, 5: 1, 6: 1, 10: 1, 11: 3, 12: 1, 13: 1} and 4 in found[0][1] and 13 not in found[0][1]
+
+
+@pytest.mark.parametrize("reply,want", [
+    ('[{"a": "x"}]', {"a": "x"}), ('I use {braces}. {"a": "x", "b": {"c": 1}} and {more}', {"a": "x", "b": {"c": 1}}), ('{"a": "x\ny"}', {"a": "x\ny"}), ('{"a": "x" "b": "y"', {"a": "x", "b": "y"}),
+    ('"a" : "he said \\"no\\"", "b":"\\u4e2d"', {"a": 'he said "no"', "b": "中"}), ('"lone" and "a": "x", "n": 3, "z": "q"', {"a": "x", "z": "q"}), ('"' + "k" * 81 + '": "x"', {}), ('{"a": "x", "a": "y"}', {"a": "y"}), ("```\n{}\n```", {}), ('{"a": "cut o', {}),
+])
+def test_parse_reply_leniently(reply, want):
+    assert translate.parse_reply(reply) == want
+
+
+def test_rule_groups_equal_brute_force(spark):
+    rng = random.Random(4)
+    pages = [sorted({(float(rng.randrange(0, 400)), float(x), x + float(rng.randrange(1, 200))) for _ in range(rng.randrange(30)) for x in [rng.randrange(0, 300)]}) for _ in range(60)]
+
+    def brute(rules):
+        out = []
+        for y, a, b in rules:
+            for g in out:
+                if y - max(r[0] for r in g) <= 30 and max(0, min(b, max(r[2] for r in g)) - max(a, min(r[1] for r in g))) / min(b - a, max(r[2] for r in g) - min(r[1] for r in g)) >= 0.5:
+                    g.append((y, a, b))
+                    break
+            else:
+                out.append([(y, a, b)])
+        return out
+
+    df = spark.createDataFrame([(n, p) for n, p in enumerate(pages)], "n int, r array<struct<y:double,x0:double,x1:double>>")
+    for n, groups in df.select("n", tables.rule_groups(F.col("r")).alias("g")).collect():
+        assert [[tuple(r) for r in g["rules"]] for g in groups] == brute(pages[n])
+        assert all((g["y0"], g["y1"], g["x0"], g["x1"]) == (g["rules"][0]["y"], g["rules"][-1]["y"], min(r["x0"] for r in g["rules"]), max(r["x1"] for r in g["rules"])) for g in groups)
