@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, pick, table
+from .common import col, cut_lineage, pick, table
 
 #: Signs removed at both ends of a term, besides blanks (fixed values).
 EDGE = " \t.;,，、。"
@@ -84,7 +84,8 @@ def term_counts(records: DataFrame, key: str, lists: dict[str, str], k: int = 25
     one = rows.where("_rec IS NOT NULL").dropDuplicates(["_rec"]).unionByName(rows.where("_rec IS NULL"))
     heavy = heavy_terms(_terms(rows, list(lists)), k, tracked)
     split = _terms(one, list(lists)).mapInPandas(_split_counts(heavy), "field string, term string, occurrences bigint, records bigint, heavy boolean")
-    counts = split.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # read twice below; a filter of the key would be pushed through the aggregate and everything done twice
+    counts = cut_lineage(split.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
     having = counts.where("term IS NULL").select("field", F.col("records").alias("field_records"))
     return counts.where("term IS NOT NULL").join(F.broadcast(having), "field")  # one row per field
 
