@@ -60,7 +60,7 @@ def escaped_html(spark: SparkSession, d: str) -> DataFrame:
 def compatibility_characters(spark: SparkSession, d: str) -> DataFrame:
     """Compatibility ideographs, and blanks between Chinese characters, per paper."""
     rows = translations(spark, d, "paper_id", "zh").where("zh IS NOT NULL")
-    compat, gaps = F.regexp_count("zh", F.lit(r"[\x{f900}-\x{faff}]")), F.regexp_count("zh", F.lit(rf"[{T.CJK}] [{T.CJK}]"))
+    compat, gaps = F.regexp_count("zh", F.lit(r"[\x{f900}-\x{faff}]")), F.regexp_count("zh", F.lit(rf"[{T.CJK}][ \x{{a0}}][{T.CJK}]"))
     return rows.groupBy("paper_id").agg(F.sum(compat).cast("bigint").alias("compat"), F.sum(gaps).cast("bigint").alias("gaps"))
 
 
@@ -140,7 +140,7 @@ ORACLES = {
               UNION ALL SELECT gid, substr(t, (SELECT max(length(w)) FROM n WHERE starts_with(t, w) AND length(t) > length(w) + 1) + 1), k + 1 FROM s WHERE EXISTS (SELECT 1 FROM n WHERE starts_with(t, w) AND length(t) > length(w) + 1))
         SELECT gid, CASE WHEN length(arg_max(t, k)) BETWEEN 2 AND 24 THEN arg_max(t, k) ELSE '' END AS term FROM s GROUP BY gid""",
     "html_escape": f"WITH {BLOCKS} SELECT block_key, md5({_HTML}) AS html_md5, ((color >> 16) & 255) / 255.0::DOUBLE AS r, (color & 255) / 255.0::DOUBLE AS b FROM b",
-    "compatibility_characters": f"WITH {ENTRIES} SELECT paper_id, sum(len(regexp_extract_all(zh, '[\\x{{f900}}-\\x{{faff}}]')))::BIGINT AS compat, sum(len(regexp_extract_all(zh, '[{T.CJK}] [{T.CJK}]')))::BIGINT AS gaps FROM t WHERE zh IS NOT NULL GROUP BY 1",
+    "compatibility_characters": f"WITH {ENTRIES} SELECT paper_id, sum(len(regexp_extract_all(zh, '[\\x{{f900}}-\\x{{faff}}]')))::BIGINT AS compat, sum(len(regexp_extract_all(zh, '[{T.CJK}][ \\x{{a0}}][{T.CJK}]')))::BIGINT AS gaps FROM t WHERE zh IS NOT NULL GROUP BY 1",
     "kind_histogram": f"""WITH {BLOCKS}, r AS (SELECT paper_id, page, x0 AS a0, y0 AS a1, x1 AS a2, y1 AS a3 FROM b WHERE kind = 'table' AND x0 IS NOT NULL),
         i AS (SELECT b.*, EXISTS (SELECT 1 FROM r WHERE r.paper_id = b.paper_id AND r.page = b.page AND greatest(0, least(x1, a2) - greatest(x0, a0)) * greatest(0, least(y1, a3) - greatest(y0, a1)) / greatest(1e-6::DOUBLE, (x1 - x0) * (y1 - y0)) >= 0.25::DOUBLE) AS inside FROM b WHERE x0 IS NOT NULL)
         SELECT {_KIND} AS rule, coalesce(kind, 'none') AS delivered, count(*) AS n_blocks FROM i GROUP BY 1, 2""",
