@@ -46,17 +46,19 @@ def front_matter(blocks: DataFrame) -> DataFrame:
     return first.join(marks.where("_y IS NOT NULL"), "paper_id").where(hit).select("block_key")
 
 
-def skip_reasons(blocks: DataFrame, height: float, in_table: DataFrame, front: DataFrame) -> DataFrame:
+def skip_reasons(blocks: DataFrame, height: float, in_table: DataFrame, front: DataFrame, references: bool = True) -> DataFrame:
     """(block_key, reason): why a block isn't translated, the first rule that applies, null if it is.
 
-    Everything after the first reference heading of a paper is skipped. That heading is found by an aggregate per paper (the least
-    position of a heading that no earlier rule skips) and joined back, so a paper with a third of all blocks isn't one window.
+    Everything after the first reference heading of a paper is skipped (unless ``references`` is false). That heading is found by an aggregate per paper
+    (the least position that no earlier rule takes), and joined back. ``blocks`` may have flags for what the caller knows: forced (never skipped),
+    landscape (its page is one), nested (a fragment of another block), skip_page; null is no.
     """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in blocks.columns else F.lit(False)
     t = F.col("_t")
     rows = blocks.withColumn("_t", strip(F.coalesce("text", F.lit(""))))
     rows = rows.join(front.withColumn("_front", F.lit(True)), "block_key", "left").join(in_table.withColumn("_in", F.lit(True)), "block_key", "left")
     early = (
-        F.when(t == "", "empty").when(F.col("_front"), "front matter").when(F.col("kind") == "table", "table").when(F.col("kind") == "meta", "meta")
+        F.when(yes("forced"), "forced").when(t == "", "empty").when(yes("landscape"), "landscape page").when(F.col("_front"), "front matter").when(yes("nested"), "nested").when(F.col("kind") == "table", "table").when(F.col("kind") == "meta", "meta")
         .when(F.coalesce("math_only", F.lit(False)) | (F.col("kind") == "math_only"), "math")
     )
     rows = rows.withColumn("_early", early)
@@ -68,8 +70,8 @@ def skip_reasons(blocks: DataFrame, height: float, in_table: DataFrame, front: D
     n = F.length(t)
     edge = (n < 90) & ((F.col("y0") < 0.062 * height) | (F.col("y0") > 0.94 * height))
     reason = (
-        F.when(F.col("_early").isNotNull(), F.col("_early")).when(F.col("_at") > F.col("_head"), "references").when(F.col("_at") == F.col("_head"), "reference heading")
-        .when(F.col("_in"), "in table").when(F.coalesce(edge, F.lit(False)), "header or footer").when(t.rlike(PAGE_NUMBER), "page number").when(t.rlike(EMAIL), "e-mail")
+        F.when(F.col("_early") == "forced", None).when(F.col("_early").isNotNull(), F.col("_early")).when(F.lit(references) & (F.col("_at") > F.col("_head")), "references")
+        .when(F.lit(references) & (F.col("_at") == F.col("_head")), "reference heading").when(yes("skip_page"), "skipped page").when(F.col("_in"), "in table").when(F.coalesce(edge, F.lit(False)), "header or footer").when(t.rlike(PAGE_NUMBER), "page number").when(t.rlike(EMAIL), "e-mail")
         .when((n < 130) & t.rlike(META), "publisher").when((n < 80) & t.rlike(JOURNAL), "journal").when((n < 120) & t.rlike(CORRESPONDING), "correspondence")
         .when((n < 300) & t.rlike(AFFILIATION) & ~t.rlike(SENTENCE_END), "affiliation").when(F.coalesce("has_math", F.lit(False)) & (n < 100) & ~heading_like(t), "formula fragment")
         .when((n < 50) & ~short & ~t.rlike(SENTENCE_END), "fragment").when((n >= 3) & (symbol_ratio(t) > 0.45), "symbols")
@@ -130,6 +132,11 @@ def flow_batches(items: DataFrame, breaks: Column, budget: int, overhead: int =
     return flow.greedy_batches(of, [flow.DOC, "run"], ["position", "block_key"], F.col("_cost"), budget)
 
 
+def first_items(items: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` items (paper_id, position) in order of paper and position."""
+    return items.orderBy(flow.DOC, "position").limit(limit)
+
+
 def contexts(items: DataFrame) -> DataFrame:
     """(block_key, before, after): the neighbours in document order that a block's translation may look at, none across a flow break."""
     held = flow.following(flow.previous(items, ["block_key", "flow_break"]), ["block_key", "flow_break"])

@@ -43,17 +43,26 @@ def prepare(blocks: DataFrame) -> DataFrame:
     return flagged.withColumns({"source_hash": identity.source_hash(F.col("page"), F.col("text")), "layout_uid": identity.layout_uid(F.col("page"), F.col("col"), box, F.col("text"))})
 
 
-def pending(blocks: DataFrame, done: DataFrame | None, budget: int = 4000) -> DataFrame:
-    """(batch, id, text, pos) of the blocks without a valid translation, in flow batches; ``done`` has block_key, zh, source_hash, layout_uid."""
+def pending(blocks: DataFrame, done: DataFrame | None, budget: int = 4000, skipped: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(batch, id, text, pos) of the blocks without a valid translation, in flow batches; ``done`` has block_key, zh, source_hash, layout_uid.
+
+    ``skipped`` (block_key) are left out, and no batch goes across one; without it, blocks of the kinds table, meta and math_only are. ``limit`` keeps the
+    first items only (a trial run). If ``blocks`` has fragments, their markers are spliced into the text and handed on as specs.
+    """
+    if "fragments" in blocks.columns:
+        specs = identity.fragment_specs(F.col("fragments"))
+        blocks = blocks.withColumn("specs", specs).withColumn("text", identity.translation_source(F.col("text"), F.col("specs"))).drop("fragments")
     items = planning.positions(blocks)
     if done is not None:
         valid = planning.resume_status(done.where("zh <> ''"), blocks).where("status = 'valid'").select("block_key")
         items = items.join(valid, "block_key", "left_anti")
-    items = items.where("coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')")
+    items = items.where("coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')") if skipped is None else items.join(skipped.select("block_key"), "block_key", "left_anti")
+    if limit is not None:
+        items = planning.first_items(items, limit)
     breaks = F.coalesce("flow_break", F.lit(False)) | F.coalesce(F.col("kind").isin(*layout.STRUCTURAL), F.lit(False))
     batches = planning.flow_batches(items, breaks, budget)
-    texts = items.select("block_key", "text")
-    return batches.join(texts, "block_key").select(F.concat_ws(".", flow.DOC, "run", "batch").alias("batch"), F.col("block_key").cast("string").alias("id"), "text", F.col("position").alias("pos"))
+    texts = items.select("block_key", "text", *[c for c in ("specs",) if c in items.columns])
+    return batches.join(texts, "block_key").select(F.concat_ws(".", flow.DOC, "run", "batch").alias("batch"), F.col("block_key").cast("string").alias("id"), "text", F.col("position").alias("pos"), *texts.columns[2:])
 
 
 def run(spark: SparkSession, blocks: DataFrame, terms: DataFrame, store: str, translator: translate.Translator) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions import geometry, identity
+from ..functions.text import page_set, strip
 from ..operators import flow, layout, planning
-from .base import BLOCKS, LATEST, WS, blocks, latest, sql_strip
+from .base import BLOCKS, LATEST, WS, blocks, latest, sql_collapse, sql_strip
 
 RATIO = 0.5
 BUDGET = 4000
@@ -62,6 +63,38 @@ def _reasons(spark: SparkSession, d: str) -> DataFrame:
     return planning.skip_reasons(b, layout.PAGE_HEIGHT, inside, planning.front_matter(b))
 
 
+#: Pages that flagged_reasons skips.
+SKIP_PAGES = "2,5-6"
+
+
+def flagged_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The reasons with all that a caller may know: the second block of each page is forced, nested blocks are fragments, pages whose text is wider than
+    high are landscape, and SKIP_PAGES are skipped."""
+    b = blocks(spark, d, "block_id", "text", "kind", "math_only", "has_math", "flow_index")
+    boxed = b.where("x0 IS NOT NULL")
+    inside = layout.in_regions(boxed.where("kind IS DISTINCT FROM 'table'"), _regions(boxed), 0.5, strict=True)
+    nested = layout.nested_roots(boxed, RATIO).select("block_key", F.lit(True).alias("nested"))
+    extent = boxed.groupBy("paper_id", "page").agg((F.max("x1") - F.min("x0")).alias("_w"), (F.max("y1") - F.min("y0")).alias("_h")).select("paper_id", "page", geometry.landscape(F.col("_w"), F.col("_h")).alias("landscape"))
+    flags = b.join(nested, "block_key", "left").join(extent, ["paper_id", "page"], "left").withColumn("forced", F.col("block_id").rlike("b1$")).withColumn("skip_page", F.array_contains(page_set(F.lit(SKIP_PAGES), F.lit(0)), F.col("page")))
+    return planning.skip_reasons(flags, layout.PAGE_HEIGHT, inside, planning.front_matter(b)).groupBy(F.coalesce("reason", F.lit("translate")).alias("reason")).agg(F.count("*").alias("n_blocks"))
+
+
+def inline_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What is sent for translation of every block with nested blocks: its text with them, in markers, at their height; and its identities."""
+    b = blocks(spark, d, "text", "kind", "col", "math_only", "has_math").where("x0 IS NOT NULL")
+    roots = layout.nested_roots(b, RATIO).select("block_key", "root")
+    outer = b.select(F.col("block_key").alias("root"), F.col("text").alias("_t"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
+    rows = b.join(roots, "block_key").join(outer, "root")
+    inside = (F.col("y0") >= F.col("_y0")) & (F.col("y0") <= F.col("_y1"))
+    at = F.when(inside, F.floor(F.length("_t") * (F.col("y0") - F.col("_y0")) / F.greatest(F.lit(1.0), F.col("_y1") - F.col("_y0"))).cast("int"))
+    item = F.struct(F.col("block_key").cast("string").alias("id"), "page", F.array("x0", "y0", "x1", "y1").alias("bbox"), "text", "kind", "math_only", "has_math", at.alias("anchor_offset"))
+    held = rows.groupBy("root").agg(F.collect_list(item).alias("_f")).select(F.col("root").alias("block_key"), identity.fragment_specs(F.col("_f")).alias("_s"))
+    source = identity.translation_source(F.col("text"), F.col("_s"))
+    named = b.join(held, "block_key").withColumn("source", source)
+    hash_, uid = identity.block_identity(F.col("page"), F.col("col"), [F.col(c) for c in ("x0", "y0", "x1", "y1")], F.col("text"), F.col("_s"))
+    return named.select("block_key", F.size("_s").alias("n_markers"), F.md5("source").alias("source_md5"), hash_.alias("source_hash"), uid.alias("layout_uid"))
+
+
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _reasons(spark, d).groupBy(F.coalesce("reason", F.lit("translate")).alias("reason")).agg(F.count("*").alias("n_blocks"))
 
@@ -161,6 +194,25 @@ _SKIP = f"""WITH {BLOCKS}, {_FRONT}, ins AS (SELECT block_key FROM b WHERE x0 IS
   WHEN length(tt) < 300 AND {_re('tt', 'AFFILIATION')} AND NOT {_re('tt', 'SENTENCE_END')} THEN 'affiliation' WHEN coalesce(has_math, false) AND length(tt) < 100 AND NOT hl THEN 'formula fragment'
   WHEN length(tt) < 50 AND NOT ({_re('tt', 'CAPTION')} OR {_re('tt', 'LABEL')} OR {_re('tt', 'LABEL_WORD')} OR hl) AND NOT {_re('tt', 'SENTENCE_END')} THEN 'fragment' WHEN length(tt) >= 3 AND {_SYM} > 0.45::DOUBLE THEN 'symbols' ELSE 'translate' END AS reason FROM m)
  SELECT reason, count(*) AS n_blocks FROM z GROUP BY 1"""
+_FLAGGED = (
+    _SKIP.replace(f"WITH {BLOCKS}", _ROOTS).replace("w AS (SELECT *, ", "ext AS (SELECT paper_id, page, max(x1) - min(x0) > max(y1) - min(y0) AS wide FROM v GROUP BY 1, 2),\n w AS (SELECT *, ", 1)
+    .replace("CASE WHEN tt = '' THEN 'empty' WHEN block_key IN (SELECT block_key FROM front)", """CASE WHEN regexp_matches(block_id, 'b1$') THEN 'forced' WHEN tt = '' THEN 'empty'
+   WHEN EXISTS (SELECT 1 FROM ext WHERE ext.paper_id = w.paper_id AND ext.page = w.page AND wide) THEN 'landscape page' WHEN block_key IN (SELECT block_key FROM front)""")
+    .replace("WHEN kind = 'table' THEN 'table' WHEN kind = 'meta'", "WHEN block_key IN (SELECT block_key FROM roots) THEN 'nested' WHEN kind = 'table' THEN 'table' WHEN kind = 'meta'")
+    .replace("CASE WHEN early IS NOT NULL THEN early", "CASE WHEN early = 'forced' THEN 'translate' WHEN early IS NOT NULL THEN early").replace("THEN 'reference heading' WHEN", "THEN 'reference heading' WHEN page IN (2, 5, 6) THEN 'skipped page' WHEN")
+)
+_HALF = "printf('%.1f', round_even({} * 2, 0) / 2)"
+_INLINE = rf"""{_ROOTS}, f AS (SELECT r.root, c.block_key AS k, c.page, c.x0, c.y0, c.text AS raw, {sql_strip('c.text')} AS t, c.kind, o.page AS opage, {sql_strip("coalesce(o.text, '')")} AS src,
+  CASE WHEN c.y0 BETWEEN o.y0 AND o.y1 THEN floor(length(o.text) * (c.y0 - o.y0) / greatest(1.0::DOUBLE, o.y1 - o.y0))::INT END AS a, {_HALF.format('c.x0')} || ',' || {_HALF.format('c.y0')} || ',' || {_HALF.format('c.x1')} || ',' || {_HALF.format('c.y1')} AS box
+  FROM roots r JOIN v c ON c.block_key = r.block_key JOIN v o ON o.block_key = r.root WHERE coalesce(c.text, '') <> ''),
+ g AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY a NULLS LAST, y0, x0, k::VARCHAR) - 1 AS n FROM f),
+ h AS (SELECT *, n || '_' || substr(sha256(page || chr(0) || box || chr(0) || raw || chr(0) || coalesce(kind, '')), 1, 8) AS tag, CASE WHEN a IS NOT NULL THEN greatest(0, least(length(src), a)) END AS po FROM g),
+ i AS (SELECT *, '[[Q_INLINE_' || tag || ']]' || t || '[[/Q_INLINE_' || tag || ']]' AS m, coalesce(lag(po) OVER (PARTITION BY root ORDER BY n), 0) AS before FROM h),
+ j AS (SELECT *, CASE WHEN a IS NOT NULL THEN substr(src, before + 1, po - before) || CASE WHEN po > 0 AND NOT regexp_matches(substr(src, po, 1), '{WS}') AND NOT contains('([{{（【', substr(src, po, 1)) THEN ' ' ELSE '' END || m
+   || CASE WHEN po < length(src) AND NOT regexp_matches(substr(src, po + 1, 1), '{WS}') AND NOT contains(',.;:!?)]}}，。；：！？）】', substr(src, po + 1, 1)) THEN ' ' ELSE '' END END AS piece FROM i),
+ s AS (SELECT root, count(*)::INT AS n_markers, coalesce(string_agg(piece, '' ORDER BY n) FILTER (a IS NOT NULL), '') || substr(any_value(src), coalesce(max(po), 0) + 1) || coalesce(chr(10) || string_agg(m, chr(10) ORDER BY n) FILTER (a IS NULL), '') AS source FROM j GROUP BY 1)
+ SELECT root AS block_key, n_markers, md5(source) AS source_md5, substr(sha256(page::VARCHAR || chr(0) || {sql_collapse('source')}), 1, 24) AS source_hash,
+  substr(sha256(page::VARCHAR || chr(0) || coalesce(nullif(col, ''), '?') || chr(0) || {_HALF.format('x0')} || ',' || {_HALF.format('y0')} || ',' || {_HALF.format('x1')} || ',' || {_HALF.format('y1')} || chr(0) || {sql_collapse('source')}), 1, 24) AS layout_uid FROM s JOIN v ON v.block_key = s.root"""
 _CONT = rf"""p AS (SELECT paper_id, page, arg_max({{'k': block_key, 'kind': kind, 'text': text, 'fb': flow_break}}, {{'f': {_F}, 'k': block_key}}) AS l, arg_min({{'k': block_key, 'kind': kind, 'text': text, 'fb': flow_break}}, {{'f': {_F}, 'k': block_key}}) AS f FROM b WHERE coalesce(kind, '') <> 'meta' GROUP BY 1, 2),
  cont AS (SELECT a.paper_id, a.page, a.l.k AS last_key, c.f.k AS first_key FROM p a JOIN p c ON c.paper_id = a.paper_id AND c.page = a.page + 1 WHERE a.l.kind = 'body' AND c.f.kind = 'body' AND NOT coalesce(c.f.fb, false)
   AND ((regexp_replace(coalesce(a.l.text, ''), '{WS}+$', '') <> '' AND NOT regexp_matches(regexp_replace(coalesce(a.l.text, ''), '{WS}+$', ''), '{_TERMINAL}')) OR regexp_matches(regexp_replace(coalesce(c.f.text, ''), '^{WS}+', ''), '^[a-z]')))"""
@@ -169,7 +221,7 @@ _BR = "(coalesce(flow_break, false) OR coalesce(kind IN ('heading', 'table', 'ta
 _IND = {k: getattr(planning, k) for k in ("INDENT_LIST", "INDENT_CAPTION", "INDENT_END")}
 QUERIES = {
     "reading_order": reading_order, "page_continuation": page_continuation, "merged_paragraphs": merged_paragraphs, "nested_roots": nested_roots, "nested_boxes": nested_boxes, "in_table_blocks": in_table,
-    "heading_like": heading_like, "front_matter": front_matter, "skip_reasons": skip_reasons, "resume_status": resume_status, "identity_mismatch": identity_mismatch, "greedy_batches": greedy_batches,
+    "heading_like": heading_like, "front_matter": front_matter, "skip_reasons": skip_reasons, "flagged_reasons": flagged_reasons, "inline_sources": inline_sources, "resume_status": resume_status, "identity_mismatch": identity_mismatch, "greedy_batches": greedy_batches,
     "missing_runs": missing_runs, "flow_batches": flow_batches, "batch_context": batch_context, "indent_plan": indent_plan,
 }
 ORACLES = {
@@ -188,6 +240,8 @@ ORACLES = {
     "heading_like": f"WITH {BLOCKS}, w AS (SELECT kind, tt, {_words('tt')} AS ws FROM (SELECT kind, {sql_strip('text')} AS tt FROM b)) SELECT kind, {_HEADLIKE} AS heading_like, count(*) AS n_blocks FROM w GROUP BY 1, 2",
     "front_matter": f"WITH {BLOCKS}, {_FRONT} SELECT block_key FROM front",
     "skip_reasons": _SKIP,
+    "flagged_reasons": _FLAGGED,
+    "inline_sources": _INLINE,
     "resume_status": f"""WITH {BLOCKS}, {LATEST} SELECT n.block_key, CASE WHEN b.block_key IS NULL THEN 'orphan' WHEN b.source_hash IS NULL OR b.layout_uid IS NULL THEN 'unverifiable' WHEN n.source_hash IS NULL THEN 'legacy' WHEN n.source_hash <> b.source_hash THEN 'stale'
  WHEN n.layout_uid IS NULL THEN 'legacy' WHEN n.layout_uid <> b.layout_uid THEN 'layout_stale' ELSE 'valid' END AS status FROM n LEFT JOIN b USING (block_key)""",
     "identity_mismatch": f"""WITH {BLOCKS}, {LATEST}, j AS (SELECT n.source_hash h, n.layout_uid u, b.source_hash ch, b.layout_uid cu FROM n JOIN b USING (block_key) WHERE absorbed_into IS NULL),

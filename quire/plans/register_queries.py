@@ -53,14 +53,8 @@ def math_markup(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d, "text", "has_math").where("has_math").select("block_key", F.md5(markup.math_markup(F.col("text"))).alias("markup_md5"))
 
 
-def usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Characters sent and received per run."""
-    pairs = blocks(spark, d, "text").join(table(spark, d, "translations").dropDuplicates(["entry_id"]).select("block_key", "run_no", "zh"), "block_key")
-    return pairs.groupBy("run_no").agg(F.sum(F.length("text")).cast("bigint").alias("sent"), F.sum(F.length("zh")).cast("bigint").alias("received"))
-
-
 _O = "coalesce(flow_index, 1000000000)"
-QUERIES = {"paper_guesses": paper_guesses, "title_blocks": title_blocks, "literature_upsert": literature_upsert, "paper_slugs": paper_slugs, "kb_harvest": kb_harvest, "legacy_merge": legacy_merge, "math_markup": math_markup, "usage_totals": usage_totals}
+QUERIES = {"paper_guesses": paper_guesses, "title_blocks": title_blocks, "literature_upsert": literature_upsert, "paper_slugs": paper_slugs, "kb_harvest": kb_harvest, "legacy_merge": legacy_merge, "math_markup": math_markup}
 ORACLES = {
     "paper_guesses": f"""WITH {BLOCKS}, f AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY size DESC NULLS LAST, chars DESC, block_key) AS t, row_number() OVER (PARTITION BY paper_id ORDER BY chars DESC, block_key) AS a FROM b WHERE page = 1),
  k AS (SELECT paper_id, block_key, row_number() OVER (PARTITION BY paper_id ORDER BY page, {_O}, block_key) AS n FROM b WHERE regexp_matches(text, '(?i)^{WS}*(?:keywords|index terms|key words){WS}*[:：]?{WS}*(.+)$'))
@@ -78,5 +72,4 @@ ORACLES = {
  r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY paper_id, page, anchor ORDER BY y0, block_key ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY paper_id, page, anchor ORDER BY y0, block_key) AS o FROM g),
  z AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page, anchor, run ORDER BY o) AS k FROM r)
  SELECT paper_id, page, min(CASE WHEN k = 1 THEN block_key END) AS head, string_agg(block_key::VARCHAR, ',' ORDER BY o) AS members FROM z GROUP BY paper_id, page, anchor, run HAVING count(*) > 1 AND NOT bool_or(done AND k > 1)""",
-    "usage_totals": f"WITH {BLOCKS} SELECT run_no, sum(length(text))::BIGINT AS sent, sum(length(zh))::BIGINT AS received FROM b JOIN (SELECT DISTINCT block_key, entry_id, run_no, zh FROM translations) t USING (block_key) GROUP BY 1",
 }

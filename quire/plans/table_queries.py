@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import tables, translate
 from ..operators.layout import PAGE_HEIGHT, PAGE_WIDTH
-from . import jobs
+from . import jobs, layout_queries
 from .base import BLOCKS, blocks, table
+from .text_queries import reflowed_sql as reflowed
 
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
@@ -85,11 +86,18 @@ def translate_blocks(spark: SparkSession, d: str) -> DataFrame:
     return translate.translate(batches, translate.reverse_words).select(F.col("id").cast("bigint").alias("block_key"), "zh")
 
 
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the translation stage used over all translatable blocks."""
+    batches = jobs.pending(blocks(spark, d, "text", "kind", "flow_index", "flow_break"), None)
+    return translate.usage(translate.answered(batches, translate.reverse_words))
+
+
 _LINES = f"{BLOCKS}, r AS (SELECT DISTINCT paper_id, page, unnest([y0, y1]) AS y, x0, x1 FROM b WHERE kind = 'table' AND x0 IS NOT NULL), c AS (SELECT paper_id, page, block_key AS caption, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1 FROM b WHERE kind = 'table_caption' AND x0 IS NOT NULL)"
+_REVERSED = reflowed("array_to_string(list_reverse(string_split(text, ' ')), ' ')")
 _WORDS = "w AS (SELECT l_orderkey, l_linenumber AS word, (l_partkey % 50) * 10.0::DOUBLE AS x0, (l_partkey % 50) * 10.0::DOUBLE + 8 AS x1, l_linenumber / 2.0::DOUBLE * 4 + (l_suppkey % 5) * 0.5::DOUBLE + 0.5::DOUBLE AS c FROM lineitem)"
 QUERIES = {
     "caption_owner": caption_owner, "rule_clusters": rule_clusters, "object_regions": object_regions, "word_rows": word_rows, "row_cells": row_cells, "line_runs": line_runs, "table_bands": table_bands,
-    "dominant_style": dominant_style, "translate_stub": translate_stub, "translate_blocks": translate_blocks,
+    "dominant_style": dominant_style, "translate_stub": translate_stub, "translate_blocks": translate_blocks, "usage_totals": usage_totals,
 }
 ORACLES = {
     "caption_owner": f"""WITH {_LINES}, p AS (SELECT r.*, caption, cy0, (cx0 + cx1) / 2 AS cx, (r.x0 + r.x1) / 2 AS rx FROM r JOIN c USING (paper_id, page) WHERE cy1 <= y + 2 AND (greatest(0, least(r.x1, cx1) - greatest(r.x0, cx0)) / greatest(1e-6::DOUBLE, least(r.x1 - r.x0, cx1 - cx0)) >= 0.2::DOUBLE OR ((cx0 + cx1) / 2 < 300) = ((r.x0 + r.x1) / 2 < 300))),
@@ -107,6 +115,8 @@ ORACLES = {
  SELECT block_key, (SELECT count(*) FROM e WHERE e.paper_id = v.paper_id AND e.page = v.page AND e.col = v.col AND e.e > g.by0 AND e.e < g.by1 AND (v.y0 + v.y1) / 2 >= e.e)::INT AS band FROM v JOIN g ON g.paper_id = v.paper_id AND g.page = v.page AND g.col = v.col""",
     "dominant_style": f"""WITH {BLOCKS}, s AS (SELECT paper_id, size, row_number() OVER (PARTITION BY paper_id ORDER BY sum(chars) DESC, size) AS n FROM b GROUP BY 1, 2), f AS (SELECT paper_id, font, row_number() OVER (PARTITION BY paper_id ORDER BY sum(chars) DESC, font) AS n FROM b WHERE font IS NOT NULL GROUP BY 1, 2),
  h AS (SELECT paper_id, sum(CASE WHEN coalesce(bold, false) THEN chars ELSE 0 END)::DOUBLE / sum(chars) AS bold_share FROM b GROUP BY 1) SELECT s.paper_id, s.size, f.font, h.bold_share FROM s LEFT JOIN (SELECT * FROM f WHERE n = 1) f USING (paper_id) JOIN h USING (paper_id) WHERE s.n = 1""",
-    "translate_blocks": f"WITH {BLOCKS} SELECT block_key, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS zh FROM b WHERE coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')",
-    "translate_stub": f"WITH {BLOCKS} SELECT block_key, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS zh FROM b WHERE kind IN ('table_caption', 'figure_caption')",
+    "translate_blocks": f"WITH {BLOCKS} SELECT block_key, {_REVERSED} AS zh FROM b WHERE coalesce(kind, '') NOT IN ('table', 'meta', 'math_only')",
+    "translate_stub": f"WITH {BLOCKS} SELECT block_key, {_REVERSED} AS zh FROM b WHERE kind IN ('table_caption', 'figure_caption')",
+    "usage_totals": f"""WITH {BLOCKS}, i AS (SELECT * FROM b WHERE coalesce(kind, '') NOT IN ('table', 'meta', 'math_only'))
+        SELECT 'sent' AS name, sum(length(text))::DOUBLE AS total FROM i UNION ALL SELECT 'received', sum(greatest(1, length(text)))::DOUBLE FROM i UNION ALL SELECT 'calls', count(*)::DOUBLE FROM (SELECT DISTINCT paper_id, run, batch FROM ({layout_queries.ORACLES["flow_batches"]}))""",
 }

@@ -92,7 +92,15 @@ def layout_uids(spark: SparkSession, d: str) -> DataFrame:
 _HTML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _CLEAN = f"""{sql_strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(160), ' ', 'g'), '-{WS}*\\n{WS}*([a-z])', '\\1', 'g'), '{WS}*\\n{WS}*', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g')")}"""
 _PUNCT = "[㐀-鿿，。；：！？、（）《》【】]"
-_REFLOW = f"""regexp_replace(regexp_replace({sql_strip("regexp_replace(zh, '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')")}, '({_PUNCT}) +', '\\1', 'g'), ' +({_PUNCT})', '\\1', 'g')"""
+
+
+def reflowed_sql(s: str) -> str:
+    """SQL of a text as one paragraph."""
+    held = sql_strip(f"regexp_replace({s}, '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')")
+    return f"""regexp_replace(regexp_replace({held}, '({_PUNCT}) +', '\\1', 'g'), ' +({_PUNCT})', '\\1', 'g')"""
+
+
+_REFLOW = reflowed_sql("zh")
 
 
 def _dense(s: str) -> str:

@@ -84,11 +84,11 @@ def test_run_translates_only_what_is_missing(spark, tmp_path):
     blocks = spark.createDataFrame(rows, schema)
     terms = spark.createDataFrame([(1, "text", "译文")], "_id long, source string, target string")
 
-    def model(items):
+    def model(items, context):
         return json.dumps({i: "译文一句。" for i, _ in items})
 
     report = {r["check_name"]: r["level"] for r in jobs.run(spark, blocks, terms, str(tmp_path), model).collect()}
-    assert report["coverage"] == "PASS" and report["untranslated blocks"] == "PASS" and report["terms landed"] == "PASS"
+    assert report["untranslated blocks"] == "PASS" and report["terms landed"] == "PASS"
     ready, done = jobs.current(spark, str(tmp_path), "blocks"), jobs.current(spark, str(tmp_path), "translations")
     assert jobs.pending(ready, done).count() == 0
     changed = jobs.prepare(blocks.withColumn("text", F.when(F.col("block_key") == 11, "new").otherwise(F.col("text"))))
@@ -128,3 +128,27 @@ def test_prompt_and_usage():
 
 def test_doctor():
     assert all(level == "PASS" for name, level, _ in settings.doctor() if name == "pyspark")
+
+
+def test_pending_with_fragments_skips_and_limit(spark):
+    fragment = "struct<id:string,page:int,bbox:array<double>,text:string,kind:string,math_only:boolean,has_math:boolean,anchor_offset:int>"
+    rows = [(1, 1, n, "body", f"text {n}", n, False, [("f", 1, [0.0, 0.0, 1.0, 1.0], "x_1", "body", True, False, 4)] if n == 1 else None) for n in range(6)]
+    blocks = spark.createDataFrame(rows, f"paper_id long, page int, block_key long, kind string, text string, flow_index int, flow_break boolean, fragments array<{fragment}>")
+    got = {r["id"]: r for r in jobs.pending(blocks, None, skipped=blocks.where("block_key = 3"), limit=4).collect()}
+    assert sorted(got) == ["0", "1", "2", "4"] and got["2"]["batch"] != got["4"]["batch"] and got["0"]["batch"] == got["1"]["batch"] == got["2"]["batch"]
+    spec = got["1"]["specs"][0]
+    assert got["1"]["text"] == f"text {spec['open']}x_1{spec['close']} 1" and spec["math"] and got["0"]["specs"] is None
+
+
+def test_skip_flags(spark):
+    from quire.operators import planning
+
+    text = "A whole sentence of ordinary prose that is long enough to be translated."
+    rows = [(1, 1, 0, text, "body", 0), (1, 1, 1, "", "body", 1), (1, 2, 2, text, "body", 0), (1, 3, 3, text, "body", 0), (1, 4, 4, text, "body", 0), (1, 4, 5, "References", "body", 1), (1, 4, 6, text, "body", 2)]
+    blocks = spark.createDataFrame(rows, "paper_id long, page int, block_key long, text string, kind string, flow_index int").withColumns(
+        {"y0": F.lit(500.0), "math_only": F.lit(None).cast("boolean"), "has_math": F.lit(False), "forced": F.col("block_key").isin(1, 6), "landscape": F.col("page") == 2, "nested": F.col("block_key") == 3, "skip_page": F.col("block_key") == 4}
+    )
+    none = blocks.select("block_key").limit(0)
+    got = {r["block_key"]: r["reason"] for r in planning.skip_reasons(blocks, 1000.0, none, none).collect()}
+    assert got == {0: None, 1: None, 2: "landscape page", 3: "nested", 4: "skipped page", 5: "reference heading", 6: None}
+    assert {r["block_key"]: r["reason"] for r in planning.skip_reasons(blocks.drop("forced"), 1000.0, none, none, references=False).collect()}[6] is None

@@ -255,28 +255,28 @@ def test_parse_reply():
 def test_run_batch_rescues_missing_runs():
     calls = []
 
-    def model(items):
+    def model(items, context):
         ids = "".join(i for i, _ in items)
         calls.append(ids)
         return json.dumps({i: "译" for i in ids if ids == "d" or ids == "b" or i not in "bd"})
 
-    got = translate.run_batch([(c, "t") for c in "abcd"], model)
+    got = translate.Batch(model).run([(c, "t") for c in "abcd"])
     assert calls == ["abcd", "b", "d"] and set(got) == set("abcd")
 
 
 def test_run_batch_bisects_and_stops():
-    def model(items):
+    def model(items, context):
         if len(items) > 1:
             raise RuntimeError("too long")
         return json.dumps({i: "译" for i, _ in items})
 
-    assert set(translate.run_batch([(c, "t") for c in "abcd"], model)) == set("abcd")
+    assert set(translate.Batch(model).run([(c, "t") for c in "abcd"])) == set("abcd")
 
-    def refused(items):
+    def refused(items, context):
         raise translate.AuthorizationError
 
     with pytest.raises(translate.AuthorizationError):
-        translate.run_batch([("a", "t")], refused)
+        translate.Batch(refused).run([("a", "t")])
 
 
 def test_files(spark, tmp_path):
@@ -368,3 +368,39 @@ def test_rule_groups_equal_brute_force(spark):
     for n, groups in df.select("n", tables.rule_groups(F.col("r")).alias("g")).collect():
         assert [[tuple(r) for r in g["rules"]] for g in groups] == brute(pages[n])
         assert all((g["y0"], g["y1"], g["x0"], g["x1"]) == (g["rules"][0]["y"], g["rules"][-1]["y"], min(r["x0"] for r in g["rules"]), max(r["x1"] for r in g["rules"])) for g in groups)
+
+
+def test_batches_check_markers_and_give_context(spark):
+    marker = {"id": "f", "text": "x_1", "math": True, "open": "[[Q_INLINE_0_a]]", "close": "[[/Q_INLINE_0_a]]", "anchor_offset": 1}
+    seen = []
+
+    def model(items, context):
+        seen.append(([i for i, _ in items], context))
+        return json.dumps({i: "译 文" if i != "b" or len(items) > 1 else "译[[Q_INLINE_0_a]]y[[/Q_INLINE_0_a]] 文" for i, _ in items}), {"in": 2, "out": 1.5}
+
+    batch = translate.Batch(model, {"b": [marker]})
+    assert batch.run([(c, "text " + c) for c in "abc"]) == {"a": "译文", "b": "译x_1文", "c": "译文"}
+    assert seen == [(["a", "b", "c"], []), (["b"], [(translate.BEFORE, "text a"), (translate.AFTER, "text c")])] and batch.used == {"in": 4, "out": 3.0}
+    rows = [("1", c, "text " + c, n, [tuple(marker.values())] if c == "b" else None) for n, c in enumerate("abc")] + [("2", "d", None, 0, None)]
+    df = spark.createDataFrame(rows, "batch string, id string, text string, pos int, specs array<struct<id:string,text:string,math:boolean,open:string,close:string,anchor_offset:int>>")
+    answers = translate.answered(df, model)
+    assert {r["batch"]: r["zh"] for r in answers.collect()} == {"1": {"a": "译文", "b": "译x_1文", "c": "译文"}, "2": {"d": "译文"}}
+    assert {r["name"]: r["total"] for r in translate.usage(answers).collect()} == {"in": 6.0, "out": 4.5}
+    assert translate.translate(df.limit(0), model).count() == 0
+
+
+def test_halves_have_context():
+    seen = []
+
+    def model(items, context):
+        seen.append(([i for i, _ in items], [w for w, _ in context]))
+        return "{}"
+
+    batch = translate.Batch(model, retries=0, depth=1)
+    assert batch.run([(c, c) for c in "abc"]) == {}
+    assert sorted(seen) == [(["a"], [translate.AFTER]), (["a", "b", "c"], []), (["b", "c"], [translate.BEFORE])]
+
+
+@pytest.mark.parametrize("done,want", [("", [(0, 4)]), ("a", [(1, 4)]), ("bd", [(0, 1), (2, 3)]), ("abcd", []), ("bc", [(0, 1), (3, 4)])])
+def test_missing_runs(done, want):
+    assert translate.missing_runs([(c, c) for c in "abcd"], dict.fromkeys(done, "x")) == want
