@@ -20,6 +20,23 @@ def guesses(blocks: DataFrame) -> DataFrame:
     return first.join(words, "paper_id", "left").select("paper_id", "title_block", F.when(F.col("_a.chars") > 200, F.col("_a.block_key")).alias("abstract_block"), "keyword_block")
 
 
+def paper_records(blocks: DataFrame, translations: DataFrame) -> DataFrame:
+    """(paper_id, title_en, title_zh, abstract_en, abstract_zh, keywords_en, keywords_zh, pages, n_blocks): what a paper's blocks and their translations
+    (block_key, zh) say about it, by ``guesses``. Abstracts are cut at 1,500 and 1,200 characters, as fields of a record are; n_blocks are translated."""
+    texts = blocks.select("block_key", F.col("text").alias("_t")).join(translations.where("zh <> ''").select("block_key", F.col("zh").alias("_z")), "block_key", "left")
+    out = guesses(blocks)
+    for name in ("title", "abstract", "keyword"):
+        held = texts.select(F.col("block_key").alias(f"{name}_block"), F.coalesce("_t", F.lit("")).alias(f"_{name}_en"), F.coalesce("_z", F.lit("")).alias(f"_{name}_zh"))
+        out = out.join(held, f"{name}_block", "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    words = lambda c, pattern, signs: F.when(text(c).rlike(pattern), F.transform(F.split(F.regexp_extract(text(c), pattern, 1), terminology.KEYWORD_SPLIT), lambda x: F.regexp_replace(x, f"^[{signs}]+|[{signs}]+$", ""))).otherwise(F.array().cast("array<string>"))
+    counts = blocks.join(translations.where("zh <> ''").select("block_key", F.lit(1).alias("_done")), "block_key", "left").groupBy("paper_id").agg(F.max("page").alias("pages"), F.count("_done").alias("n_blocks"))
+    return out.select(
+        "paper_id", text("_title_en").alias("title_en"), text("_title_zh").alias("title_zh"), F.left(text("_abstract_en"), F.lit(1500)).alias("abstract_en"), F.left(text("_abstract_zh"), F.lit(1200)).alias("abstract_zh"),
+        words("_keyword_en", terminology.EN_KEYWORDS, " .;,").alias("keywords_en"), words("_keyword_zh", terminology.ZH_KEYWORDS, " ;，、。").alias("keywords_zh"),
+    ).join(counts, "paper_id")
+
+
 def find_title(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     """(paper_id, block_key): the first block of page 1 that contains the first 40 characters of the paper's known title, spelling of blanks and case aside."""
     head = F.left(normalize_key(F.col("title")), F.lit(40))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EN_STOP, normalize_key
 from ..operators import terminology as K
+from ..sources import files
 from .base import BLOCKS, LATEST, WS, blocks, latest, sql_key, sql_strip, table
 
 _USABLE = "confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1"
@@ -41,6 +42,13 @@ def kb_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("gid", F.coalesce(F.nullif("domain", F.lit("")), F.lit("general")).alias("domain"), F.concat(F.lit("- "), F.col("source"), F.lit(" = "), F.col("target")).alias("line"))
 
 
+def kb_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of all three exports of the usable terms, with its place."""
+    terms = table(spark, d, "glossary").where(_USABLE).withColumn("n", F.col("gid"))
+    forms = [files.exported(terms, form).withColumn("form", F.lit(form)) for form in ("csv", "markdown", "prompt")]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
+
+
 def glossary_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return K.deduplicate(table(spark, d, "glossary"), ["gid"])
 
@@ -91,8 +99,9 @@ _MISS = rf"""m AS (SELECT gid, source, regexp_replace(target, '{WS}+', '', 'g')
  z AS (SELECT block_key, text, regexp_replace(zh, '{WS}+', '', 'g') AS zz FROM p), un AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM z WHERE contains(zz, tt))),
  h AS (SELECT gid, block_key FROM un JOIN z ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_replace(regexp_replace(lower({sql_strip('source')}), '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '{WS}+', '{_GAP}', 'g') || '([^a-z0-9]|$)')),
  a AS (SELECT gid, count(*) AS n_blocks, min(block_key) AS first_block FROM h GROUP BY 1)"""
+_CSV = """CASE WHEN regexp_matches({0}, '[",\n\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE coalesce({0}, '') END"""
 QUERIES = {
-    "kb_upsert": kb_upsert, "kb_stats": kb_stats, "literature_stats": literature_stats, "kb_lookup": kb_lookup, "kb_export": kb_export, "glossary_dedupe": glossary_dedupe, "glossary_merge": glossary_merge,
+    "kb_upsert": kb_upsert, "kb_stats": kb_stats, "literature_stats": literature_stats, "kb_lookup": kb_lookup, "kb_export": kb_export, "kb_exports": kb_exports, "glossary_dedupe": glossary_dedupe, "glossary_merge": glossary_merge,
     "glossary_conflicts": glossary_conflicts, "acronym_pairs": acronym_pairs, "keyword_pairs": keyword_pairs, "term_confirm": term_confirm, "glossary_audit": glossary_audit, "glossary_audit_top": glossary_audit_top,
 }
 ORACLES = {
@@ -110,6 +119,10 @@ ORACLES = {
     "literature_stats": "WITH r AS (SELECT paper_id, arg_max({'d': domain, 'b': n_blocks, 'c': n_table_cells}, rec_id) AS r FROM literature GROUP BY 1) SELECT coalesce(r.d, '?') AS domain, count(*) AS n_papers, sum(r.b)::BIGINT AS n_blocks, sum(r.c)::BIGINT AS n_cells FROM r GROUP BY 1",
     "kb_lookup": f"SELECT gid, source, target, confidence FROM glossary WHERE {_USABLE} AND (contains(lower(source), 'planner') OR contains(lower(coalesce(target, '')), 'planner')) ORDER BY confidence DESC, gid LIMIT 20",
     "kb_export": f"SELECT gid, coalesce(nullif(domain, ''), 'general') AS domain, '- ' || source || ' = ' || target AS line FROM glossary WHERE {_USABLE} AND confidence >= 0.6::DOUBLE AND target <> ''",
+    "kb_exports": f"""WITH g AS (SELECT *, coalesce(nullif(domain, ''), 'general') AS dm FROM glossary WHERE {_USABLE} AND confidence >= 0.6::DOUBLE), h AS (SELECT dm, min(gid) AS section FROM g GROUP BY 1)
+ SELECT 0::BIGINT AS section, gid AS n, {_CSV.format('source')} || ',' || {_CSV.format('target')} || ',' AS line, 'csv' AS form FROM g
+ UNION ALL SELECT 0, gid, '| ' || coalesce(source, '') || ' | ' || coalesce(target, '') || ' | ' || confidence || ' | ' || coalesce(hits::VARCHAR, '') || ' | ' || coalesce(source_kind, '') || ' | ' || coalesce(array_to_string(target_alt, '|'), '') || ' |', 'markdown' FROM g
+ UNION ALL SELECT section, gid, '- ' || coalesce(source, '') || ' = ' || coalesce(target, ''), 'prompt' FROM g JOIN h USING (dm) UNION ALL SELECT section, -1, '## ' || dm, 'prompt' FROM h""",
     "glossary_dedupe": f"SELECT {sql_key('source')} AS term, (arg_max({{'t': target}}, gid)).t AS target, min(gid) AS first FROM glossary GROUP BY 1",
     "glossary_merge": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY {sql_key('source')} ORDER BY kb_id DESC, gid DESC) AS l, row_number() OVER (PARTITION BY {sql_key('source')} ORDER BY kb_id, gid) AS f FROM glossary) SELECT {sql_key('source')} AS term, max(CASE WHEN l = 1 THEN target END) AS target, max(CASE WHEN f = 1 THEN kb_id END) AS first_kb, max(CASE WHEN f = 1 THEN gid END) AS first_gid FROM r GROUP BY 1",
     "glossary_conflicts": f"SELECT kb_id, {sql_key('source')} AS term, count(DISTINCT target) AS n_targets, min(target) AS least, max(target) AS greatest FROM glossary WHERE target IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT target) > 1",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..operators import register, terminology
+from ..sources import files
 from .base import BLOCKS, LATEST, WS, blocks, latest, sql_key, table
 from .kb_queries import _USABLE, _pairs
 
@@ -30,6 +31,18 @@ def literature_upsert(spark: SparkSession, d: str) -> DataFrame:
     return register.upsert_records(old, new, "paper_id")
 
 
+def paper_records(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d, "size", "chars", "text", "flow_index")
+    out = register.paper_records(b, latest(spark, d, "zh").select("block_key", "zh"))
+    return out.withColumns({c: F.array_join(c, "/") for c in ("keywords_en", "keywords_zh")})
+
+
+def literature_index(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the index of the last record of every paper."""
+    rows = table(spark, d, "literature").groupBy("paper_id").agg(F.max_by(F.struct("id", "title_zh", "title_en", "keywords_zh", "pages", "n_blocks", "n_table_cells", "translated_at", "rec_id"), "rec_id").alias("r")).select("r.*")
+    return files.markdown_index(rows)
+
+
 def paper_slugs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "literature").select("rec_id", "doi", "title_en").dropDuplicates(["rec_id"])
     return rows.select("rec_id", register.paper_slug(F.col("doi"), F.coalesce("title_en", F.lit(""))).alias("slug"))
@@ -54,8 +67,19 @@ def math_markup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _O = "coalesce(flow_index, 1000000000)"
-QUERIES = {"paper_guesses": paper_guesses, "title_blocks": title_blocks, "literature_upsert": literature_upsert, "paper_slugs": paper_slugs, "kb_harvest": kb_harvest, "legacy_merge": legacy_merge, "math_markup": math_markup}
+QUERIES = {"paper_records": paper_records, "literature_index": literature_index, "paper_guesses": paper_guesses, "title_blocks": title_blocks, "literature_upsert": literature_upsert, "paper_slugs": paper_slugs, "kb_harvest": kb_harvest, "legacy_merge": legacy_merge, "math_markup": math_markup}
+_GUESSED = f"""f AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY size DESC NULLS LAST, chars DESC, block_key) AS t, row_number() OVER (PARTITION BY paper_id ORDER BY chars DESC, block_key) AS a FROM b WHERE page = 1),
+ k AS (SELECT paper_id, block_key, row_number() OVER (PARTITION BY paper_id ORDER BY page, {_O}, block_key) AS n FROM b WHERE regexp_matches(text, '(?i)^{WS}*(?:keywords|index terms|key words){WS}*[:：]?{WS}*(.+)$')),
+ gu AS (SELECT f.paper_id, max(CASE WHEN t = 1 THEN f.block_key END) AS title_block, max(CASE WHEN a = 1 AND chars > 200 THEN f.block_key END) AS abstract_block, max(k.block_key) AS keyword_block FROM f LEFT JOIN k ON k.paper_id = f.paper_id AND k.n = 1 GROUP BY 1)"""
 ORACLES = {
+    "paper_records": f"""WITH {BLOCKS}, {LATEST}, {_GUESSED}, x AS (SELECT b.block_key, b.text, coalesce(n.zh, '') AS zh FROM b LEFT JOIN n USING (block_key)), c AS (SELECT paper_id, max(page) AS pages, count(*) FILTER (n.zh <> '') AS n_blocks FROM b LEFT JOIN n USING (block_key, paper_id) GROUP BY 1)
+ SELECT paper_id, coalesce(t.text, '') AS title_en, coalesce(t.zh, '') AS title_zh, left(coalesce(a.text, ''), 1500) AS abstract_en, left(coalesce(a.zh, ''), 1200) AS abstract_zh,
+  CASE WHEN regexp_matches(w.text, '(?i)^{WS}*(?:keywords|index terms|key words){WS}*[:：]?{WS}*(.+)$') THEN array_to_string(list_transform(regexp_split_to_array(regexp_extract(w.text, '(?i)^{WS}*(?:keywords|index terms|key words){WS}*[:：]?{WS}*(.+)$', 1), '[;；,，、]|{WS}{{2,}}'), lambda x: trim(x, ' .;,')), '/') ELSE '' END AS keywords_en,
+  CASE WHEN regexp_matches(w.zh, '^{WS}*(?:关键词|关键字){WS}*[:：]?{WS}*(.+)$') THEN array_to_string(list_transform(regexp_split_to_array(regexp_extract(w.zh, '^{WS}*(?:关键词|关键字){WS}*[:：]?{WS}*(.+)$', 1), '[;；,，、]|{WS}{{2,}}'), lambda x: trim(x, ' ;，、。')), '/') ELSE '' END AS keywords_zh, pages, n_blocks
+ FROM gu LEFT JOIN x t ON t.block_key = title_block LEFT JOIN x a ON a.block_key = abstract_block LEFT JOIN x w ON w.block_key = keyword_block JOIN c USING (paper_id)""",
+    "literature_index": r"""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rec_id DESC) AS n FROM literature) WHERE n = 1)
+ SELECT '| ' || coalesce(strftime(translated_at, '%Y-%m-%d'), '') || ' | ' || left(replace(coalesce(nullif(title_zh, ''), nullif(title_en, ''), id, ''), '|', '\|'), 60) || ' | ' || replace(coalesce(array_to_string(keywords_zh[1:5], '、'), ''), '|', '\|')
+  || ' | ' || coalesce(pages::VARCHAR, '') || ' | ' || coalesce(n_blocks::VARCHAR, '') || ' | ' || coalesce(n_table_cells::VARCHAR, '') || ' |' AS line FROM r""",
     "paper_guesses": f"""WITH {BLOCKS}, f AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY size DESC NULLS LAST, chars DESC, block_key) AS t, row_number() OVER (PARTITION BY paper_id ORDER BY chars DESC, block_key) AS a FROM b WHERE page = 1),
  k AS (SELECT paper_id, block_key, row_number() OVER (PARTITION BY paper_id ORDER BY page, {_O}, block_key) AS n FROM b WHERE regexp_matches(text, '(?i)^{WS}*(?:keywords|index terms|key words){WS}*[:：]?{WS}*(.+)$'))
  SELECT f.paper_id, max(CASE WHEN t = 1 THEN f.block_key END) AS title_block, max(CASE WHEN a = 1 AND chars > 200 THEN f.block_key END) AS abstract_block, max(k.block_key) AS keyword_block FROM f LEFT JOIN k ON k.paper_id = f.paper_id AND k.n = 1 GROUP BY 1""",

@@ -96,16 +96,76 @@ def read_glossary(spark: SparkSession, glob: str) -> DataFrame:
     return out.where("source <> '' AND (target <> '' OR NOT _headed)").drop("_headed")
 
 
+def first_terms(rows: DataFrame) -> DataFrame:
+    """(source, target) of glossary rows (file, n, source, target) with both sides, the first of each source, case aside."""
+    row = F.struct("file", "n", "source", "target")
+    firsts = rows.where("source <> '' AND target <> ''").groupBy(F.lower("source").alias("_s")).agg(F.min_by(row, F.struct("file", "n")).alias("_r"))
+    return firsts.select("_r.source", "_r.target")
+
+
+#: Columns of a knowledge base file (fixed values).
+KB_FIELDS = ("source", "target", "domain", "confidence", "hits", "papers", "target_alt", "source_kind", "updated")
+
+
+def read_kb(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of knowledge base files, all fields as trimmed text ('' if missing); rows without source are dropped. A byte order mark is no part of a name."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
+    field = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
+    return rows.select(*[field(c).alias(c) for c in KB_FIELDS]).where("source <> ''")
+
+
 def write_glossary(terms: DataFrame, path: str) -> None:
     """A glossary as one CSV file, surest terms first; arrays are joined with ; and |."""
     flat = terms.select(*[F.array_join(c, ";" if c == "papers" else "|").alias(c) if k.startswith("array") else F.col(c) for c, k in terms.dtypes])
-    flat.orderBy(F.col("confidence").desc_nulls_last(), F.lower("source")).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    flat.orderBy(F.col("confidence").desc_nulls_last(), F.lower("source")).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def exported(terms: DataFrame, form: str, least: float = 0.6) -> DataFrame:
+    """(section, n, line): an export of the terms that are sure enough, ordered by section and n. ``terms`` has n and the fields of a knowledge base.
+
+    ``form``: 'csv' (source, target and an empty language), 'markdown' (a table row each), or 'prompt' (source = target, by domain; the section is the first
+    row of the domain, whose heading is line -1).
+    """
+    rows = terms.where(F.col("confidence") >= least)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    if form == "csv":
+        return rows.select(F.lit(0).cast("bigint").alias("section"), "n", F.to_csv(F.struct("source", "target", F.lit("").alias("tgt_lng")), {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("line"))
+    if form == "markdown":
+        alternatives = F.array_join(F.coalesce("target_alt", F.array().cast("array<string>")), "|") if dict(terms.dtypes)["target_alt"].startswith("array") else text("target_alt")
+        cells = F.concat_ws(" | ", text("source"), text("target"), text("confidence"), text("hits"), text("source_kind"), alternatives)
+        return rows.select(F.lit(0).cast("bigint").alias("section"), "n", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    domain = F.coalesce(F.nullif("domain", F.lit("")), F.lit("general"))
+    heads = rows.groupBy(domain.alias("_d")).agg(F.min("n").cast("bigint").alias("section"))
+    lines = rows.withColumn("_d", domain).join(heads, "_d").select("section", "n", F.concat(F.lit("- "), text("source"), F.lit(" = "), text("target")).alias("line"))
+    return lines.unionByName(heads.select("section", F.lit(-1).alias("n"), F.concat(F.lit("## "), F.col("_d")).alias("line")))
+
+
+def write_pages(blocks: DataFrame, path: str, document: str = "file") -> None:
+    """Blocks as JSON lines, a page each (document, page, blocks in stored order), so that no document has to fit one row; ``read_pages`` reads them."""
+    fields = [c for c in blocks.columns if c not in (document, "page", "stored_at")]
+    pages = blocks.groupBy(document, "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("stored_at", *fields))), lambda b: b.dropFields("stored_at")).alias("blocks"))
+    pages.write.mode("overwrite").json(path)
+
+
+def read_pages(spark: SparkSession, path: str, schema: str, document: str = "file") -> DataFrame:
+    """Blocks of ``write_pages``: document, page, stored_at and the fields of ``schema`` (a block's)."""
+    pages = spark.read.schema(f"{document} STRING, page INT, blocks ARRAY<STRUCT<{schema}>>").json(path)
+    return pages.select(document, "page", F.posexplode("blocks").alias("stored_at", "b")).select(document, "page", "stored_at", "b.*")
+
+
+def kind_counts(blocks: DataFrame, document: str = "file") -> DataFrame:
+    """(document, page, kind, n_blocks): the kinds of blocks of every page."""
+    return blocks.groupBy(document, "page", F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n_blocks"))
 
 
 def markdown_index(records: DataFrame) -> DataFrame:
-    """(line) of a literature index, latest first: date, title (60 characters), year and up to five keywords; bars escaped."""
+    """(line) of a literature index, latest first: date, title (60 characters), up to five keywords, pages, translated blocks and cells; bars escaped."""
     esc = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
-    cells = [F.date_format("translated_at", "yyyy-MM-dd"), esc(F.left(F.coalesce("title_zh", "title_en"), F.lit(60))), F.coalesce(F.col("pub_year").cast("string"), F.lit("")), esc(F.array_join(F.slice(F.coalesce("keywords_zh", F.array().cast("array<string>")), 1, 5), "、"))]
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    title = F.coalesce(F.nullif("title_zh", F.lit("")), F.nullif("title_en", F.lit("")), F.col("id"))
+    keywords = F.array_join(F.slice(F.coalesce("keywords_zh", F.array().cast("array<string>")), 1, 5), "、")
+    cells = [F.coalesce(F.date_format("translated_at", "yyyy-MM-dd"), F.lit("")), F.left(esc(title), F.lit(60)), esc(keywords), number("pages"), number("n_blocks"), number("n_table_cells")]
     rows = records.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"), "translated_at", "rec_id")
     return rows.orderBy(F.col("translated_at").desc_nulls_last(), "rec_id").select("line")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import markup
 from quire.operators import register, spans
 from quire.plans import jobs
-from quire.sources import settings
+from quire.sources import files, settings
 
 
 def value(spark, column):
@@ -152,3 +152,30 @@ def test_skip_flags(spark):
     got = {r["block_key"]: r["reason"] for r in planning.skip_reasons(blocks, 1000.0, none, none).collect()}
     assert got == {0: None, 1: None, 2: "landscape page", 3: "nested", 4: "skipped page", 5: "reference heading", 6: None}
     assert {r["block_key"]: r["reason"] for r in planning.skip_reasons(blocks.drop("forced"), 1000.0, none, none, references=False).collect()}[6] is None
+
+
+def test_exports(spark):
+    rows = [(1, "net, deep", '深"网', "vision", 0.9, 2, ["网络"], "seed"), (2, "car", "车", None, 0.7, None, None, None), (3, "low", "低", "vision", 0.1, 1, None, "seed"), (4, " eye", "眼", "vision", 0.8, 1, [], "x")]
+    terms = spark.createDataFrame(rows, "n long, source string, target string, domain string, confidence double, hits int, target_alt array<string>, source_kind string")
+    lines = lambda form: [r["line"] for r in files.exported(terms, form).orderBy("section", "n").collect()]
+    assert lines("csv") == ['"net, deep","深""网",', "car,车,", " eye,眼,"]
+    assert lines("markdown")[0] == '| net, deep | 深"网 | 0.9 | 2 | seed | 网络 |' and len(lines("markdown")) == 3
+    assert lines("prompt") == ["## vision", '- net, deep = 深"网', "-  eye = 眼", "## general", "- car = 车"]
+
+
+def test_kb_and_terms_from_files(spark, tmp_path):
+    (tmp_path / "kb.csv").write_text('﻿source,target,confidence,extra\n net ,"深,网",0.9,x\n ,无,1,\ncar,,0.5,\n', encoding="utf-8")
+    got = files.read_kb(spark, str(tmp_path / "kb.csv")).collect()
+    assert [(r["source"], r["target"], r["confidence"], r["papers"]) for r in got] == [("net", "深,网", "0.9", ""), ("car", "", "0.5", "")]
+    (tmp_path / "g1.csv").write_text("en,zh\nNet,网\nnet,网络\ncar,\n")
+    (tmp_path / "g2.csv").write_text("en,zh\ncar,车\nNET,别\n")
+    assert {tuple(r) for r in files.first_terms(files.read_glossary(spark, str(tmp_path / "g*.csv"))).collect()} == {("Net", "网"), ("car", "车")}
+
+
+def test_pages_round_trip(spark, tmp_path):
+    rows = [("d", 1, 1, "b", "body", [1.0, 2.0]), ("d", 1, 0, "a", None, None), ("d", 2, 0, "c", "body", []), ("e", 1, 0, "d", "heading", [0.5])]
+    blocks = spark.createDataFrame(rows, "file string, page int, stored_at int, text string, kind string, bbox array<double>")
+    files.write_pages(blocks, str(tmp_path / "out"))
+    back = files.read_pages(spark, str(tmp_path / "out"), "text: STRING, kind: STRING, bbox: ARRAY<DOUBLE>")
+    assert {repr(r) for r in back.collect()} == {repr(r) for r in blocks.collect()}
+    assert {tuple(r) for r in files.kind_counts(back).where("file = 'd' AND page = 1").collect()} == {("d", 1, "body", 1), ("d", 1, "none", 1)}
