@@ -81,21 +81,27 @@ def reading_order(blocks: DataFrame, barriers: DataFrame | None = None) -> DataF
     return out.withColumn("breaks", (F.col("col") == "full") | opens | F.coalesce(F.col("kind").isin(*STRUCTURAL), F.lit(False))).drop("_d", "_p", "zone", "top", "bottom", "_c", "_k", "_z", "_d2", "_p2", "_at")
 
 
-def page_continuations(blocks: DataFrame) -> DataFrame:
+def page_continuations(blocks: DataFrame, barriers: DataFrame | None = None) -> DataFrame:
     """(paper_id, page, last_key, first_key): paragraphs that run over from a page to the next page number.
 
     Last and first block of neighbouring pages, publisher's lines aside: both body, no break before the second, and the first without
-    terminal mark or the second in lower case. An aggregate per page and a join of page and page + 1; no window over a document.
+    terminal mark or the second in lower case. ``barriers`` (paper_id, page, y0, y1): none may begin below the first (1 point of grace) nor end above the
+    second; ``blocks`` have y0 and y1 then. Aggregates per page and a join of page and page + 1; no window over a document.
     """
     order = F.struct(F.col("flow_index").isNull(), "flow_index", "block_key")
-    row = F.struct("block_key", "kind", "text", "flow_break")
+    row = F.struct("block_key", "kind", "text", "flow_break", *[] if barriers is None else ["y0", "y1"])
     real = blocks.where("coalesce(kind, '') <> 'meta'")
     pages = real.groupBy("paper_id", "page").agg(F.max_by(row, order).alias("l"), F.min_by(row, order).alias("f"))
-    left, right = pages.select("paper_id", "page", "l"), pages.select("paper_id", (F.col("page") - 1).alias("page"), "f")
+    free_below = free_above = F.lit(True)
+    if barriers is not None:
+        pages = pages.join(barriers.groupBy("paper_id", "page").agg(F.max("y0").alias("lowest"), F.min("y1").alias("highest")), ["paper_id", "page"], "left")
+        free_below = F.coalesce(F.col("lowest") < F.coalesce("l.y1", F.lit(0.0)) - 1, F.lit(True))
+        free_above = F.coalesce(F.col("highest") > F.coalesce("f.y0", F.lit(0.0)) + 1, F.lit(True))
+    left, right = pages.select("paper_id", "page", "l", free_below.alias("_below")), pages.select("paper_id", (F.col("page") - 1).alias("page"), "f", free_above.alias("_above"))
     lt, ft = F.regexp_replace(F.coalesce("l.text", F.lit("")), f"{WS}+$", ""), F.regexp_replace(F.coalesce("f.text", F.lit("")), f"^{WS}+", "")
     runs = ((lt != "") & ~lt.rlike(TERMINAL)) | ft.rlike("^[a-z]")
     both = (F.col("l.kind") == "body") & (F.col("f.kind") == "body") & ~F.coalesce("f.flow_break", F.lit(False))
-    return left.join(right, ["paper_id", "page"]).where(both & runs).select("paper_id", "page", F.col("l.block_key").alias("last_key"), F.col("f.block_key").alias("first_key"))
+    return left.join(right, ["paper_id", "page"]).where(both & runs & F.col("_below") & F.col("_above")).select("paper_id", "page", F.col("l.block_key").alias("last_key"), F.col("f.block_key").alias("first_key"))
 
 
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:

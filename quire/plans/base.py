@@ -46,3 +46,8 @@ def sql_collapse(s: str) -> str:
 
 def sql_key(s: str) -> str:
     return sql_collapse(f"lower({s})")
+
+
+def sql_clean(s: str) -> str:
+    """SQL of ``text.clean_text``."""
+    return sql_strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({s}, ''), chr(160), ' ', 'g'), '-{WS}*\\n{WS}*([a-z])', '\\1', 'g'), '{WS}*\\n{WS}*', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g')")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, identity
 from ..functions.text import page_set, strip
-from ..operators import flow, layout, planning
-from .base import BLOCKS, LATEST, WS, blocks, latest, sql_collapse, sql_strip
+from ..operators import flow, layout, planning, tables
+from .base import BLOCKS, LATEST, WS, blocks, latest, sql_clean, sql_collapse, sql_strip
 
 RATIO = 0.5
 BUDGET = 4000
@@ -23,9 +23,32 @@ def page_continuation(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_continuations(blocks(spark, d, "kind", "text", "flow_index", "flow_break"))
 
 
+def _barriers(spark: SparkSession, d: str) -> DataFrame:
+    """What divides a page without being read: the region of its tables, and that of its formulas as a drawing."""
+    b = blocks(spark, d, "kind").where("kind IN ('table', 'math_only') AND x0 IS NOT NULL").withColumn("kind", F.when(F.col("kind") == "table", "table").otherwise("vector"))
+    objects = b.groupBy("paper_id", "page", "kind").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).withColumn("n", (F.col("kind") != "table").cast("int"))
+    return tables.layout_barriers(objects, layout.PAGE_WIDTH, layout.PAGE_HEIGHT)
+
+
+def page_barriers(spark: SparkSession, d: str) -> DataFrame:
+    return _barriers(spark, d)
+
+
+def barred_order(spark: SparkSession, d: str) -> DataFrame:
+    """The reading order of what isn't a barrier itself, in the zones between barriers."""
+    b = blocks(spark, d, "col", "kind").where("x0 IS NOT NULL AND coalesce(kind, '') NOT IN ('table', 'math_only')")
+    return layout.reading_order(b, _barriers(spark, d)).select("block_key", "position", "breaks")
+
+
+def barred_continuation(spark: SparkSession, d: str) -> DataFrame:
+    """Page continuations of what isn't a barrier itself, with no barrier between."""
+    b = blocks(spark, d, "kind", "text", "flow_index", "flow_break").where("coalesce(kind, '') NOT IN ('table', 'math_only')")
+    return layout.page_continuations(b, _barriers(spark, d))
+
+
 def merged_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     out = layout.merge_paragraphs(blocks(spark, d, "kind", "col", "size", "text").where("x0 IS NOT NULL"))
-    return out.select("paper_id", "page", "col", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "x0", "y0", "x1", "y1")
+    return out.select("paper_id", "page", "col", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), F.md5("text").alias("text_md5"), "x0", "y0", "x1", "y1")
 
 
 def nested_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -152,18 +175,20 @@ _ROOTS = f"""WITH RECURSIVE {BLOCKS}, v AS (SELECT * FROM b WHERE x0 IS NOT NULL
    WHERE {_SHARED} > {RATIO} * least({_AREA.format('p')}, {_AREA.format('c')}) AND {_AREA.format('c')} < {_AREA.format('p')} GROUP BY 1, 2, 3),
  up AS (SELECT paper_id, page, block_key, parent AS root, 1 AS level FROM links UNION ALL SELECT u.paper_id, u.page, u.block_key, l.parent, u.level + 1 FROM up u JOIN links l ON l.block_key = u.root),
  roots AS (SELECT paper_id, page, block_key, arg_max(root, level) AS root, max(level) AS level FROM up GROUP BY 1, 2, 3)"""
+_JOINED_HYPHEN, _JOINED_BLANK = sql_clean("left(q.ta, length(q.ta) - 1) || q.tb"), sql_clean(sql_strip("q.ta || ' ' || q.tb"))
 _MERGE = rf"""WITH RECURSIVE {BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page, col ORDER BY y0, x0, block_key) AS n FROM b WHERE x0 IS NOT NULL AND col IN ('left', 'right')),
- f AS (SELECT paper_id, page, col, n, kind, size, x0, y0, x1, y1, regexp_replace(coalesce(text, ''), '{WS}+$', '') AS tail, block_key::VARCHAR AS members, 0 AS g FROM o WHERE n = 1
+ f AS (SELECT paper_id, page, col, n, kind, size, x0, y0, x1, y1, regexp_replace(coalesce(text, ''), '{WS}+$', '') AS tail, block_key::VARCHAR AS members, 0 AS g, text AS txt FROM o WHERE n = 1
   UNION ALL
   SELECT q.paper_id, q.page, q.col, q.n, CASE WHEN q.fits THEN q.akind ELSE q.kind END, CASE WHEN q.fits THEN q.asize ELSE q.size END, CASE WHEN q.fits THEN least(q.ax0, q.x0) ELSE q.x0 END, CASE WHEN q.fits THEN least(q.ay0, q.y0) ELSE q.y0 END,
-   CASE WHEN q.fits THEN greatest(q.ax1, q.x1) ELSE q.x1 END, CASE WHEN q.fits THEN greatest(q.ay1, q.y1) ELSE q.y1 END, regexp_replace(coalesce(q.text, ''), '{WS}+$', ''), CASE WHEN q.fits THEN q.amembers || ',' || q.block_key ELSE q.block_key::VARCHAR END, CASE WHEN q.fits THEN q.g ELSE q.g + 1 END
+   CASE WHEN q.fits THEN greatest(q.ax1, q.x1) ELSE q.x1 END, CASE WHEN q.fits THEN greatest(q.ay1, q.y1) ELSE q.y1 END, regexp_replace(coalesce(q.text, ''), '{WS}+$', ''), CASE WHEN q.fits THEN q.amembers || ',' || q.block_key ELSE q.block_key::VARCHAR END, CASE WHEN q.fits THEN q.g ELSE q.g + 1 END,
+   CASE WHEN NOT q.fits THEN q.text WHEN ends_with(q.ta, '-') AND regexp_matches(q.tb, '^\p{{Ll}}') THEN {_JOINED_HYPHEN} ELSE {_JOINED_BLANK} END
   FROM (SELECT z.*, coalesce(z.akind = 'body' AND z.kind = 'body' AND abs(z.asize - z.size) <= 1.0::DOUBLE AND z.ov >= 0.28::DOUBLE AND z.gap >= -0.35::DOUBLE * z.s AND z.gap <= 1.25::DOUBLE * z.s AND NOT z.listed AND NOT (z.ind >= 8 AND z.ended)
     AND (z.gap <= 0.48::DOUBLE * z.s OR (z.tail <> '' AND NOT z.ended) OR z.low OR (z.gap <= 0.72::DOUBLE * z.s AND abs(z.ind) <= 4)), false) AS fits
-   FROM (SELECT o.*, a.kind AS akind, a.size AS asize, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, a.members AS amembers, a.g AS g, a.tail AS tail, o.y0 - a.y1 AS gap, greatest(5.0::DOUBLE, least(a.size, o.size)) AS s, o.x0 - a.x0 AS ind,
+   FROM (SELECT o.*, a.kind AS akind, a.size AS asize, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, a.members AS amembers, a.g AS g, a.tail AS tail, regexp_replace(a.txt, '{WS}+$', '') AS ta, regexp_replace(o.text, '^{WS}+', '') AS tb, o.y0 - a.y1 AS gap, greatest(5.0::DOUBLE, least(a.size, o.size)) AS s, o.x0 - a.x0 AS ind,
      greatest(0, least(a.x1, o.x1) - greatest(a.x0, o.x0)) / greatest(1e-6::DOUBLE, least(a.x1 - a.x0, o.x1 - o.x0)) AS ov, regexp_matches(a.tail, '{_TERMINAL}') AS ended,
      regexp_matches(regexp_replace(o.text, '^{WS}+', ''), '^{WS}*(?:\d{{1,2}}[.)、]|[a-zA-Z][.)、]|[-•·▪–]{WS})') AS listed, regexp_matches(regexp_replace(o.text, '^{WS}+', ''), '^[a-z]') AS low
      FROM f a JOIN o ON o.paper_id = a.paper_id AND o.page = a.page AND o.col = a.col AND o.n = a.n + 1) z) q)
- SELECT paper_id, page, col, members, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, page, col, g ORDER BY n DESC) AS r FROM f) WHERE r = 1"""
+ SELECT paper_id, page, col, members, md5(txt) AS text_md5, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, page, col, g ORDER BY n DESC) AS r FROM f) WHERE r = 1"""
 _INSIDE = "EXISTS (SELECT 1 FROM (SELECT paper_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE kind = 'table' AND x0 IS NOT NULL GROUP BY 1, 2) r WHERE r.paper_id = b.paper_id AND r.page = b.page AND greatest(0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0, least(b.y1, r.y1) - greatest(b.y0, r.y0)) / greatest(1e-6::DOUBLE, (b.x1 - b.x0) * (b.y1 - b.y0)) > 0.5::DOUBLE)"
 _P = {k: getattr(planning, k).replace("'", "''") for k in ("PAGE_NUMBER", "META", "EMAIL", "AFFILIATION", "REFERENCE_HEADING", "CORRESPONDING", "JOURNAL", "CAPTION", "LABEL", "LABEL_WORD", "ANCHOR", "SENTENCE_END", "HEADING_NUMBER", "HEADING_CHARS")}
 
@@ -220,11 +245,15 @@ _POS = f"pos AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pag
 _BR = "(coalesce(flow_break, false) OR coalesce(kind IN ('heading', 'table', 'table_caption', 'figure_caption'), false))"
 _IND = {k: getattr(planning, k) for k in ("INDENT_LIST", "INDENT_CAPTION", "INDENT_END")}
 QUERIES = {
+    "page_barriers": page_barriers, "barred_order": barred_order, "barred_continuation": barred_continuation,
     "reading_order": reading_order, "page_continuation": page_continuation, "merged_paragraphs": merged_paragraphs, "nested_roots": nested_roots, "nested_boxes": nested_boxes, "in_table_blocks": in_table,
     "heading_like": heading_like, "front_matter": front_matter, "skip_reasons": skip_reasons, "flagged_reasons": flagged_reasons, "inline_sources": inline_sources, "resume_status": resume_status, "identity_mismatch": identity_mismatch, "greedy_batches": greedy_batches,
     "missing_runs": missing_runs, "flow_batches": flow_batches, "batch_context": batch_context, "indent_plan": indent_plan,
 }
+_BARS = """ob AS (SELECT paper_id, page, CASE WHEN kind = 'table' THEN 'table' ELSE 'vector' END AS kind, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE kind IN ('table', 'math_only') AND x0 IS NOT NULL GROUP BY 1, 2, 3),
+ ba AS (SELECT paper_id, page, kind, round(x0, 2) AS x0, round(y0, 2) AS y0, round(x1, 2) AS x1, round(y1, 2) AS y1 FROM ob WHERE x1 - x0 >= 0.55::DOUBLE * 600 AND y1 - y0 >= 10 AND (x1 - x0) * (y1 - y0) / 600000.0::DOUBLE <= 0.72::DOUBLE)"""
 ORACLES = {
+    "page_barriers": f"WITH {BLOCKS}, {_BARS} SELECT * FROM ba",
     "reading_order": f"""WITH {BLOCKS}, v AS (SELECT * FROM b WHERE x0 IS NOT NULL), bar AS (SELECT paper_id, page, block_key AS bk, y0 AS t, y1 AS u, row_number() OVER (PARTITION BY paper_id, page ORDER BY y0, y1, block_key) - 1 AS zone FROM v WHERE col = 'full'),
  z AS (SELECT paper_id, page, zone, coalesce(max(u) OVER (PARTITION BY paper_id, page ORDER BY zone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) AS top, t AS bottom FROM bar UNION ALL SELECT paper_id, page, count(*), max(u), 1e9 FROM bar GROUP BY 1, 2),
  q AS (SELECT v.*, coalesce(bar.zone, z.zone, CASE WHEN NOT EXISTS (SELECT 1 FROM bar e WHERE e.paper_id = v.paper_id AND e.page = v.page) THEN 0 END, 1000000) AS zz, CASE WHEN col = 'left' THEN 0 ELSE 1 END AS side
@@ -263,3 +292,15 @@ ORACLES = {
  k AS (SELECT *, lag(CASE WHEN head THEN false ELSE NOT regexp_matches(regexp_replace(zh, '{WS}+$', ''), '{_IND['INDENT_END']}') END) OVER (PARTITION BY paper_id ORDER BY page, {_F}, block_key) AS op FROM j)
  SELECT block_key, NOT head AND length(zh) >= 30 AND NOT regexp_matches(zh, '{_IND['INDENT_LIST']}') AND NOT regexp_matches(zh, '{_IND['INDENT_CAPTION']}') AND NOT coalesce(op, false) AND NOT runs_on AS indented FROM k""",
 }
+
+_ORDER = ORACLES["reading_order"]
+ORACLES["barred_order"] = (
+    _ORDER.replace(" WHERE x0 IS NOT NULL)", " WHERE x0 IS NOT NULL AND coalesce(kind, '') NOT IN ('table', 'math_only')), " + _BARS, 1)
+    .replace("bar AS (SELECT paper_id, page, block_key AS bk, y0 AS t, y1 AS u, row_number() OVER (PARTITION BY paper_id, page ORDER BY y0, y1, block_key) - 1 AS zone FROM v WHERE col = 'full')",
+             "bar AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page ORDER BY t, u, bk NULLS LAST) - 1 AS zone FROM (SELECT paper_id, page, block_key AS bk, y0 AS t, y1 AS u FROM v WHERE col = 'full' UNION ALL SELECT paper_id, page, NULL, y0, y1 FROM ba))")
+)
+ORACLES["barred_continuation"] = (
+    f"WITH {BLOCKS}, {_BARS}, lim AS (SELECT paper_id, page, max(y0) AS lowest, min(y1) AS highest FROM ba GROUP BY 1, 2), " + _CONT.replace("WHERE coalesce(kind, '') <> 'meta'", "WHERE coalesce(kind, '') NOT IN ('meta', 'table', 'math_only')")
+    + """ SELECT cont.paper_id, cont.page, last_key, first_key FROM cont JOIN b l ON l.block_key = last_key JOIN b f ON f.block_key = first_key LEFT JOIN lim a ON a.paper_id = cont.paper_id AND a.page = cont.page
+ LEFT JOIN lim c ON c.paper_id = cont.paper_id AND c.page = cont.page + 1 WHERE coalesce(a.lowest < coalesce(l.y1, 0) - 1, true) AND coalesce(c.highest > coalesce(f.y0, 0) + 1, true)"""
+)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, identity, text as T
 from ..operators import layout
-from .base import BLOCKS, ENTRIES, WS, blocks, sql_collapse, sql_key, sql_strip, table, translations
+from .base import BLOCKS, ENTRIES, WS, blocks, sql_clean, sql_collapse, sql_key, sql_strip, table, translations
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def layout_uids(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HTML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-_CLEAN = f"""{sql_strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), chr(160), ' ', 'g'), '-{WS}*\\n{WS}*([a-z])', '\\1', 'g'), '{WS}*\\n{WS}*', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g')")}"""
+_CLEAN = sql_clean("text")
 _PUNCT = "[㐀-鿿，。；：！？、（）《》【】]"
 
 

@@ -404,3 +404,23 @@ def test_halves_have_context():
 @pytest.mark.parametrize("done,want", [("", [(0, 4)]), ("a", [(1, 4)]), ("bd", [(0, 1), (2, 3)]), ("abcd", []), ("bc", [(0, 1), (3, 4)])])
 def test_missing_runs(done, want):
     assert translate.missing_runs([(c, c) for c in "abcd"], dict.fromkeys(done, "x")) == want
+
+
+def test_layout_barriers(spark):
+    rows = [(1, 1, 0, "table", 40.0, 100.0, 500.0, 200.0), (1, 1, 1, "table", 40.9, 100.5, 500.0, 199.5), (1, 1, 2, "table", 41.8, 100.0, 500.0, 200.0), (1, 1, 3, "image", 40.0, 100.0, 500.0, 200.0), (1, 1, 4, "image", 40.0, 300.0, 300.0, 400.0), (1, 1, 5, "image", 40.0, 300.0, 500.0, 305.0), (1, 2, 6, "vector", 0.0, 0.0, 600.0, 999.0)]
+    df = spark.createDataFrame(rows, "paper_id long, page int, n int, kind string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r["kind"], r["x0"]) for r in tables.layout_barriers(df, 600.0, 1000.0).orderBy("x0", "kind").collect()] == [("image", 40.0), ("table", 40.0), ("table", 41.8)]
+
+
+@pytest.mark.parametrize("page,y0,y1,runs", [(1, 730.0, 790.0, False), (1, 100.0, 200.0, True), (2, 10.0, 30.0, False), (2, 100.0, 200.0, True), (1, 719.5, 760.0, False), (2, 5.0, 41.0, False)])
+def test_barriers_between_pages_end_a_paragraph(spark, page, y0, y1, runs):
+    rows = [block(1, 700.0, 720.0, text_="unfinished sentence", page=1, i=0), block(2, 40.0, 60.0, text_="continues here.", page=2, i=0)]
+    bars = spark.createDataFrame([(1, page, y0, y1)], "paper_id long, page int, y0 double, y1 double")
+    assert layout.page_continuations(spark.createDataFrame(rows, BLOCK), bars).count() == int(runs)
+
+
+def test_a_wide_barrier_splits_reading_zones(spark):
+    rows = [block(1, 80.0, 100.0), block(2, 80.0, 100.0, x0=350.0, x1=550.0, col="right"), block(3, 500.0, 520.0), block(4, 500.0, 520.0, x0=350.0, x1=550.0, col="right")]
+    bars = spark.createDataFrame([(1, 1, 250.0, 400.0)], "paper_id long, page int, y0 double, y1 double")
+    got = layout.reading_order(spark.createDataFrame(rows, BLOCK), bars).orderBy("position").collect()
+    assert [r["block_key"] for r in got] == [1, 2, 3, 4] and [r["breaks"] for r in got] == [False, False, True, False]
