@@ -126,9 +126,10 @@ def runs(items: DataFrame, breaks: Column) -> DataFrame:
 def flow_batches(items: DataFrame, breaks: Column, budget: int, overhead: int = 40) -> DataFrame:
     """(paper_id, run, position, block_key, batch): consecutive items in batches of at most ``budget`` characters, none across a break.
 
-    ``items`` have paper_id, page, flow_index, block_key, position and text. Every item costs its length and ``overhead``.
+    ``items`` have paper_id, page, flow_index, block_key, position, and text or n_chars. Every item costs its length and ``overhead``. Texts aren't carried along.
     """
-    of = runs(items, breaks).withColumn("_cost", F.length("text") + overhead)
+    length = F.col("n_chars") if "n_chars" in items.columns else F.length("text")
+    of = runs(items.withColumn("_cost", length + overhead).drop("text"), breaks)
     return flow.greedy_batches(of, [flow.DOC, "run"], ["position", "block_key"], F.col("_cost"), budget)
 
 

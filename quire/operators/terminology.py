@@ -125,11 +125,18 @@ def conflicts(glossary: DataFrame) -> DataFrame:
     return out.agg(F.count_distinct("target").alias("n_targets"), F.min("target").alias("least"), F.max("target").alias("greatest")).where("n_targets > 1")
 
 
-def _glosses(df: DataFrame, text: str, pattern: str, clean, names: tuple[str, str]) -> DataFrame:
+#: What stands before an acronym in brackets, taken whole where it begins: the patterns above are then matched in that alone, as they would try every
+#: word of a text as a beginning.
+_EN_RUN = r"(?<![A-Za-z0-9 \-])[A-Za-z0-9 \-]++\s*+\([A-Z][A-Z0-9\-]{1,9}\)"
+_ZH_RUN = r"(?<![\x{4e00}-\x{9fff}A-Za-z0-9\-])[\x{4e00}-\x{9fff}A-Za-z0-9\-]++（[A-Z][A-Z0-9\-]{1,9}）"
+
+
+def _glosses(df: DataFrame, text: str, pattern: str, run: str, clean, name: str) -> DataFrame:
     """First clean name of every acronym per block."""
-    pairs = F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("acronym")))
-    rows = df.select("block_key", pairs.alias("_pos", "_p")).select("block_key", "_pos", clean(F.col("_p.name")).alias("_name"), F.upper("_p.acronym").alias("acronym")).where("_name <> ''")
-    return rows.groupBy("block_key", "acronym").agg(F.min_by("_name", "_pos").alias(names[0]))
+    held = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda r: F.struct(F.regexp_extract(r, pattern, 1).alias("name"), F.regexp_extract(r, pattern, 2).alias("acronym")))
+    rows = df.select("block_key", F.posexplode(F.filter(held, lambda p: p["acronym"] != "")).alias("_pos", "_p"))
+    rows = rows.select("block_key", "_pos", clean(F.col("_p.name")).alias("_name"), F.upper("_p.acronym").alias("acronym")).where("_name <> ''")
+    return rows.groupBy("block_key", "acronym").agg(F.min_by("_name", "_pos").alias(name))
 
 
 def acronym_pairs(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -138,8 +145,8 @@ def acronym_pairs(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
     ``pairs`` has block_key, text and zh. Gates: the acronym is no known source (``known``: term; None: not checked); the name doesn't begin with a participle;
     the target's length suits the number of words.
     """
-    en = _glosses(pairs, "text", EN_ACRONYM, english_phrase, ("source", ""))
-    zh = _glosses(pairs, "zh", ZH_ACRONYM, chinese_term, ("target", ""))
+    en = _glosses(pairs, "text", EN_ACRONYM, _EN_RUN, english_phrase, "source")
+    zh = _glosses(pairs, "zh", ZH_ACRONYM, _ZH_RUN, chinese_term, "target")
     words = F.split("source", " ")
     first, n = F.lower(F.get(words, F.lit(0))), F.size(words)
     low = F.greatest(F.lit(3), n * 2)

@@ -52,7 +52,8 @@ def pending(blocks: DataFrame, done: DataFrame | None, budget: int = 4000, skipp
     if "fragments" in blocks.columns:
         specs = identity.fragment_specs(F.col("fragments"))
         blocks = blocks.withColumn("specs", specs).withColumn("text", identity.translation_source(F.col("text"), F.col("specs"))).drop("fragments")
-    items = planning.positions(blocks)
+    kept = ["paper_id", "page", "block_key", "kind", "flow_index", "flow_break", *[c for c in ("source_hash", "layout_uid") if c in blocks.columns]]
+    items = planning.positions(blocks.select(*kept, F.length("text").alias("n_chars")))  # texts are fetched at the end
     if done is not None:
         valid = planning.resume_status(done.where("zh <> ''"), blocks).where("status = 'valid'").select("block_key")
         items = items.join(valid, "block_key", "left_anti")
@@ -61,7 +62,7 @@ def pending(blocks: DataFrame, done: DataFrame | None, budget: int = 4000, skipp
         items = planning.first_items(items, limit)
     breaks = F.coalesce("flow_break", F.lit(False)) | F.coalesce(F.col("kind").isin(*layout.STRUCTURAL), F.lit(False))
     batches = planning.flow_batches(items, breaks, budget)
-    texts = items.select("block_key", "text", *[c for c in ("specs",) if c in items.columns])
+    texts = blocks.select("block_key", "text", *[c for c in ("specs",) if c in blocks.columns])
     return batches.join(texts, "block_key").select(F.concat_ws(".", flow.DOC, "run", "batch").alias("batch"), F.col("block_key").cast("string").alias("id"), "text", F.col("position").alias("pos"), *texts.columns[2:])
 
 
