@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import EN_STOP, normalize_key
+from ..functions.text import normalize_key
 from ..operators import terminology as K
 from ..sources import files
 from .base import BLOCKS, LATEST, WS, blocks, latest, sql_key, sql_strip, table
+from .text_queries import NOISE_WORDS, STOP_WORDS
 
 _USABLE = "confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1"
 
@@ -99,6 +100,8 @@ _MISS = rf"""m AS (SELECT gid, source, regexp_replace(target, '{WS}+', '', 'g')
  z AS (SELECT block_key, text, regexp_replace(zh, '{WS}+', '', 'g') AS zz FROM p), un AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM z WHERE contains(zz, tt))),
  h AS (SELECT gid, block_key FROM un JOIN z ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_replace(regexp_replace(lower({sql_strip('source')}), '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '{WS}+', '{_GAP}', 'g') || '([^a-z0-9]|$)')),
  a AS (SELECT gid, count(*) AS n_blocks, min(block_key) AS first_block FROM h GROUP BY 1)"""
+_EN = r"([A-Za-z][A-Za-z0-9\-]*(?:[ \-][A-Za-z0-9\-]+){0,5})\s*\(([A-Z][A-Z0-9\-]{1,9})\)"
+_ZH = r"([\x{4e00}-\x{9fff}][\x{4e00}-\x{9fff}A-Za-z0-9\-]{1,21})（([A-Z][A-Z0-9\-]{1,9})）"
 _CSV = """CASE WHEN regexp_matches({0}, '[",\n\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE coalesce({0}, '') END"""
 QUERIES = {
     "kb_upsert": kb_upsert, "kb_stats": kb_stats, "literature_stats": literature_stats, "kb_lookup": kb_lookup, "kb_export": kb_export, "kb_exports": kb_exports, "glossary_dedupe": glossary_dedupe, "glossary_merge": glossary_merge,
@@ -126,6 +129,19 @@ ORACLES = {
     "glossary_dedupe": f"SELECT {sql_key('source')} AS term, (arg_max({{'t': target}}, gid)).t AS target, min(gid) AS first FROM glossary GROUP BY 1",
     "glossary_merge": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY {sql_key('source')} ORDER BY kb_id DESC, gid DESC) AS l, row_number() OVER (PARTITION BY {sql_key('source')} ORDER BY kb_id, gid) AS f FROM glossary) SELECT {sql_key('source')} AS term, max(CASE WHEN l = 1 THEN target END) AS target, max(CASE WHEN f = 1 THEN kb_id END) AS first_kb, max(CASE WHEN f = 1 THEN gid END) AS first_gid FROM r GROUP BY 1",
     "glossary_conflicts": f"SELECT kb_id, {sql_key('source')} AS term, count(DISTINCT target) AS n_targets, min(target) AS least, max(target) AS greatest FROM glossary WHERE target IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT target) > 1",
+    "acronym_pairs": rf"""WITH RECURSIVE {_PAIRS},
+ ea AS (SELECT block_key, unnest(regexp_extract_all(text, '{_EN}', 1)) AS nm, unnest(regexp_extract_all(text, '{_EN}', 2)) AS ac, unnest(range(len(regexp_extract_all(text, '{_EN}', 1)))) AS pos FROM p),
+ ew AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(nm, '^[ ,;.:]+|[ ,;.:]+$', '', 'g'), '{WS}+'), lambda x: x <> '') AS ws FROM ea),
+ ec AS (SELECT *, list_transform(ws, lambda x: NOT regexp_full_match(regexp_replace(lower(x), '^[.,;:]+|[.,;:]+$', '', 'g'), '{STOP_WORDS}')) AS ok FROM ew),
+ ek AS (SELECT *, CASE WHEN list_contains(ok, true) THEN ws[list_position(ok, true):len(ws) - list_position(list_reverse(ok), true) + 1] END AS kept FROM ec),
+ en AS (SELECT block_key, upper(ac) AS acronym, arg_min(array_to_string(kept, ' '), pos) AS source FROM ek WHERE len(kept) <= 6 AND len(list_filter(kept, lambda x: length(x) > 2)) > 0 AND length(array_to_string(kept, ' ')) BETWEEN 3 AND 52 GROUP BY 1, 2),
+ za AS (SELECT block_key, unnest(regexp_extract_all(zh, '{_ZH}', 1)) AS nm, unnest(regexp_extract_all(zh, '{_ZH}', 2)) AS ac, unnest(range(len(regexp_extract_all(zh, '{_ZH}', 1)))) AS pos FROM p),
+ no AS (SELECT unnest([{", ".join(f"'{w}'" for w in NOISE_WORDS)}]) AS w),
+ zs AS (SELECT block_key, ac, pos, nm AS t, 0 AS k FROM za UNION ALL SELECT block_key, ac, pos, substr(t, (SELECT max(length(w)) FROM no WHERE starts_with(t, w) AND length(t) > length(w) + 1) + 1), k + 1 FROM zs WHERE EXISTS (SELECT 1 FROM no WHERE starts_with(t, w) AND length(t) > length(w) + 1)),
+ zl AS (SELECT block_key, ac, pos, arg_max(t, k) AS t FROM zs GROUP BY 1, 2, 3), zn AS (SELECT block_key, upper(ac) AS acronym, arg_min(t, pos) AS target FROM zl WHERE length(t) BETWEEN 2 AND 24 GROUP BY 1, 2),
+ j AS (SELECT *, len(string_split(source, ' ')) AS w, lower(string_split(source, ' ')[1]) AS f1 FROM en JOIN zn USING (block_key, acronym))
+ SELECT block_key, acronym, source, target FROM j WHERE length(target) BETWEEN greatest(3, w * 2) AND least(24, greatest(greatest(3, w * 2), w * 4)) AND NOT (length(f1) > 4 AND regexp_matches(f1, '(ed|ing)$')) AND {sql_key('source')} <> {sql_key('target')}
+  AND lower(acronym) NOT IN (SELECT {sql_key('source')} FROM glossary WHERE source IS NOT NULL)""",
     "keyword_pairs": rf"""WITH {_PAIRS}, k AS (SELECT block_key, regexp_extract(text, '(?i)^{WS}*(?:keywords|index terms|key words){WS}*[:：]?{WS}*(.+)$', 1) AS e, regexp_extract(zh, '^{WS}*(?:关键词|关键字){WS}*[:：]?{WS}*(.+)$', 1) AS z FROM p),
  l AS (SELECT block_key, list_filter(list_transform(regexp_split_to_array(e, '[;；,，、]|{WS}{{2,}}'), lambda x: trim(x, ' .;,')), lambda x: {sql_strip('x')} <> '') AS es, list_filter(list_transform(regexp_split_to_array(z, '[;；,，、]|{WS}{{2,}}'), lambda x: trim(x, ' ;，、。')), lambda x: {sql_strip('x')} <> '') AS zs FROM k WHERE e <> '' AND z <> ''),
  r AS (SELECT block_key, unnest(range(len(es))) AS n, unnest(es) AS source, unnest(zs) AS target FROM l WHERE len(es) = len(zs)) SELECT block_key, n::INT AS n, source, target FROM r WHERE regexp_matches(source, '[A-Za-z]') AND regexp_matches(target, '[\x{{4e00}}-\x{{9fff}}]') AND length(source) > 2""",

@@ -119,10 +119,10 @@ QUERIES = {
     "reflow_text": reflowed, "english_phrases": english_phrases, "chinese_terms": chinese_terms, "html_escape": escaped_html, "compatibility_characters": compatibility_characters,
     "kind_histogram": kind_check, "column_class": columns_by_box, "source_hashes": content_hashes, "layout_uids": layout_uids,
 }
-_NOISE = [
+NOISE_WORDS = [
     "本工作得到", "本工作", "本文", "本研究", "该项目", "该", "其中", "即为", "即", "例如", "比如", "包括", "采用", "利用", "基于", "得到", "需要", "可以", "能够", "以及", "和", "与", "及", "在", "由", "是", "称为", "命名为",
 ]
-_STOP = "|".join(
+STOP_WORDS = "|".join(
     w.replace(".", r"\.")
     for w in (
         "we", "the", "a", "an", "this", "that", "these", "those", "our", "their", "its", "it", "in", "by", "for", "to", "as", "of", "and", "or", "is", "are", "was", "were", "however", "moreover", "furthermore",
@@ -140,10 +140,10 @@ ORACLES = {
         SELECT block_key, CASE WHEN length(s) > 0 THEN len(regexp_extract_all(s, '[^\p{{L}}\p{{N}}.,;:''"()%\-–—+/]'))::DOUBLE / length(s) ELSE 0.0::DOUBLE END AS symbol_ratio FROM x""",
     "reflow_text": f"WITH {ENTRIES}, r AS (SELECT entry_id, zh AS old, {_REFLOW} AS zh FROM t WHERE zh IS NOT NULL) SELECT entry_id, zh, zh <> old AS changed FROM r",
     "english_phrases": rf"""WITH w AS (SELECT gid, list_filter(regexp_split_to_array(regexp_replace(source, '^[ ,;.:]+|[ ,;.:]+$', '', 'g'), '{WS}+'), lambda x: x <> '') AS ws FROM glossary),
-        c AS (SELECT gid, ws, list_transform(ws, lambda x: NOT regexp_full_match(regexp_replace(lower(x), '^[.,;:]+|[.,;:]+$', '', 'g'), '{_STOP}')) AS ok FROM w),
+        c AS (SELECT gid, ws, list_transform(ws, lambda x: NOT regexp_full_match(regexp_replace(lower(x), '^[.,;:]+|[.,;:]+$', '', 'g'), '{STOP_WORDS}')) AS ok FROM w),
         k AS (SELECT gid, CASE WHEN list_contains(ok, true) THEN ws[list_position(ok, true):len(ws) - list_position(list_reverse(ok), true) + 1] END AS kept FROM c)
         SELECT gid, CASE WHEN len(kept) <= 6 AND len(list_filter(kept, lambda x: length(x) > 2)) > 0 AND length(array_to_string(kept, ' ')) BETWEEN 3 AND 52 THEN array_to_string(kept, ' ') ELSE '' END AS phrase FROM k""",
-    "chinese_terms": rf"""WITH RECURSIVE n AS (SELECT unnest([{", ".join(f"'{w}'" for w in _NOISE)}]) AS w),
+    "chinese_terms": rf"""WITH RECURSIVE n AS (SELECT unnest([{", ".join(f"'{w}'" for w in NOISE_WORDS)}]) AS w),
         s AS (SELECT gid, {sql_strip("regexp_split_to_array(" + sql_strip("target") + r", '[。，；：！？、（）()\[\]【】]')[-1]")} AS t, 0 AS k FROM glossary WHERE target IS NOT NULL
               UNION ALL SELECT gid, substr(t, (SELECT max(length(w)) FROM n WHERE starts_with(t, w) AND length(t) > length(w) + 1) + 1), k + 1 FROM s WHERE EXISTS (SELECT 1 FROM n WHERE starts_with(t, w) AND length(t) > length(w) + 1))
         SELECT gid, CASE WHEN length(arg_max(t, k)) BETWEEN 2 AND 24 THEN arg_max(t, k) ELSE '' END AS term FROM s GROUP BY gid""",
