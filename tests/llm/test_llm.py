@@ -348,7 +348,7 @@ def prose():
     for i in range(400):
         a, b, c = rng.sample(range(8), 3)
         zh = f"我们在{i}种天气下评价该{KANJI[a]}。每一步{KANJI[b]}都接收{KANJI[c]}的输出。"
-        en = f"We evaluate the {NOUNS[a]} under {i} weather settings. The {NOUNS[b]} receives the output of the {NOUNS[c]} at every step. Table {i} lists the error of each {NOUNS[a]}."
+        en = f"We evaluate the {NOUNS[a]} under {i} weather settings. The {NOUNS[b]} receives the output of the {NOUNS[c]} at every step. Table {i} lists the error of each {NOUNS[a]}. {i} vehicles were equipped with the {NOUNS[b]}."
         end = [f"Keywords: {NOUNS[a]}; {NOUNS[b]}; {NOUNS[c]}", f"关键词：{KANJI[a]}；{KANJI[b]}", f"[{i}] Noka P., The {NOUNS[a]}, Letters {i} (2012) 2-9", f"Table {i}. Error of the {NOUNS[a]}", f"图{i} {KANJI[a]}的误差", f"| error | 0.{i} |", "x = A x + B u", "-- end --"][i % 8]
         body = zh if i % 2 else en
         texts.append(f"{i} The {NOUNS[a]}\n\n{body}\n\n{end}" if i % 3 else body[: -rng.randrange(5, 40)])
@@ -388,7 +388,7 @@ def test_jvm_gate_agrees_with_endings(spark, prose):
     texts = ["It ends here.", "done 5%.", "完成。", "Fig.", "approx.", "below 2.", "no end", "x et al.", "what?", "（完）。", "3.", "A.", "(see there).", "   ", "no end\n\n", "A.\n\nno end"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r["i"]: r["e"] == float("-inf") for r in df.select("i", P8.broken_odds(F.col("t"), spark.sparkContext.broadcast(prose)).alias("e")).collect()}
-    assert got == {i: not P8.last_unit(t.rstrip().split("\n\n")[-1]) for i, t in enumerate(texts)}
+    assert got == {i: not P8.last_unit(t.rstrip().split("\n\n")[-1], numbers=True) for i, t in enumerate(texts)}
 
 
 # ---------------------------------------------------------------- all queries
