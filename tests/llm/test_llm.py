@@ -57,6 +57,34 @@ def test_refusals_share_no_sentence_with_the_data():
         assert not told & {plain(s) for z in held if z for s in re.split("[。？?！!.\n]", z)}
 
 
+def test_pair_model_counts_every_pair_and_document(spark, tmp_path):
+    rows = [(n, EN[n % 4], ZH[n % 4] + ("" if n % 5 else "误差很小")) for n in range(4200)]
+    german = "Der Regler bleibt stabil. " * 300
+    spark.createDataFrame(rows, "block_key bigint, text string, zh string").createOrReplaceTempView("p1_rows")
+    spark.table("p1_rows").select("block_key", "text").repartition(3).write.parquet(f"{tmp_path}/blocks.parquet")
+    spark.sql("SELECT block_key AS entry_id, zh, false AS skip, false AS blank FROM p1_rows").repartition(5).write.parquet(f"{tmp_path}/translations.parquet")
+    spark.createDataFrame([(1, "de", german), (2, "zh", "".join(ZH[:3])), (3, None, "x")], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = P1.PairModel([(e, z) for _, e, z in rows], {"de": [german], "zh": ["".join(ZH[:3])]})
+    plain = P1.PairModel([(e, z) for _, e, z in rows])
+    for got, held in ((P1.translation_model(spark, str(tmp_path)), want), (P1.learn(spark.table("p1_rows"), "block_key", "text", "zh"), plain)):
+        assert got.languages.classes == held.languages.classes and np.array_equal(got.languages.codes, held.languages.codes)
+        assert np.allclose(got.languages.pairs, held.languages.pairs, atol=1e-6)
+        assert got.ends.known[""] == held.ends.known[""] and all(got.ends.odds(z[:-1]) == held.ends.odds(z[:-1]) for _, _, z in rows[:20] if z[-1] in "。？")
+
+
+def test_runs_of_characters_are_counted_as_one_by_one():
+    texts = ["甲乙。甲乙丙！", "甲乙丙丁戊己庚", "。。甲", "乙甲乙。"]
+    seen, ended = Counter(), Counter()
+    for s in texts:
+        for at in (at for at in range(1, len(s)) if s[at - 1] not in "。！？"):
+            for n in range(7):
+                if at - n < 0 or n and s[at - n] in "。！？":
+                    break
+                seen[s[at - n : at]] += 1
+                ended[s[at - n : at]] += s[at] in "。！？"
+    assert P1.Endings.count(texts) == {"seen": seen, "ended": +ended}
+
+
 def test_refusals_are_found_anywhere(model):
     long = "".join(ZH[i % 2] for i in range(40))
     assert len(long) > 1000 and model.defect(EN[0] * 40, long) is None
