@@ -2,8 +2,9 @@
 
 Cross-lingual vectors are learned by a singular value decomposition of paired documents: a document is a prompt with its
 translation, its terms are English words and Chinese character pairs, so terms that render each other get neighbouring
-vectors. The model is fitted on ``SAMPLE_ROWS`` pairs, those with the smallest hash, and on the ``VOCABULARY`` most frequent terms of
-each language, by a randomized decomposition that only holds the matrix's non-zero cells: the driver and each task need at most
+vectors. The model is fitted on all pairs: the tasks count the terms, of which each language's ``VOCABULARY`` most frequent ones get
+vectors, and multiply with the sparse matrix of documents and terms, of which each holds a part; the driver only orthogonalises a few
+directions of the terms' space (randomized decomposition). The driver and each task need a few times
 ``2 * VOCABULARY * DIMENSIONS`` numbers (31 MB) for the vectors, whatever the corpus. Numbers and names, which both sides share, get
 fixed random directions of their own. A sentence is the weighted sum of its terms.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,15 +27,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, pick, table
+from .common import cut_lineage, pick, summed, table
 from .p1_pair_defects import PairModel, translation_model
 from .p3_lookalike import transducer
 
-SAMPLE_ROWS = 6000
 DIMENSIONS = 128
 ANCHORS = 64
 #: Terms of each language that get vectors.
 VOCABULARY = 30_000
+#: Documents in a part of the matrix, and rows of a product that are summed at once.
+PART_ROWS, SLICE_ROWS = 1000, 1024
 #: Cells of a similarity matrix held at once.
 BAND_CELLS = 2_000_000
 
@@ -110,40 +112,80 @@ class _Sparse:
         return self._sum(self.column[o], self.row[o], self.value[o], m, self.shape[1])
 
 
+def _terms(english: str, chinese: str) -> tuple[list[str], list[str]]:
+    return [w for s in english_sentences(english) for w in english_terms(s)[0]], chinese_pairs(chinese)
+
+
+def _matrix(docs: list[tuple[list[str], list[str]]], vocabulary: list[dict[str, int]], weights: list[np.ndarray]) -> _Sparse:
+    """Weights of the terms (both languages side by side) in the documents."""
+    size = [len(v) for v in vocabulary]
+    cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for row, d in enumerate(docs):
+        for side in (0, 1):
+            ids = [i for t in d[side] if (i := vocabulary[side].get(t)) is not None]
+            if ids:
+                at, times = np.unique(ids, return_counts=True)
+                v = (np.sqrt(times) * weights[side][at]).astype(np.float32)
+                cells.append((np.full(len(at), row), at + side * size[0], v / max(1e-9, float(np.linalg.norm(v)))))  # both languages weigh the same in a document
+    return _Sparse(len(docs), sum(size), cells)
+
+
+#: Multiplies a matrix of a row per term with the matrix of documents and terms and with that one's transpose.
+Product = Callable[[np.ndarray], np.ndarray]
+
+
 class TermVectors:
     """Vectors of English words and Chinese character pairs in one space."""
 
     def __init__(self, pairs: list[tuple[str, str]], dimensions: int = DIMENSIONS, keep: float = 0.5, seed: int = 7):
-        docs = [([w for s in english_sentences(e) for w in english_terms(s)[0]], chinese_pairs(z)) for e, z in pairs]
-        n = max(1, len(docs))
-        vocabulary: list[dict[str, int]] = []
-        weights: list[np.ndarray] = []
+        docs = [_terms(e, z) for e, z in pairs]
+        n = len(docs)
+        counts: list[dict[str, int]] = []
         for side in (0, 1):
             df = Counter(t for d in docs for t in set(d[side]))
             usable = [t for t, c in df.items() if 2 <= c <= max(2, 0.35 * n)]
-            kept = sorted(sorted(usable, key=lambda t: (-df[t], t))[:VOCABULARY])
-            vocabulary.append({t: i for i, t in enumerate(kept)})
-            weights.append(np.array([np.log(n / df[t]) for t in kept], np.float32))
+            counts.append({t: df[t] for t in sorted(usable, key=lambda t: (-df[t], t))[:VOCABULARY]})
+
+        def product(vocabulary: list[dict[str, int]], weights: list[np.ndarray]) -> Product:
+            x = _matrix(docs, vocabulary, weights)
+            return lambda m: x.transposed_times(x.times(m.astype(np.float32)))
+
+        self._fit(n, counts, product, dimensions, keep, seed)
+
+    @classmethod
+    def learned(cls, pairs: DataFrame, dimensions: int = DIMENSIONS, keep: float = 0.5, seed: int = 7) -> TermVectors:
+        """The vectors of all rows (_en, _zh) of ``pairs``, but for rounding the same as of the list of them."""
+        held = cut_lineage(summed(pairs, _count_terms))
+        n = held.where("kind = 'rows'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        counts = []
+        for side in ("en", "zh"):
+            usable = held.where((F.col("kind") == side) & (F.col("n") >= 2) & (F.col("n") <= max(2, 0.35 * n)))
+            counts.append({r["item"]: r["n"] for r in usable.orderBy(F.desc("n"), "item").limit(VOCABULARY).collect()})
+        vectors = cls.__new__(cls)
+        vectors._fit(n, counts, lambda vocabulary, weights: _product(pairs, vocabulary, weights), dimensions, keep, seed)
+        return vectors
+
+    def _fit(self, n: int, counts: list[dict[str, int]], product: Callable[[list[dict[str, int]], list[np.ndarray]], Product], dimensions: int, keep: float, seed: int) -> None:
+        """``counts``: in how many of the ``n`` documents the terms of each language are."""
+        vocabulary = [{t: i for i, t in enumerate(sorted(c))} for c in counts]
+        weights = [np.array([np.log(max(1, n) / c[t]) for t in v], np.float32) for c, v in zip(counts, vocabulary)]
         self.words, self.pairs = vocabulary
         size = [len(v) for v in vocabulary]
-        cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for row, d in enumerate(docs):
-            for side in (0, 1):
-                ids = [i for t in d[side] if (i := vocabulary[side].get(t)) is not None]
-                if ids:
-                    at, times = np.unique(ids, return_counts=True)
-                    v = (np.sqrt(times) * weights[side][at]).astype(np.float32)
-                    cells.append((np.full(len(at), row), at + side * size[0], v / max(1e-9, float(np.linalg.norm(v)))))  # both languages weigh the same in a document
-        x = _Sparse(len(docs), sum(size), cells)
-        k = min(dimensions, len(docs), sum(size))
+        k = min(dimensions, n, sum(size))
         rng = np.random.default_rng(seed)
         vectors = np.zeros((sum(size), dimensions), np.float32)
-        if k and cells:
-            y = x.times(rng.standard_normal((sum(size), min(k + 16, len(docs), sum(size))), dtype=np.float32))  # randomized range finder
+        if k:
+            times = product(vocabulary, weights)
+            z = rng.standard_normal((sum(size), min(k + 16, n, sum(size))), dtype=np.float32)  # randomized range finder
             for _ in range(3):
-                y = x.times(np.linalg.qr(x.transposed_times(np.linalg.qr(y)[0]))[0])
-            _, s, vt = np.linalg.svd(x.transposed_times(np.linalg.qr(y)[0]).T, full_matrices=False)
-            vectors[:, :k] = vt[:k].T * np.sqrt(s[:k])
+                z = np.linalg.qr(times(z).astype(np.float64))[0]
+            w = times(z).astype(np.float64)
+            # with the matrix X and an orthogonal basis of X z, the singular vectors are those of X's transpose times this basis
+            square, turn = np.linalg.eigh((z.T @ w + w.T @ z) / 2)
+            real = square > 1e-9 * max(square.max(), 1e-30)
+            u, s, _ = np.linalg.svd(w @ (turn[:, real] / np.sqrt(square[real])), full_matrices=False)
+            k = min(k, len(s))
+            vectors[:, :k] = u[:, :k] * np.sqrt(s[:k])
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         vectors = np.where(norm > 1e-6, vectors / np.maximum(norm, 1e-6), 0)
         if size[0] and size[1]:  # pairs that render no word (they span two words, or are common to all sentences) only add noise
@@ -171,6 +213,66 @@ class TermVectors:
         return number, ids
 
 
+def _plain_terms(part: pd.DataFrame) -> list[tuple[list[str], list[str]]]:
+    plain = transducer().apply
+    return [_terms(plain(e), plain(z)) for e, z in zip(part["_en"], part["_zh"])]
+
+
+def _count_terms(part: pd.DataFrame, held: Counter) -> None:
+    """In how many documents each term is, and how many documents there are ('rows')."""
+    held["rows", ""] += len(part)
+    for en, zh in _plain_terms(part):
+        held.update(("en", t) for t in set(en))
+        held.update(("zh", t) for t in set(zh))
+
+
+def _product(pairs: DataFrame, vocabulary: list[dict[str, int]], weights: list[np.ndarray]) -> Product:
+    """The product by the tasks. The matrix is written once, in parts of ``PART_ROWS`` documents; there are only about two partitions
+    a core, so that few partial sums, each the size of the product, are shuffled."""
+    spark = pairs.sparkSession
+    known = spark.sparkContext.broadcast((vocabulary, weights))
+    terms = sum(len(v) for v in vocabulary)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), PART_ROWS):
+                x = _matrix(_plain_terms(batch.iloc[lo : lo + PART_ROWS]), *known.value)
+                cells = [x.row.astype(np.int32).tobytes(), x.column.astype(np.int32).tobytes(), x.value.astype(np.float32).tobytes()]
+                yield pd.DataFrame([[x.shape[0], *cells]], columns=["rows", "row", "column", "value"])
+
+    parts = pairs.mapInPandas(build, "rows int, row binary, column binary, value binary").withColumn("id", F.xxhash64("row", "column", "value"))
+    parts = cut_lineage(parts.repartition(2 * spark.sparkContext.defaultParallelism, "id").sortWithinPartitions("id"))  # summed in one order
+    known.destroy()
+
+    def times(m: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(m.astype(np.float32))
+        width = m.shape[1]
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, least = np.zeros((terms, width), np.float32), None
+            for batch in batches:
+                for n, row, column, value, id_ in zip(batch["rows"], batch["row"], batch["column"], batch["value"], batch["id"]):
+                    x = _Sparse(n, terms, [(np.frombuffer(row, np.int32), np.frombuffer(column, np.int32), np.frombuffer(value, np.float32))])
+                    total += x.transposed_times(x.times(sent.value))
+                    least = id_ if least is None else min(least, id_)
+            if least is not None:
+                for lo in range(0, terms, SLICE_ROWS):
+                    yield pd.DataFrame([[lo, least, total[lo : lo + SLICE_ROWS].tobytes()]], columns=["lo", "id", "total"])
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            each = part.sort_values("id")["total"]
+            return pd.DataFrame([[part["lo"].iloc[0], sum(np.frombuffer(t, np.float32).astype(np.float64) for t in each).tobytes()]], columns=["lo", "total"])
+
+        out = np.zeros((terms, width))
+        for r in parts.mapInPandas(partial, "lo bigint, id bigint, total binary").groupBy("lo").applyInPandas(add, "lo bigint, total binary").collect():
+            got = np.frombuffer(r["total"], np.float64).reshape(-1, width)
+            out[r["lo"] : r["lo"] + len(got)] = got
+        sent.destroy()
+        return out
+
+    return times
+
+
 def _sums(vectors: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int, step: int = 256) -> np.ndarray:
     """Sum of ``vectors[ids]`` per owner; owners ascend. By products with count matrices if the vocabulary is small, else by gathering."""
     size = len(vectors)
@@ -372,12 +474,9 @@ class Aligner:
             yield at, match(en[e1:e2], zh[z1:z2])
 
 
-def learn(pairs: DataFrame, english: str, chinese: str, key: str, rows: int = SAMPLE_ROWS) -> TermVectors:
-    """Vectors from the ``rows`` pairs with the smallest hash of their key."""
-    held = pick(pairs, _key=key, _en=english, _zh=chinese).where("_en IS NOT NULL AND _zh IS NOT NULL")
-    sample = hash_sample(held, "_key", rows)
-    plain = transducer().apply
-    return TermVectors([(plain(r["_en"]), plain(r["_zh"])) for r in sample.collect()])
+def learn(pairs: DataFrame, english: str, chinese: str) -> TermVectors:
+    """Vectors from all pairs of which both texts are there."""
+    return TermVectors.learned(pick(pairs, _en=english, _zh=chinese).where("_en IS NOT NULL AND _zh IS NOT NULL"))
 
 
 _ROWS = "unit string, rec_no bigint, en_no bigint, zh_no bigint"
@@ -413,7 +512,7 @@ def sentence_pairs(pairs: DataFrame, vectors: TermVectors, model: PairModel | No
     repeated rows give their links once.
     """
     rows = pairs.select("_unit", F.col("_key").cast("bigint").alias("_key"), "_en", "_zh", "_least").where("_key IS NOT NULL")
-    held = pairs.sparkSession.sparkContext.broadcast((vectors, model))  # bounded: see VOCABULARY here and SAMPLE_ROWS of the pair model
+    held = pairs.sparkSession.sparkContext.broadcast((vectors, model))  # vectors: see VOCABULARY; the pair model grows with the distinct ends of responses
     return rows.mapInPandas(_link(held), _ROWS).distinct()
 
 
@@ -425,7 +524,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = table(spark, sf_dir, "blocks").where("kind = 'body' AND text IS NOT NULL").select("block_key", "text")
     joined = entries.join(body, "block_key")
     blocks = joined.select(F.lit("block").alias("_unit"), F.col("entry_id").alias("_key"), F.col("text").alias("_en"), F.col("zh").alias("_zh"), F.lit(2).alias("_least"))
-    vectors = learn(literature, "abstract_en", "abstract_zh", "rec_id")
+    vectors = learn(literature, "abstract_en", "abstract_zh")
     return sentence_pairs(abstracts.unionByName(blocks), vectors, translation_model(spark, sf_dir))
 
 

@@ -183,6 +183,17 @@ def test_alignment_odd_tables(spark):
     assert P2.TermVectors([]).en.shape[0] == 0
 
 
+def test_term_vectors_are_learned_from_every_pair(spark):
+    rng = random.Random(5)
+    words = [("planner", "规划"), ("sensor", "传感"), ("error", "误差"), ("weather", "天气"), ("matrix", "矩阵"), ("vehicle", "车辆"), ("method", "方法"), ("result", "结果")]
+    pairs = [(" ".join(w for w, _ in p) + ".", "，".join(z for _, z in p) + "。") for p in (rng.sample(words, 3) for _ in range(6100))]
+    pairs += [("rarely planner.", "罕见，规划。")] * 2
+    got = P2.learn(spark.createDataFrame(pairs, "e string, z string").repartition(5), "e", "z")
+    want = P2.TermVectors(pairs)
+    assert got.words == want.words and got.pairs == want.pairs and "rarely" in got.words
+    assert np.allclose(got.en @ got.zh.T, want.en @ want.zh.T, atol=1e-3)
+
+
 # ---------------------------------------------------------------- problem 3
 @pytest.mark.parametrize("raw,want", [
     ("ＭＯＴΕ分数", "MOTE分数"), ("naïve", "naïve"), ("na​ïve", "naïve"), ("x y　z ", "x y z "), ("coeﬃcient", "coefficient"), ("⾃监督器", "自监督器"), ("co­op", "coop"), ("OLSR-Κ", "OLSR-K"),
