@@ -452,3 +452,22 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_prose_is_learned_from_every_document(spark):
+    rng = random.Random(8)
+    words = "the planner keeps every sensor result stable while weather changes and errors remain small".split()
+    texts = [f"Section {n % 9} overview\n\n" + " ".join(rng.choices(words, k=9)).capitalize() + "." + ("" if n % 4 else "\n\nKeywords: planner; sensor") for n in range(4200)]
+    texts += ["The planner keeps every sensor result stable. " * 200 + "\n\nAppendix of the authors"] * 3 + [texts[1][:-7]]
+    limits = [n % 50 == 0 for n in range(len(texts))]
+    got = P8.Prose.learned(spark.createDataFrame([*zip(texts, limits)], "_text string, _limit boolean").repartition(5))
+    want = P8.Prose(texts, limits)
+    assert got.known == want.known and got.number_odds == want.number_odds
+    units = sorted({u for t in texts if (u := P8.last_unit(t.split("\n\n")[-1], numbers=True))})
+    assert len(units) > 2 and np.allclose(got.odds(units), want.odds(units))
+    rows = spark.createDataFrame([(n, t, "a") for n, t in enumerate(texts)], "k bigint, t string, s string")
+    measured = P8._measured(rows, "k", "t", "s")
+    found = P8.spikes(P8.lengths_of(measured))
+    flags = {r["_key"]: r["_times"] > 1 for r in P8.with_limits(measured, found).select("_key", "_times").collect()}
+    whole, want = P8.learn(measured, found), P8.Prose(texts, [flags[n] for n in range(len(texts))])
+    assert whole.known == want.known and np.allclose(whole.odds(units), want.odds(units))
