@@ -2,12 +2,16 @@
 
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -471,3 +475,24 @@ def test_prose_is_learned_from_every_document(spark):
     flags = {r["_key"]: r["_times"] > 1 for r in P8.with_limits(measured, found).select("_key", "_times").collect()}
     whole, want = P8.learn(measured, found), P8.Prose(texts, [flags[n] for n in range(len(texts))])
     assert whole.known == want.known and np.allclose(whole.odds(units), want.odds(units))
+
+
+def test_paragraphs_are_read_without_whole_searches(monkeypatch):
+    """Endings are looked at from the back, and starts that are alike are read once; both as by their definitions."""
+    split, token = regex.compile(r"(?<=[.!?]['\"”’)\]]?)\s+(?=\p{Lu}|\d)|(?<=[。！？][”’』」》）]?)"), P8._START
+    rng = random.Random(9)
+    alphabet = [*" \n\x1c\u3000.!?。！？'\"”’)]』」[(（…\u200b09٣Ⅷ", "A", "b", "İ", "中", "の", "𠀀", "𝐀", "fig.", "e.g.", "...", "Word ", " The ", ". ", "。”", "x" * 60 + "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(40)))
+        want = [[m[0] for m in islice(token.finditer(s), 4)] for s in split.split(text.replace("\n", " ")) if s.strip()]
+        assert [[m[0] for m in token.finditer(s)] for s in P8.sentence_starts(text)] == want
+        core = P8.SIGNS.sub("", text)
+        assert (P8.last_unit(text) is None) == bool(P8.END.search(core) and not P8.ABBREVIATION.search(core))
+    long = "a word " * 150_000 + "ends."
+    began = time.process_time()
+    assert all(P8.last_unit(long) is None for _ in range(20)) and time.process_time() - began < 0.3
+    read, steps = [], P8.Starts.steps
+    monkeypatch.setattr(P8.Starts, "steps", lambda line: read.append(line) or steps(line))
+    held = Counter()
+    P8._count_paragraphs(pd.DataFrame({"_text": [f"We test the planner of team {chr(97 + n)}. It works well here {chr(97 + n)}." for n in range(20)], "_limit": False}), held)
+    assert held["prose seen", ""] == 40 and len(read) == 2
