@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, pick, summed, table
-from .p1_pair_defects import PairModel, translation_model
-from .p3_lookalike import transducer
+from .p1_pair_defects import PairModel, plain, translation_model
 
 DIMENSIONS = 128
 ANCHORS = 64
@@ -39,11 +39,16 @@ VOCABULARY = 30_000
 PART_ROWS, SLICE_ROWS = 1000, 1024
 #: Cells of a similarity matrix held at once.
 BAND_CELLS = 2_000_000
+#: Vectors gathered at once: what a processor's cache holds, as memory costs far more than sums.
+STEP = 2000
 
 _EN_END = re.compile(r"[.?!](?=\s|$)")
 _ZH_END = re.compile(r"[。？！]")
 _ABBREVIATED = re.compile(r"(?:^|[^a-z])(?:fig|al|approx)$")
 _TOKEN = re.compile(r"\d[\d,]*(?:\.\d+)?|[^\W\d_]+(?:-(?:[^\W_]+))*")
+#: The same in ASCII texts.
+_ASCII_TOKEN = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?|[A-Za-z]+(?:-[A-Za-z0-9]+)*")
+_CHINESE = re.compile("[㐀-鿿]{2,}")
 _ANCHOR = re.compile(r"\d[\d,]*(?:\.\d+)?|[A-Za-zÀ-ɏ]+(?:-[A-Za-z0-9À-ɏ]+)*")
 
 
@@ -53,9 +58,13 @@ def _split(text: str, ends: list[int]) -> list[str]:
     return [*out, rest] if rest.strip() else out
 
 
+def _abbreviated(before: str) -> bool:
+    return before.endswith(("fig", "al", "approx", "\n")) and _ABBREVIATED.search(before) is not None
+
+
 def english_sentences(text: str) -> list[str]:
     """Sentences up to . ? or ! before a blank or the end, but for Fig. al. approx.; text after the last end is a sentence too."""
-    return _split(text, [m.end() for m in _EN_END.finditer(text) if m[0] != "." or not _ABBREVIATED.search(text[max(0, m.start() - 7) : m.start()].lower())])
+    return _split(text, [m.end() for m in _EN_END.finditer(text) if m[0] != "." or not _abbreviated(text[max(0, m.start() - 7) : m.start()].lower())])
 
 
 def chinese_sentences(text: str) -> list[str]:
@@ -63,10 +72,14 @@ def chinese_sentences(text: str) -> list[str]:
     return _split(text, [m.end() for m in _ZH_END.finditer(text)])
 
 
+def _tokens(sentence: str) -> list[str]:
+    return (_ASCII_TOKEN if sentence.isascii() else _TOKEN).findall(sentence)
+
+
 def english_terms(sentence: str, first: bool = True) -> tuple[list[str], list[str]]:
     """(words, anchors) of an English sentence. Capitalised words but the first are names."""
     words, anchors = [], []
-    for n, token in enumerate(_TOKEN.findall(sentence)):
+    for n, token in enumerate(_tokens(sentence)):
         if token[0].isdigit():
             anchors.append(token.replace(",", ""))
         elif token.islower():
@@ -84,7 +97,7 @@ def chinese_anchors(sentence: str) -> list[str]:
 
 def chinese_pairs(sentence: str) -> list[str]:
     """Pairs of neighbouring Chinese characters."""
-    return [a + b for a, b in zip(sentence, sentence[1:]) if "㐀" <= a <= "鿿" and "㐀" <= b <= "鿿"]
+    return [pair for run in _CHINESE.findall(sentence) for pair in map(add, run, run[1:])]
 
 
 class _Sparse:
@@ -96,7 +109,7 @@ class _Sparse:
         self.by_column = np.argsort(self.column, kind="stable")
 
     @staticmethod
-    def _sum(to: np.ndarray, source: np.ndarray, value: np.ndarray, m: np.ndarray, n: int, step: int = 100_000) -> np.ndarray:
+    def _sum(to: np.ndarray, source: np.ndarray, value: np.ndarray, m: np.ndarray, n: int, step: int = STEP) -> np.ndarray:
         out = np.zeros((n, m.shape[1]), np.float32)
         for lo in range(0, len(to), step):
             part = to[lo : lo + step]
@@ -214,7 +227,6 @@ class TermVectors:
 
 
 def _plain_terms(part: pd.DataFrame) -> list[tuple[list[str], list[str]]]:
-    plain = transducer().apply
     return [_terms(plain(e), plain(z)) for e, z in zip(part["_en"], part["_zh"])]
 
 
@@ -259,12 +271,12 @@ def _product(pairs: DataFrame, vocabulary: list[dict[str, int]], weights: list[n
                 for lo in range(0, terms, SLICE_ROWS):
                     yield pd.DataFrame([[lo, least, total[lo : lo + SLICE_ROWS].tobytes()]], columns=["lo", "id", "total"])
 
-        def add(part: pd.DataFrame) -> pd.DataFrame:
+        def added(part: pd.DataFrame) -> pd.DataFrame:
             each = part.sort_values("id")["total"]
             return pd.DataFrame([[part["lo"].iloc[0], sum(np.frombuffer(t, np.float32).astype(np.float64) for t in each).tobytes()]], columns=["lo", "total"])
 
         out = np.zeros((terms, width))
-        for r in parts.mapInPandas(partial, "lo bigint, id bigint, total binary").groupBy("lo").applyInPandas(add, "lo bigint, total binary").collect():
+        for r in parts.mapInPandas(partial, "lo bigint, id bigint, total binary").groupBy("lo").applyInPandas(added, "lo bigint, total binary").collect():
             got = np.frombuffer(r["total"], np.float64).reshape(-1, width)
             out[r["lo"] : r["lo"] + len(got)] = got
         sent.destroy()
@@ -273,24 +285,13 @@ def _product(pairs: DataFrame, vocabulary: list[dict[str, int]], weights: list[n
     return times
 
 
-def _sums(vectors: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int, step: int = 256) -> np.ndarray:
-    """Sum of ``vectors[ids]`` per owner; owners ascend. By products with count matrices if the vocabulary is small, else by gathering."""
-    size = len(vectors)
-    out = np.zeros((n, vectors.shape[1]), np.float32)
-    if not len(ids):
-        return out
-    if size <= 8192:
-        at = np.searchsorted(owner, np.arange(0, n + step, step))
-        for k in range(0, n, step):
-            lo, hi = at[k // step], at[k // step + 1]
-            rows = min(step, n - k)
-            counts = np.bincount((owner[lo:hi] - k) * size + ids[lo:hi], minlength=rows * size).reshape(rows, size)
-            out[k : k + rows] = counts.astype(np.float32) @ vectors
-        return out
-    for lo in range(0, len(ids), 200_000):
-        part = owner[lo : lo + 200_000]
+def _sums(vectors: Callable[[np.ndarray], np.ndarray], width: int, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sum of ``vectors(ids)`` per owner; owners ascend."""
+    out = np.zeros((n, width), np.float32)
+    for lo in range(0, len(ids), STEP):
+        part = owner[lo : lo + STEP]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        out[part[starts]] += np.add.reduceat(vectors[ids[lo : lo + 200_000]], starts, axis=0)
+        out[part[starts]] += np.add.reduceat(vectors(ids[lo : lo + STEP]), starts, axis=0)
     return out
 
 
@@ -298,12 +299,20 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
 
 
-def match(en: np.ndarray, zh: np.ndarray, least: float = 0.3, gain: float = 0.04, near: int = 3) -> list[tuple[int, int]]:
-    """Links between the rows of ``en`` and ``zh`` (sums of term vectors)."""
+def _nearest(c: np.ndarray, near: int, axis: int) -> np.ndarray:
+    """The ``near`` highest values along ``axis``."""
+    size = c.shape[axis]
+    if size <= near:
+        return np.sort(c, axis=axis)
+    return np.partition(c, size - near, axis=axis)[(slice(None),) * axis + (slice(size - near, None),)]
+
+
+def match(en: np.ndarray, zh: np.ndarray, least: float = 0.3, gain: float = 0.04, near: int = 3, units: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links between the rows of ``en`` and ``zh`` (sums of term vectors); ``units``: these rows with length 1, if they are at hand."""
     n, m = len(en), len(zh)
     if not n or not m:
         return []
-    e_unit, z_unit = _unit(en), _unit(zh)
+    e_unit, z_unit = units or (_unit(en), _unit(zh))
     step = max(1, BAND_CELLS // m)
     bands = [(lo, min(n, lo + step)) for lo in range(0, n, step)]
     whole = e_unit @ z_unit.T if len(bands) == 1 else None
@@ -312,10 +321,9 @@ def match(en: np.ndarray, zh: np.ndarray, least: float = 0.3, gain: float = 0.04
         top = np.empty((0, m), np.float32)
         for lo, hi in bands:
             c = whole if whole is not None else e_unit[lo:hi] @ z_unit.T
-            row[lo:hi] = np.partition(c, max(0, m - near), axis=1)[:, max(0, m - near) :].mean(axis=1)
-            c = np.concatenate([top, c]) if len(top) else c
-            top = np.partition(c, max(0, len(c) - near), axis=0)[max(0, len(c) - near) :]
-        column = top.mean(axis=0)
+            row[lo:hi] = _nearest(c, near, 1).sum(axis=1) / min(near, m)
+            top = _nearest(np.concatenate([top, c]) if len(top) else c, near, 0)
+        column = top.sum(axis=0) / len(top)
     to_z, to_e, best = np.zeros(n, np.int64), np.zeros(m, np.int64), np.full(m, -np.inf, np.float32)
     near_e, near_z, near_cos = [], [], []
     for lo, hi in bands:
@@ -323,14 +331,17 @@ def match(en: np.ndarray, zh: np.ndarray, least: float = 0.3, gain: float = 0.04
         margin = c - (row[lo:hi, None] + column[None, :]) / 2
         to_z[lo:hi] = margin.argmax(axis=1)
         at = margin.argmax(axis=0)
-        high = margin[at, np.arange(m)]
-        better = high > best
-        to_e[better], best[better] = at[better] + lo, high[better]
+        if whole is not None:
+            to_e = at
+        else:
+            high = margin[at, np.arange(m)]
+            better = high > best
+            to_e[better], best[better] = at[better] + lo, high[better]
         i, j = np.nonzero(c > 0.2)
         near_e.append(i + lo)
         near_z.append(j)
         near_cos.append(c[i, j])
-    near_e, near_z, near_cos = np.concatenate(near_e), np.concatenate(near_z), np.concatenate(near_cos)
+    near_e, near_z, near_cos = (x[0] if len(x) == 1 else np.concatenate(x) for x in (near_e, near_z, near_cos))
 
     def cosine(i: int, j: int) -> float:
         return float(whole[i, j]) if whole is not None else float(e_unit[i] @ z_unit[j])
@@ -375,103 +386,107 @@ def match(en: np.ndarray, zh: np.ndarray, least: float = 0.3, gain: float = 0.04
                 continue
         link(i, j)
     # a divided sentence's other half: next to a half that is linked, as rich in terms as a sentence, and similar
-    rich = np.linalg.norm(zh, axis=1)
-    for j in (j for j in range(m) if j not in of_z and rich[j] >= 0.6 * np.median(rich)):
+    left = [j for j in range(m) if j not in of_z]
+    rich = np.linalg.norm(zh, axis=1) if left else np.empty(0)
+    usual = np.median(rich) if left else 0.0
+    for j in (j for j in left if rich[j] >= 0.6 * usual):
         beside = [i for k in (j - 1, j + 1) for i in of_z.get(k, [])]
         if beside and cosine(i := max(beside, key=lambda i: cosine(i, j)), j) >= 0.2 and to_e[j] == i:
             link(i, j)
     return [(i, j) for i, js in of_e.items() for j in js]
 
 
+class _Numbers(dict):
+    """The numbers of English tokens: of the word's vector, -1 for a word without vector, -2, -3 and so on for anchors."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words = words
+        self.anchors: dict[str, int] = {}
+        #: ``ANCHORS`` random signs of each anchor, as bits.
+        self.signs = bytearray()
+
+    def __missing__(self, token: str) -> int:
+        if not token[0].isdigit() and token.islower():
+            number = self.words.get(token, -1)
+        else:
+            anchor = token.replace(",", "") if token[0].isdigit() else token.lower()
+            number = self.anchors.get(anchor, 0)
+            if not number:
+                number = self.anchors[anchor] = -2 - len(self.anchors)
+                self.signs += np.packbits(np.frombuffer(np.random.default_rng(zlib.crc32(anchor.encode())).bytes(ANCHORS), np.uint8) & 1).tobytes()
+        self[token] = number
+        return number
+
+
 class Aligner:
     """Aligns batches of (English text, Chinese text)."""
 
     def __init__(self, vectors: TermVectors):
         self.v = vectors
         self.number, self.ids = vectors.tables()
-        self.anchor: dict[str, np.ndarray] = {}
-        self.known: dict[str, int | str] = {}
-
-    def _term(self, token: str) -> int | str:
-        """The number of a word, -1 for one without vector, or the anchor."""
-        if token[0].isdigit():
-            return token.replace(",", "")
-        return self.v.words.get(token, -1) if token.islower() else token.lower()
-
-    def _anchor(self, token: str) -> np.ndarray:
-        v = self.anchor.get(token)
-        if v is None:
-            if len(self.anchor) > 200_000:
-                self.anchor.clear()
-            bits = np.frombuffer(np.random.default_rng(zlib.crc32(token.encode())).bytes(ANCHORS), np.uint8) & 1
-            v = self.anchor[token] = ((bits.astype(np.float32) * 2 - 1) * np.float32(self.v.weight / np.sqrt(ANCHORS)))
-        return v
+        self.known = _Numbers(vectors.words)
 
     def align(self, pairs: list[tuple[str, str]], least_english: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(position, links) of each pair; pairs with fewer English sentences than wanted give no links."""
-        plain = transducer().apply
         en_ids: list[int] = []
-        en_owner: list[int] = []
-        anchors: list[tuple[list[list[str]], list[list[str]]]] = []
+        en_size: list[int] = []
+        zh_ids: list[int] = []
+        zh_owner: list[int] = []
         zh_text: list[str] = []
         spans: list[tuple[int, int, int, int, int]] = []
         e0 = z0 = 0
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
+        if len(self.known) > 500_000:
+            self.known = _Numbers(self.v.words)
+        number_of, anchors = self.known.__getitem__, self.known.anchors
         for at, (e, z) in enumerate(pairs):
             es = english_sentences(plain(e))
             if len(es) < least_english[at]:
                 continue
             zs = chinese_sentences(plain(z))
-            ea = []
-            for k, s in enumerate(es):
-                before = len(en_ids)
-                a: list[str] = []
-                tokens = _TOKEN.findall(s)
+            begun = len(en_ids)
+            for s in es:
+                tokens = _tokens(s)
                 if tokens and tokens[0][0].isupper() and (len(tokens[0]) == 1 or tokens[0][1:].islower()):
                     tokens[0] = tokens[0].lower()  # the first word's capital tells nothing
-                for t in tokens:
-                    i = known.get(t)
-                    if i is None:
-                        i = known[t] = self._term(t)
-                    if i.__class__ is str:
-                        a.append(i)
-                    elif i >= 0:
-                        en_ids.append(i)
-                en_owner += [e0 + k] * (len(en_ids) - before)
-                ea.append(a)
+                en_ids += map(number_of, tokens)
+                en_size.append(len(tokens))
+            here = {i for i in en_ids[begun:] if i < -1}
+            if here:
+                for k, s in enumerate(zs, z0):
+                    for t in chinese_anchors(s):
+                        if (i := anchors.get(t)) in here:  # a sign that the English text hasn't got tells nothing
+                            zh_ids.append(i)
+                            zh_owner.append(k)
             zh_text += zs
-            anchors.append((ea, [chinese_anchors(s) for s in zs]))
             spans.append((at, e0, e0 + len(es), z0, z0 + len(zs)))
             e0, z0 = e0 + len(es), z0 + len(zs)
         width = self.v.dimensions
-        en = np.zeros((e0, width + ANCHORS), np.float32)
-        zh = np.zeros((z0, width + ANCHORS), np.float32)
-        en[:, :width] = _sums(self.v.en, np.array(en_ids, np.int64), np.array(en_owner, np.int64), e0)
+        en = np.empty((e0, width + ANCHORS), np.float32)
+        zh = np.empty((z0, width + ANCHORS), np.float32)
+        ids, owner = np.array(en_ids, np.int64), np.repeat(np.arange(e0), en_size)
+        words, names = np.flatnonzero(ids >= 0), np.flatnonzero(ids < -1)
+        en_terms, zh_terms = _sums(self.v.en.__getitem__, width, ids[words], owner[words], e0), np.zeros((z0, width), np.float32)
         if z0:
             codes = np.frombuffer("".join(zh_text).encode("utf-16-le", "replace"), np.uint16)
             lengths = np.array([len(s.encode("utf-16-le", "replace")) // 2 for s in zh_text])
-            owner = np.repeat(np.arange(z0), lengths)
             number = self.number[codes]
             found = self.ids[number[:-1], number[1:]] if len(number) > 1 else np.empty(0, np.int32)
-            keep = np.flatnonzero((found >= 0) & (owner[:-1] == owner[1:])) if len(found) else np.empty(0, np.int64)
-            found, owner = found[keep], owner[keep]
-            zh[:, :width] = _sums(self.v.zh, found.astype(np.int64), owner, z0)
+            of = np.repeat(np.arange(z0), lengths)
+            keep = np.flatnonzero((found >= 0) & (of[:-1] == of[1:])) if len(found) else np.empty(0, np.int64)
+            zh_terms = _sums(self.v.zh.__getitem__, width, found[keep], of[keep], z0)
         # both sides on one scale, then the anchors
-        en[:, :width] = _unit(en[:, :width]) * np.sqrt(np.maximum(1, np.linalg.norm(en[:, :width], axis=1, keepdims=True)))
-        zh[:, :width] = _unit(zh[:, :width]) * np.sqrt(np.maximum(1, np.linalg.norm(zh[:, :width], axis=1, keepdims=True)))
-        for (_, e1, _, z1, _), (ea, za) in zip(spans, anchors):
-            here = {t for a in ea for t in a}
-            for k, a in enumerate(ea):
-                for t in a:
-                    en[e1 + k, width:] += self._anchor(t)
-            for k, a in enumerate(za):
-                for t in a:
-                    if t in here:  # a sign that the English text hasn't got tells nothing
-                        zh[z1 + k, width:] += self._anchor(t)
+        for vectors, terms in ((en, en_terms), (zh, zh_terms)):
+            vectors[:, :width] = _unit(terms) * np.sqrt(np.maximum(1, np.linalg.norm(terms, axis=1, keepdims=True)))
+        signs, scale = np.frombuffer(bytes(self.known.signs), np.uint8).reshape(-1, ANCHORS // 8), np.float32(self.v.weight / np.sqrt(ANCHORS))
+
+        def anchor(ids: np.ndarray) -> np.ndarray:
+            return (np.unpackbits(signs[-2 - ids], axis=1).astype(np.float32) * 2 - 1) * scale
+
+        en[:, width:] = _sums(anchor, ANCHORS, ids[names], owner[names], e0)
+        zh[:, width:] = _sums(anchor, ANCHORS, np.array(zh_ids, np.int64), np.array(zh_owner, np.int64), z0)
+        en_unit, zh_unit = _unit(en), _unit(zh)
         for at, e1, e2, z1, z2 in spans:
-            yield at, match(en[e1:e2], zh[z1:z2])
+            yield at, match(en[e1:e2], zh[z1:z2], units=(en_unit[e1:e2], zh_unit[z1:z2]))
 
 
 def learn(pairs: DataFrame, english: str, chinese: str) -> TermVectors:

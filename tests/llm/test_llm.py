@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 from collections import Counter
 from itertools import islice
@@ -496,3 +497,46 @@ def test_paragraphs_are_read_without_whole_searches(monkeypatch):
     held = Counter()
     P8._count_paragraphs(pd.DataFrame({"_text": [f"We test the planner of team {chr(97 + n)}. It works well here {chr(97 + n)}." for n in range(20)], "_limit": False}), held)
     assert held["prose seen", ""] == 40 and len(read) == 2
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_sums_and_lookups_hold_little_at_once():
+    rng = np.random.default_rng(4)
+    row, column, value = np.sort(rng.integers(0, 500, 60_000)), rng.integers(0, 800, 60_000), rng.random(60_000, np.float32)
+    x, m = P2._Sparse(500, 800, [(row, column, value)]), rng.standard_normal((800, 144)).astype(np.float32)
+    dense = np.zeros((500, 800))
+    np.add.at(dense, (row, column), value)
+    got, peak = peak_mb(lambda: x.times(m))
+    assert np.allclose(got, dense @ m, atol=1e-2) and peak < 10
+    got, peak = peak_mb(lambda: x.transposed_times(got))
+    assert np.allclose(got, dense.T @ dense @ m, rtol=1e-3, atol=0.5) and peak < 10
+    texts = ["".join(map(chr, 0x4E00 + rng.integers(0, 3000, 200))) for _ in range(5000)]
+    classes = P1.NgramClasses({"a": texts[:100], "b": texts[50:150]})
+    alone = np.concatenate([classes.scores([t]) for t in texts[:300]])
+    got, peak = peak_mb(lambda: classes.scores(texts))
+    assert np.allclose(got[:300], alone, rtol=1e-4) and peak < 20
+    assert np.allclose(classes.odds(texts, "a", "b"), got[:, 0] - got[:, 1], atol=0.05)
+    place = {code: n for n, code in enumerate(classes.codes.tolist())}
+    wanted = np.r_[classes.codes, rng.integers(0, 2**32, 5000, dtype=np.uint32)]
+    assert classes._known(wanted).tolist() == [place.get(w, -1) for w in wanted.tolist()] and len(classes._hidden)
+
+
+def test_texts_are_read_as_by_the_plain_patterns():
+    ends = re.compile(r"[.?!]['\"”’)\]\s\xad\u200b-\u200d\u2060\ufeff]*$")
+    chinese = lambda c: "㐀" <= c <= "鿿"
+    rng = random.Random(12)
+    alphabet = [*" \n\x1c\u3000.!?'\"”)]\u200b0９-_,;", "A", "bc", "é", "ß", "İ", "中", "文", "の", "Fig.", "al", "approx.", " al\n.", "1,024.5", "low-level", "x2"]
+    for _ in range(5000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(30)))
+        assert P2._tokens(text) == P2._TOKEN.findall(text)
+        assert P2.chinese_pairs(text) == [a + b for a, b in zip(text, text[1:]) if chinese(a) and chinese(b)]
+        assert P2._abbreviated(text.lower()) == bool(P2._ABBREVIATED.search(text.lower()))
+        assert P1._ends(text.strip()) == bool(ends.search(text.strip()))
+        assert P1.read(text) == " " + re.sub(r"\s+", " ", re.sub(r"\d+", "0", text.lower())).strip() + " "
