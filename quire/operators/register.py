@@ -63,6 +63,43 @@ def harvest(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
     only; else every base of ``kb`` is harvested from all pairs. The rows are evidence for ``terminology.upsert``, in the stages
     0 (known), 1 (confirmations) and 2 (mined).
     """
+    own = "kb_id" in pairs.columns
+    mined = _mined(pairs)
+    if own:
+        mined = mined.join(pairs.select("block_key", "kb_id"), "block_key")
+    else:
+        mined = _distinct(mined, "_t").crossJoin(F.broadcast(kb.select("kb_id").distinct()))
+    return _again(kb, pairs, paper).unionByName(_evidence(mined.join(_known(kb), ["kb_id", "_t"], "left_anti"), paper))
+
+
+def harvested(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
+    """``terminology.upsert`` of the ``harvest`` of every base from all pairs, without a row of evidence for each mined pair and base.
+
+    A mined term that a base doesn't have, and of which no acronym is a term of that base, becomes the same in all such bases: it is folded once and
+    handed to them. Only the others are folded with what their base has.
+    """
+    mined = _distinct(_mined(pairs), "_t")
+    if kb.sparkSession.conf.get("spark.checkpoint.dir", None):  # else the texts are mined again for each use
+        mined = mined.checkpoint()
+    known = _known(kb)
+    merged = _distinct(mined)
+    held = known.select("kb_id", F.col("_t").alias("_s")).join(merged.select("_s").distinct(), "_s", "left_semi")
+    barred = mined.join(known, "_t").select("kb_id", "_s").distinct()
+    # acronyms are looked at for each base only where one is known there
+    open_ = held.join(barred, ["kb_id", "_s"], "left_anti").join(merged, "_s")
+    closed = _distinct(barred.join(mined, "_s").join(known, ["kb_id", "_t"], "left_anti"), "kb_id")
+    own = terminology.upsert(_again(kb, pairs, paper).unionByName(_evidence(open_, paper)).unionByName(_evidence(closed, paper)))
+    shared = terminology.upsert(_evidence(merged.withColumn("kb_id", F.lit(0)), paper)).drop("kb_id").withColumn("_s", normalize_key(F.col("source")))
+    base = F.collect_set(F.struct("kb_id"))  # a struct, as a base without number counts too
+    apart = held.unionByName(barred).groupBy("_s").agg(base.alias("_apart"))
+    every = kb.select("kb_id").distinct().agg(base.alias("_every"))
+    rest = shared.join(apart, "_s", "left").crossJoin(F.broadcast(every))
+    rest = rest.withColumn("_b", F.explode(F.when(F.col("_apart").isNull(), F.col("_every")).otherwise(F.array_except("_every", "_apart"))))
+    return own.unionByName(rest.select("_b.kb_id", *own.columns[1:]))
+
+
+def _again(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
+    """The evidence of the stages 0 and 1."""
     own = ["kb_id"] if "kb_id" in pairs.columns else []
     terms = kb.select(F.struct("kb_id", "seq").alias("_id"), *own, "source", "target")
     hits = terminology.confirmations(terms, pairs, own).select("_id.kb_id", "_id.seq", F.lit(True).alias("_hit")).distinct()
@@ -73,19 +110,30 @@ def harvest(kb: DataFrame, pairs: DataFrame, paper: Column) -> DataFrame:
     once = F.struct(paper.cast("string").alias("paper"), F.lit(0).cast("bigint").alias("seq"), F.lit(1).alias("stage"))
     again = raised.withColumn("_first", F.coalesce(F.col("_hit") & (nth == 1), F.lit(False)))
     again = again.select("kb_id", "source", "target", "confidence", "kind", F.explode(F.when(F.col("_first"), F.array(row, once)).otherwise(F.array(row))).alias("_r"))
+    return again.select("kb_id", "source", "target", "confidence", "kind", "_r.*")
 
-    texts = pairs.dropDuplicates(["block_key"]) if own else pairs
+
+def _mined(pairs: DataFrame) -> DataFrame:
+    """(block_key, _t, source, target, confidence, kind) of the pairs; _t: the acronym in lower case, null for keywords."""
+    texts = pairs.dropDuplicates(["block_key"]) if "kb_id" in pairs.columns else pairs
     acronyms = terminology.acronym_pairs(texts, None).select("block_key", F.lower("acronym").alias("_t"), "source", "target", F.lit(0.78).alias("confidence"), F.lit("acronym").alias("kind"))
     keywords = terminology.keyword_pairs(texts).select("block_key", F.lit(None).cast("string").alias("_t"), "source", "target", F.lit(0.95).alias("confidence"), F.lit("keyword").alias("kind"))
-    mined = acronyms.unionByName(keywords)
-    if own:
-        mined = mined.join(pairs.select("block_key", "kb_id"), "block_key")
-    else:  # the same pair mined again changes nothing, so each goes to the bases once
-        same = mined.groupBy(normalize_key(F.col("source")).alias("_s"), "_t", "target", "confidence", "kind").agg(F.min_by("source", "block_key").alias("source"), F.min("block_key").alias("block_key"))
-        mined = same.crossJoin(F.broadcast(kb.select("kb_id").distinct()))
-    known = kb.select("kb_id", normalize_key(F.col("source")).alias("_t")).distinct()
-    mined = mined.join(known, ["kb_id", "_t"], "left_anti").select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), F.col("block_key").alias("seq"), F.lit(2).alias("stage"))
-    return again.select("kb_id", "source", "target", "confidence", "kind", "_r.*").unionByName(mined)
+    return acronyms.unionByName(keywords)
+
+
+def _distinct(mined: DataFrame, *by: str) -> DataFrame:
+    """The first of equal mined pairs: the same pair mined again changes nothing."""
+    rows = mined.groupBy(normalize_key(F.col("source")).alias("_s"), *by, "target", "confidence", "kind")
+    return rows.agg(F.min(F.struct("block_key", "source")).alias("_f")).select("_s", *by, "target", "confidence", "kind", "_f.source", "_f.block_key")
+
+
+def _known(kb: DataFrame) -> DataFrame:
+    return kb.select("kb_id", normalize_key(F.col("source")).alias("_t")).distinct()
+
+
+def _evidence(mined: DataFrame, paper: Column) -> DataFrame:
+    """The evidence of stage 2."""
+    return mined.select("kb_id", "source", "target", "confidence", "kind", paper.cast("string").alias("paper"), F.col("block_key").alias("seq"), F.lit(2).alias("stage"))
 
 
 def seed_evidence(glossary: DataFrame, kb_id: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..operators import register, terminology
+from ..operators import register
 from ..sources import files
 from .base import BLOCKS, LATEST, WS, blocks, latest, sql_key, table
 from .kb_queries import _USABLE, _pairs
@@ -52,7 +52,7 @@ def kb_harvest(spark: SparkSession, d: str) -> DataFrame:
     """Every knowledge base after harvesting all translated blocks."""
     rows = table(spark, d, "glossary").where(_USABLE).where("target <> ''")
     kb = rows.select("kb_id", "source", "target", "confidence", F.col("source_kind").alias("kind"), F.coalesce(F.get("papers", F.lit(0)), F.lit("")).alias("paper"), F.col("gid").alias("seq"))
-    return terminology.upsert(register.harvest(kb, _pairs(spark, d), F.lit("now")))
+    return register.harvested(kb, _pairs(spark, d), F.lit("now"))
 
 
 def legacy_merge(spark: SparkSession, d: str) -> DataFrame:
